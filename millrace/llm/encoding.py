@@ -74,9 +74,10 @@ class Encoder:
             if len(self.parts) > KEPT:
                 self.parts.clear()
             cut = [self.cut(t) for t in portion]
-            if new := set().union(*cut).difference(self.parts):
+            kept = self.parts
+            if new := {c for x in cut for c in x if c not in kept}:
                 self.meet(list(new))
-            look = self.parts.__getitem__
+            look = kept.__getitem__
             for x in cut:
                 yield b"".join(map(look, x))
 
