@@ -328,13 +328,14 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, rid): rid is doc_id, or the place in ascending order if ids repeat or lack."""
-    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """docs and rid: doc_id, or the place in ascending order if ids repeat or lack."""
+    d = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     odd = d.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
     if not odd:
         return d.withColumn("rid", F.col("doc_id"))
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    d = d.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    d = d.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return saved(d.withColumn("rid", F.monotonically_increasing_id()), "numbered")
 
 
@@ -378,9 +379,31 @@ def kept_bytes(text: bytes, starts: list[int], ends: list[int]) -> tuple[bytes,
 
 
 def _with_spans(docs: DataFrame, cap: int) -> DataFrame:
+    """docs and the spans to remove: every column, starts, ends."""
     d = _numbered(docs)
-    spans = repeats(d, cap).groupBy("rid").agg(F.collect_list("x").alias("starts"), F.collect_list("y").alias("ends"))  # a document's own
-    return d.join(spans, "rid", "left").select("doc_id", "text", "starts", "ends")
+    spans = repeats(d.select("text", "rid"), cap).groupBy("rid").agg(F.collect_list("x").alias("starts"), F.collect_list("y").alias("ends"))  # a document's own
+    return d.join(spans, "rid", "left").drop("rid")
+
+
+def cut_texts(docs: DataFrame, cap: int = 20_000) -> DataFrame:
+    """Every column of ``docs``, its texts without the repeats, and n_removed, the bytes cut out.
+
+    Null texts stay null. What a cut leaves of a character is dropped.
+    """
+    d = _with_spans(docs.drop("n_removed"), cap)
+    at, names = d.columns.index("text"), [c for c in d.columns if c not in ("starts", "ends")]
+    schema = d.select(*names, F.lit(0).cast("long").alias("n_removed")).schema
+    spans = [d.columns.index(c) for c in ("starts", "ends")]
+    rest = [d.columns.index(c) for c in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(None, 0, 0) if t is None else kept_bytes(t, x, y) for t, x, y in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(spans[0]).to_pylist(), b.column(spans[1]).to_pylist())]
+            columns = [b.column(k) for k in rest]
+            columns[names.index("text")] = pa.array([None if x[0] is None else x[0].decode("utf-8", "ignore") for x in got], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in got], pa.int64())], names=schema.names)
+
+    return d.mapInArrow(run, schema)
 
 
 def deduplicate(docs: DataFrame, cap: int = 20_000) -> DataFrame:
@@ -398,7 +421,7 @@ def deduplicate(docs: DataFrame, cap: int = 20_000) -> DataFrame:
             columns = [pa.array([x[0] for x in got], pa.binary()), *(pa.array(x, pa.int64()) for x in ([len(t) for t in texts], [x[1] for x in got], [x[2] for x in got]))]
             yield pa.record_batch([b.column(0), *columns], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return _with_spans(docs, cap).mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return _with_spans(docs.select("doc_id", "text"), cap).select("doc_id", "text", "starts", "ends").mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
