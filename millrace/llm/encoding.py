@@ -9,10 +9,9 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
-import numpy as np
-
 _AFTER_BLANK = re.compile(r"\s ")
 _GLUED = re.compile(r"(?<=\S) ")
 # The word patterns of the two vocabularies, for text that is all ASCII.
@@ -20,7 +19,7 @@ _WORDS = {
     "byte": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII),
     "word": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII),
 }
-KEPT = 400_000
+KEPT = 900_000
 
 
 def portions(texts: Iterable[str | None], size: int = 2_000_000) -> Iterator[list[str]]:
@@ -49,25 +48,28 @@ class Encoder:
         self.words: dict[str, bytes] = {}
 
     def call(self, strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def cut(self, text: str) -> list[str]:
+    def cut(self, text: str) -> list[str | tuple[str]]:
+        """Keys of a text's parts; the first part has no space before it, which a tuple says."""
         if self.kind == "word":
             return text.replace("\n", " ").split(" ")
         cut = _GLUED.split(text) if _AFTER_BLANK.search(text) else text.split(" ")
-        return [cut[0], *(" " + c for c in cut[1:])]
+        cut[0] = (cut[0],)
+        return cut
 
-    def meet(self, parts: list[str]) -> None:
+    def meet(self, keys: list[str | tuple[str]]) -> None:
         if len(self.words) > KEPT:
             self.words.clear()
-        plain = [p for p in parts if p.isascii()]
-        words = {p: self.pattern.findall(p.lower() if self.kind == "word" else p) for p in plain}
-        new = list({w for x in words.values() for w in x if w not in self.words})
+        parts = keys if self.kind == "word" else [k[0] if isinstance(k, tuple) else " " + k for k in keys]
+        plain = [(k, p) for k, p in zip(keys, parts) if p.isascii()]
+        other = [(k, p) for k, p in zip(keys, parts) if not p.isascii()]
+        cut = [self.pattern.findall(p.lower() if self.kind == "word" else p) for _, p in plain]
+        new = list({w for x in cut for w in x if w not in self.words})
         self.words.update(zip(new, self.call(new)))
         look = self.words.__getitem__
-        self.parts.update((p, b"".join(map(look, x))) for p, x in words.items())
-        other = [p for p in parts if p not in words]
-        self.parts.update(zip(other, self.call(other)))
+        self.parts.update((k, b"".join(map(look, x))) for (k, _), x in zip(plain, cut))
+        self.parts.update(zip([k for k, _ in other], self.call([p for _, p in other])))
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         for portion in portions(texts):

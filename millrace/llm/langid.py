@@ -128,7 +128,7 @@ def learn(counts: dict[str, Counter], pieces: list[str], rounds: int = 3, smooth
                 if at == len(rows):
                     rows.append([0.0] * len(langs))
                 rows[at][k] += n
-    every, seen = list(words), np.array(rows).reshape(-1, len(langs))
+    every, seen = list(words), np.array(rows).reshape(len(rows), len(langs))
     blocks = [(lattice.arcs(every[i : i + 20_000]), seen[i : i + 20_000]) for i in range(0, len(every), 20_000)]
     for _ in range(rounds if langs else 0):
         p = smoothing + sum((a.expected(p, n) for a, n in blocks), np.zeros_like(p))
@@ -160,7 +160,7 @@ class Scorer:
         sums = [self.scores[[self.words[w] for w in parts[c]]].sum(0) for c in long]
         self.chunks.update((c, self.words[x[0]] if x else 0) for c, x in parts.items())
         self.chunks.update((c, len(self.scores) + n) for n, c in enumerate(long))
-        self.scores = np.concatenate([self.scores, np.array(sums).reshape(-1, len(self.langs))])
+        self.scores = np.concatenate([self.scores, np.array(sums).reshape(len(sums), len(self.langs))])
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """In portions of some megabytes, so that memory doesn't follow the batch."""

@@ -45,22 +45,24 @@ def plan(positions: list[int], penalties: list[float], limit: int = LIMIT) -> li
     n = len(positions)
     cost, back = [0.0] * n, [0] * n
     queue: deque[tuple[float, int]] = deque([(positions[0], 0)])  # cost + position, ascending
-    powers = [1 << k for k in range(limit.bit_length())]
-    at = {positions[0]: 0}
+    exact: dict[int, list[int]] = {}  # for a position, those a power of two before it
+    place = np.array(positions)
+    for p in (1 << k for k in range(limit.bit_length())):
+        k = np.searchsorted(place, place - p)
+        for j in np.flatnonzero(place[k] == place - p).tolist():
+            exact.setdefault(j, []).append(int(k[j]))
     for j in range(1, n):
         here = positions[j]
         while positions[queue[0][1]] < here - limit:
             queue.popleft()
         value, i = queue[0]
         best = value + limit - here
-        if best > cost[i]:  # padding left: look for a length without any
-            for p in powers:
-                k = at.get(here - p)
-                if k is not None and cost[k] < best:
+        if j in exact:  # lengths without padding
+            for k in exact[j]:
+                if cost[k] < best:
                     best, i = cost[k], k
         best += penalties[j]
         cost[j], back[j] = best, i
-        at[here] = j
         v = best + here
         while queue and queue[-1][0] >= v:
             queue.pop()

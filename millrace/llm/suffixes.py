@@ -126,7 +126,8 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = np.repeat(np.array(rids, np.int64), [len(x[0]) for x in parts])
         order = np.lexsort((m, rid, c, h))
         h, c, m, left, right, rid = (x[order] for x in (h, c, m, left, right, rid))
-        again = np.r_[False, (h[1:] == h[:-1]) & (c[1:] == c[:-1])]
+        again = np.zeros(len(h), bool)
+        again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
         r, s, e = merged(rid[again], (m - left)[again], (m + right + LENGTH)[again])
         new = ~again
         key = np.concatenate([h[new], mix(r.astype(_U))]).view(np.int64)

@@ -1,0 +1,231 @@
+"""The queries against brute force on odd rows: nulls, empty and long texts, ties, repeated rows,
+columns with clashing names, empty tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import public_tokenizers as P
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from millrace.llm import common, langid, licenses, media, packing, pieces, quality, simhash, suffixes, tokenfiles
+from millrace.llm import neardup_vectors as vectors
+from tests.llm.test_units import brute_fingerprint
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, fp int, rid int, n int"
+
+
+def prose(r, words):
+    return " ".join(r.choice(["alpha", "beta", "Gamma,", "delta.", "ündel", "ist", "und", "the", "of"]) + str(r.randint(0, 400)) * (r.random() < 0.2) for _ in range(words))
+
+
+def odd_rows():
+    r = random.Random(9)
+    passage, rows = prose(r, 40), [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "two words"), (6, "ab" * 300)]
+    rows += [(k, prose(r, 60)) for k in range(10, 20)]
+    rows += [(30 + k, rows[8][1]) for k in range(3)] + [(40 + k, prose(r, 5) + passage + prose(r, 6)) for k in range(5)]
+    rows += [(50, rows[9][1].replace("the", "The")), (51, prose(r, 20_000)), (52, "日本語🙂 " * 50), (53, rows[10][1] + " tail"), (60, "$$$ %%% ###")]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "s", 0, "x", 1, 2, 3) for i, t in odd_rows()]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df):
+    return {r[0]: r for r in df.collect()}
+
+
+def test_simhash(docs, none):
+    rows = odd_rows()
+    fp = {i: brute_fingerprint(t or "") for i, t in rows}
+    group = {i: i for i in fp}
+    for _ in rows:
+        for i in fp:
+            group[i] = min(group[j] for j in fp if bin(fp[i] ^ fp[j]).count("1") <= 2)
+    for cap in (128, 0):  # 0: every key takes the way for crowded ones
+        got = by_id(simhash.near_duplicates(docs, cap))
+        assert {i: (r.fingerprint, r.component_id) for i, r in got.items()} == {i: (f"{fp[i]:016x}", group[i]) for i in fp}
+    assert simhash.near_duplicates(docs.unionByName(docs)).count() == 2 * len(rows)
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def brute_repeats(rows):
+    seen, out = set(), {}
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 99):
+            w = b[p : p + 100]
+            if w in seen:
+                gone[p : p + 100] = True
+            seen.add(w)
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        out[i] = (kept, len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()))
+    return out
+
+
+def test_suffixes(spark, docs, none):
+    want = brute_repeats(odd_rows())
+    for cap in (20_000, 1):
+        got = by_id(suffixes.deduplicate(docs, cap))
+        assert {i: (bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for i, r in got.items()} == want
+    assert suffixes.deduplicate(none).count() == 0
+    # Of two equal rows the first loses what it lost alone, the second all of it.
+    twice = suffixes.deduplicate(docs.unionByName(docs)).groupBy().agg(F.sum("n_removed")).first()[0]
+    assert twice == sum(w[2] + (w[1] if w[1] >= 100 else 0) for w in want.values())
+    cut = by_id(suffixes.cut_texts(docs))
+    assert cut[1].text is None and cut[12].text == want[12][0].decode() and cut[12].component_id == "x"
+
+
+def test_tokens(spark, docs, none, tmp_path):
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    lib.encode_special_tokens = True
+    out = str(tmp_path / "orc")
+    tokenfiles.write(docs, out, P.path("word_bpe_49k.json"), partitions=3, stride=1000)
+    got, start = by_id(tokenfiles.digest(spark, out)), 0
+    for i, t in sorted(odd_rows()):
+        ids = np.array(lib.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        assert tuple(got[i]) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    one = tokenfiles.read(spark, out, [51])
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,51)]" in one._jdf.queryExecution().toString()
+    assert one.count() == 1
+    import pyarrow.orc as orc
+
+    assert sum(orc.ORCFile(f).nrows for f in (tmp_path / "orc").glob("*.orc")) == len(odd_rows())
+    tokenfiles.write(none, out + "0", P.path("word_bpe_49k.json"))
+    assert tokenfiles.digest(spark, out + "0").count() == 0
+
+
+def test_packing(docs, none):
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    lib.encode_special_tokens = True
+    ids = {i: np.array(lib.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for i, t in odd_rows()}
+    rows = packing.pack(docs, packing.default_tokenizer(), partitions=2).collect()
+    rows.sort(key=lambda r: (r.sequence_id, r.offset))
+    fill, place = Counter(), Counter()
+    for r in rows:
+        assert r.offset == fill[r.sequence_id] and r.doc_tokens == len(ids[r.doc_id]) and r.length > 0
+        assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
+        fill[r.sequence_id] += r.length
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == place[r.doc_id]
+        place[r.doc_id] += r.length
+    assert place == Counter({i: len(x) for i, x in ids.items()})
+    assert max(fill.values()) <= 1024 and set(fill) == set(range(len(fill)))
+    assert packing.pack(none, packing.default_tokenizer()).count() == 0
+
+
+def test_pieces(docs, none):
+    path = P.path("piece_bpe_32k.model")
+    lib, got = sentencepiece.SentencePieceProcessor(model_file=path), by_id(pieces.digest(docs, path))
+    for i, t in odd_rows():
+        ids = lib.encode(t or "")
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest() and got[i].n_covered == len((t or "").encode())
+    assert pieces.digest(none, path).count() == pieces.encode(none, path).count() == 0
+    assert pieces.encode(docs, path).where("size(ids) <> size(starts) or size(ids) <> size(ends)").count() == 0
+
+
+def test_media(spark, docs, none, tmp_path):
+    path = f"file://{tmp_path}/media"
+    media.write(docs, path, archiveBytes=2000)
+    got = by_id(media.describe(media.read(spark, path, splitBytes=700)))
+    assert len(got) == len(odd_rows())
+    for i, t in odd_rows():
+        b = (t or "").encode()
+        p = b + b" " * (-len(b) % 192 if b else 192)
+        assert got[i][1:5] == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+    assert got[1][1:] == got[2][1:] and got[30][1:] == got[31][1:]
+    media.write(none, path + "0")
+    assert media.read(spark, path + "0").count() == 0
+
+
+def test_licenses(spark, docs, none):
+    mit = licenses._MIT
+    extra = [(100, "MIT Licence\nCopyright (c) 2020 Somebody\n\n" + mit.upper().replace('"', "“")), (101, "x y z.\n  Released under the MIT license!\nReleased under the MIT License"), (102, mit + " changed")]
+    d = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", 0, "x", 1, 2, 3) for i, t in extra], SCHEMA))
+    got = sorted(tuple(r) for r in licenses.scan(d, licenses.catalogue(spark)).collect())
+    assert got == [(100, "MIT", "document", 1), (101, "MIT", "line", 2)]
+    c = duckdb.connect()
+    documents = d.select("doc_id", "text").toPandas()  # noqa: F841
+    assert sorted(c.sql(licenses.ORACLE_SQL).fetchall()) == got
+    assert licenses.scan(none, licenses.catalogue(spark)).count() == 0
+    assert not re.search("Python|Arrow", licenses.scan(d, licenses.catalogue(spark))._jdf.queryExecution().toString())
+
+
+def test_quality(spark, docs, none):
+    model = quality.fit([quality.encode(t.encode()) for t in ("a good text here", "$$$ %%% &&&")] * 5, [1, 0] * 5)
+    got = by_id(quality.score(docs, model))
+    assert len(got) == len(odd_rows()) and all(0 <= r.quality_score <= 1 for r in got.values())
+    assert got[30].quality_score == got[31].quality_score and got[60].quality_score < got[10].quality_score
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.score(none, quality.train(none, labels)).count() == 0
+    few = spark.createDataFrame([(k, k % 2, 0) for k in range(10, 20)] + [(None, 1, 0), (11, None, 0)], "doc_id long, quality int, toxic int")
+    assert quality.score(docs, quality.train(docs, few)).count() == len(odd_rows())
+
+
+def test_langid(spark, none):
+    r = random.Random(3)
+    words = {"aa": ["krix", "vrolt", "stram"], "bb": ["oelia", "maioue", "leanu"]}
+    rows = [(k, " ".join(r.choice(words[g]) for _ in range(12)), g) for k in range(80) for g in [("aa", "bb")[k % 2]]]
+    d = spark.createDataFrame([*rows, (100, None, "aa"), (101, " 12 ", "bb"), (102, "", None), (103, "maioue " * 30_000, None)], "doc_id long, text string, lang string")
+    model = langid.train(d, P.path("piece_bpe_32k.model"))
+    got = by_id(langid.identify(d, model).select("doc_id", "lang", "lang_pred", "lang_score"))
+    held = [i for i in range(80) if common.remainder_of(i, 4) == 2]
+    assert held and all(got[i].lang_pred == got[i].lang for i in held)
+    assert [got[i].lang_pred for i in (100, 101, 102, 103)] == ["und", "und", "und", "bb"]
+    empty = langid.identify(none.select("doc_id", "text", "lang"), langid.train(none, P.path("piece_bpe_32k.model")))
+    assert empty.count() == 0
+
+
+def brute_links(rows, cosine=0.95):
+    sound = {i: np.array(v, float) / np.linalg.norm(v) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v)}
+    links = {i: {j for j in sound if i != j and i in sound and len(sound[i]) == len(sound[j]) and sound[i] @ sound[j] >= cosine} for i, _ in rows}
+    group = {i: i for i, _ in rows}
+    for _ in rows:
+        for i in group:
+            group[i] = min([group[i], *(group[j] for j in links[i])])
+    return {i: (len(links[i]), group[i], group[i] == i) for i in group}
+
+
+def test_embeddings(spark):
+    r = np.random.default_rng(4)
+    centre = r.normal(size=(6, 24))
+    rows = [(k, [float(x) for x in centre[k % 6] + r.normal(size=24) * 0.12 * (k % 3)]) for k in range(120)]
+    rows += [(200, None), (201, []), (202, [0.0] * 24), (203, [float("nan")] + [1.0] * 23), (204, [None] + [1.0] * 23), (205, [float("inf")] * 24), (206, [1e200] * 24), (207, [1.0] * 24), (208, [1.0] * 5)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("copies", F.lit(1)).withColumn("key", F.lit("k"))
+    want = brute_links([x for x in rows if x[0] != 206])
+    for block in (1024, 7):
+        got = {x[0]: tuple(x[1:]) for x in vectors.near_duplicates(d, block=block).collect()}
+        assert got.pop(206)[0] == 1 and got.pop(207)[0] == 1
+        expect = {i: v for i, v in want.items() if i != 207}
+        assert sum(v[0] for v in got.values()) >= 0.9 * sum(v[0] for v in expect.values())
+        assert all(got[i][0] <= expect[i][0] for i in expect) and all(got[i][1:] == expect[i][1:] for i in expect)
+    assert vectors.near_duplicates(d.limit(0)).count() == 0
+
+
+def test_components(spark):
+    r = random.Random(8)
+    edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, 5000)]
+    group = {x: x for e in edges for x in e}
+    for _ in range(200):
+        for a, b in edges:
+            group[a] = group[b] = min(group[a], group[b])
+    got = {x[0]: x[1] for x in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: v for k, v in group.items() if k != v}
