@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,19 +43,21 @@ def plan(positions: list[int], penalties: list[float], limit: int = LIMIT) -> li
     """
     n = len(positions)
     cost, back = [0.0] * n, [0] * n
-    queue: deque[tuple[float, int]] = deque([(positions[0], 0)])  # cost + position, ascending
-    exact: dict[int, list[int]] = {}  # for a position, those a power of two before it
     place = np.array(positions)
+    exact: dict[int, list[int]] = {}  # for a position, those a power of two before it
     for p in (1 << k for k in range(limit.bit_length())):
         k = np.searchsorted(place, place - p)
-        for j in np.flatnonzero(place[k] == place - p).tolist():
-            exact.setdefault(j, []).append(int(k[j]))
+        hits = np.flatnonzero(place[k] == place - p)
+        for j, i in zip(hits.tolist(), k[hits].tolist()):
+            exact.setdefault(j, []).append(i)
+    reach = np.searchsorted(place, place - limit).tolist()  # the first start within the limit
+    values, starts, head = [float(positions[0])], [0], 0  # cost + position, ascending from head on
     for j in range(1, n):
-        here = positions[j]
-        while positions[queue[0][1]] < here - limit:
-            queue.popleft()
-        value, i = queue[0]
-        best = value + limit - here
+        here, first = positions[j], reach[j]
+        while starts[head] < first:
+            head += 1
+        i = starts[head]
+        best = values[head] + limit - here
         if j in exact:  # lengths without padding
             for k in exact[j]:
                 if cost[k] < best:
@@ -64,9 +65,11 @@ def plan(positions: list[int], penalties: list[float], limit: int = LIMIT) -> li
         best += penalties[j]
         cost[j], back[j] = best, i
         v = best + here
-        while queue and queue[-1][0] >= v:
-            queue.pop()
-        queue.append((v, j))
+        while len(values) > head and values[-1] >= v:
+            values.pop()
+            starts.pop()
+        values.append(v)
+        starts.append(j)
     cuts, j = [n - 1], n - 1
     while j:
         j = back[j]
