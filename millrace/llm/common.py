@@ -40,6 +40,18 @@ def saved(df: DataFrame, name: str = "data") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: dict = {}
+
+
+def for_worker(key: tuple, make):
+    """What an operator keeps in a worker process between tasks: one thing at a time, so that the
+    tables of one operator are gone when another uses the worker."""
+    if _kept.get("key") != key:
+        _kept.clear()
+        _kept.update(key=key, value=make())
+    return _kept["value"]
+
+
 def remainder(column: str, divisor: int):
     """crc32 of the id written in decimal, modulo ``divisor`` (null ids: 0)."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(0)) % divisor

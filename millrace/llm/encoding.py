@@ -12,6 +12,8 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+from .common import for_worker
+
 _AFTER_BLANK = re.compile(r"\s ")
 _GLUED = re.compile(r"(?<=\S) ")
 # The word patterns of the two vocabularies, for text that is all ASCII.
@@ -19,7 +21,7 @@ _WORDS = {
     "byte": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII),
     "word": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII),
 }
-KEPT = 900_000
+KEPT = 500_000
 
 
 def portions(texts: Iterable[str | None], size: int = 2_000_000) -> Iterator[list[str]]:
@@ -84,11 +86,6 @@ class Encoder:
                 yield b"".join(map(look, x))
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, kind: str) -> Encoder:
     """One for each worker process."""
-    if (path, kind) not in _encoders:
-        _encoders[path, kind] = Encoder(path, kind)
-    return _encoders[path, kind]
+    return for_worker(("encoder", path, kind), lambda: Encoder(path, kind))

@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import for_worker, remainder, table
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _LONGEST = 32  # characters of a word that are cut at once
-_KEPT_CHUNKS = 500_000
+_KEPT_CHUNKS = 300_000
 
 
 def vocabulary(model_path: str) -> list[str]:
@@ -205,9 +205,6 @@ def train(docs: DataFrame, tokenizer_path: str, max_train_docs: int = 1500, fold
     return learn(counts, vocabulary(tokenizer_path))
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """Every column of ``docs`` as it is, and lang_pred, lang_score (0 to 1: the posterior).
 
@@ -218,10 +215,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorers.get(key)
-        if scorer is None:
-            _scorers.clear()
-            scorer = _scorers[key] = Scorer(sent.value)
+        scorer = for_worker(("langid", key), lambda: Scorer(sent.value))
         for b in batches:
             got = scorer.predict(b.column(at).to_pylist())
             columns = [*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import for_worker, table
 from .encoding import portions
 
 SPACE = "▁"
@@ -203,13 +203,8 @@ class Pieces:
         return self.library.decode(ids.tolist())
 
 
-_models: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
-    if path not in _models:
-        _models[path] = Pieces(path)
-    return _models[path]
+    return for_worker(("pieces", path), lambda: Pieces(path))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
