@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import saved, scratch, table
 from .encoding import encoder
 
 END = 2
@@ -76,7 +76,7 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 
     rows = read(spark, path).select("doc_id", "ids", F.input_file_name().alias("file"))
     rows = rows.mapInArrow(run, "doc_id long, file string, n_tokens long, ids_crc32 long")
-    rows = rows.withColumn("file", F.regexp_extract("file", r"part-(\d+)", 1).cast("long"))
+    rows = saved(rows.withColumn("file", F.regexp_extract("file", r"part-(\d+)", 1).cast("long")), "digest")  # the files are read once
     inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
