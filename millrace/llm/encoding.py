@@ -1,8 +1,11 @@
 """Whole-text encoding with the tokenizers library, one library call for each new word.
 
 Pre-tokenisation never lets a token span a space that follows a non-blank character, so a text's
-ids are those of its parts between such spaces. Parts, and the words in them, are kept per worker in
-tables of bounded size, as little-endian unsigned 32-bit ids; a text is then a join of kept bytes.
+ids are those of its parts between such spaces. A part of ASCII and Latin-1 letters, which the
+normaliser leaves composed, is cut into the vocabulary's words, and the library's model encodes
+each word that is new; a part with any other character goes to the library whole. Parts and words
+are kept per worker in tables of bounded size, as little-endian unsigned 32-bit ids; a text is then
+a join of kept bytes.
 """
 
 from __future__ import annotations
@@ -16,12 +19,18 @@ from .common import for_worker
 
 _AFTER_BLANK = re.compile(r"\s ")
 _GLUED = re.compile(r"(?<=\S) ")
-# The word patterns of the two vocabularies, for text that is all ASCII.
+# The word patterns of the two vocabularies, for text of ASCII and Latin-1 letters.
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _WORDS = {
-    "byte": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII),
-    "word": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII),
+    "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z{_LATIN}]+| ?[0-9]+| ?[^\sA-Za-z0-9{_LATIN}]+|\s+(?!\S)|\s+", re.ASCII),
+    "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^\sa-z0-9{_LATIN}]+", re.ASCII),
 }
+_OTHER = re.compile(rf"[^\x00-\x7f{_LATIN}]")
+# Byte-level vocabularies write a byte as a character: itself where it is visible, else one above 255.
+_HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+_VISIBLE = {b: 256 + n for n, b in enumerate(_HIDDEN)}
 KEPT = 500_000
+LONGEST_KEPT = 64
 
 
 def portions(texts: Iterable[str | None], size: int = 2_000_000) -> Iterator[list[str]]:
@@ -37,6 +46,23 @@ def portions(texts: Iterable[str | None], size: int = 2_000_000) -> Iterator[lis
         yield part
 
 
+class _Table(dict):
+    """Ids by string, made by ``make`` when first asked for. A full table forgets its newest half:
+    what is frequent is met early, so that stays."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str | tuple[str]) -> bytes:
+        ids = self.make(key)
+        if len(ids) <= 4 * LONGEST_KEPT and len(key if isinstance(key, str) else key[0]) <= LONGEST_KEPT:
+            if len(self) >= KEPT:
+                for _ in range(KEPT // 2):
+                    self.popitem()
+            self[key] = ids
+        return ids
+
+
 class Encoder:
     """kind "byte": byte-level BPE, a part keeps the space before it; "word": white space is dropped."""
 
@@ -44,13 +70,21 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.pattern = Tokenizer.from_file(path), kind, _WORDS[kind]
+        self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.parts, self.words = _Table(self.part), _Table(self.word)
+        self.look, self.find, self.tokenize = self.words.__getitem__, _WORDS[kind].findall, self.tokenizer.model.tokenize
+
+    def word(self, word: str) -> bytes:
+        written = word.encode().decode("latin-1").translate(_VISIBLE)
+        return array("I", [t.id for t in self.tokenize(written)]).tobytes()
 
-    def call(self, strings: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+    def part(self, key: str | tuple[str]) -> bytes:
+        if self.kind == "byte":
+            key = key[0] if isinstance(key, tuple) else " " + key
+        if not key.isascii() and _OTHER.search(key):
+            return array("I", self.tokenizer.encode(key, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.look, self.find(key.lower() if self.kind == "word" else key)))
 
     def cut(self, text: str) -> list[str | tuple[str]]:
         """Keys of a text's parts; the first part has no space before it, which a tuple says."""
@@ -60,30 +94,11 @@ class Encoder:
         cut[0] = (cut[0],)
         return cut
 
-    def meet(self, keys: list[str | tuple[str]]) -> None:
-        if len(self.words) > KEPT:
-            self.words.clear()
-        parts = keys if self.kind == "word" else [k[0] if isinstance(k, tuple) else " " + k for k in keys]
-        plain = [(k, p) for k, p in zip(keys, parts) if p.isascii()]
-        other = [(k, p) for k, p in zip(keys, parts) if not p.isascii()]
-        cut = [self.pattern.findall(p.lower() if self.kind == "word" else p) for _, p in plain]
-        new = list({w for x in cut for w in x if w not in self.words})
-        self.words.update(zip(new, self.call(new)))
-        look = self.words.__getitem__
-        self.parts.update((k, b"".join(map(look, x))) for (k, _), x in zip(plain, cut))
-        self.parts.update(zip([k for k, _ in other], self.call([p for _, p in other])))
-
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        for portion in portions(texts):
-            if len(self.parts) > KEPT:
-                self.parts.clear()
-            cut = [self.cut(t) for t in portion]
-            kept = self.parts
-            if new := {c for x in cut for c in x if c not in kept}:
-                self.meet(list(new))
-            look = kept.__getitem__
-            for x in cut:
-                yield b"".join(map(look, x))
+        """Ids of each whole text (null: empty)."""
+        look = self.parts.__getitem__
+        for t in texts:
+            yield b"".join(map(look, self.cut(t or "")))
 
 
 def encoder(path: str, kind: str) -> Encoder:
