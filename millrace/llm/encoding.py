@@ -28,7 +28,8 @@ _WORDS = {
 _OTHER = re.compile(rf"[^\x00-\x7f{_LATIN}]")
 # Byte-level vocabularies write a byte as a character: itself where it is visible, else one above 255.
 _HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
-_VISIBLE = {b: 256 + n for n, b in enumerate(_HIDDEN)}
+_WRITTEN = "".join(chr(256 + _HIDDEN.index(b) if b in _HIDDEN else b) for b in range(256))
+_SPACE = _WRITTEN[0x20]
 KEPT = 500_000
 LONGEST_KEPT = 64
 
@@ -55,7 +56,7 @@ class _Table(dict):
 
     def __missing__(self, key: str | tuple[str]) -> bytes:
         ids = self.make(key)
-        if len(ids) <= 4 * LONGEST_KEPT and len(key if isinstance(key, str) else key[0]) <= LONGEST_KEPT:
+        if len(ids) <= 4 * LONGEST_KEPT and len(key) <= LONGEST_KEPT:  # a tuple's string is bounded by its ids
             if len(self) >= KEPT:
                 for _ in range(KEPT // 2):
                     self.popitem()
@@ -76,7 +77,10 @@ class Encoder:
         self.look, self.find, self.tokenize = self.words.__getitem__, _WORDS[kind].findall, self.tokenizer.model.tokenize
 
     def word(self, word: str) -> bytes:
-        written = word.encode().decode("latin-1").translate(_VISIBLE)
+        if word.isascii() and word.isprintable():  # of these bytes only the space is hidden
+            written = word.replace(" ", _SPACE)
+        else:
+            written = word.encode().decode("latin-1").translate(_WRITTEN)
         return array("I", [t.id for t in self.tokenize(written)]).tobytes()
 
     def part(self, key: str | tuple[str]) -> bytes:

@@ -44,12 +44,15 @@ def plan(positions: list[int], penalties: list[float], limit: int = LIMIT) -> li
     n = len(positions)
     cost, back = [0.0] * n, [0] * n
     place = np.array(positions)
-    exact: dict[int, list[int]] = {}  # for a position, those a power of two before it
+    exact: list[list[int] | None] = [None] * n  # for a position, those a power of two before it
     for p in (1 << k for k in range(limit.bit_length())):
         k = np.searchsorted(place, place - p)
         hits = np.flatnonzero(place[k] == place - p)
         for j, i in zip(hits.tolist(), k[hits].tolist()):
-            exact.setdefault(j, []).append(i)
+            if exact[j] is None:
+                exact[j] = [i]
+            else:
+                exact[j].append(i)
     reach = np.searchsorted(place, place - limit).tolist()  # the first start within the limit
     values, starts, head = [float(positions[0])], [0], 0  # cost + position, ascending from head on
     for j in range(1, n):
@@ -58,8 +61,8 @@ def plan(positions: list[int], penalties: list[float], limit: int = LIMIT) -> li
             head += 1
         i = starts[head]
         best = values[head] + limit - here
-        if j in exact:  # lengths without padding
-            for k in exact[j]:
+        if near := exact[j]:  # lengths without padding
+            for k in near:
                 if cost[k] < best:
                     best, i = cost[k], k
         best += penalties[j]
@@ -110,10 +113,10 @@ class Packer:
         cuts = plan(known.tolist(), penalty[known].tolist(), self.limit)
         if not last and len(cuts) > 2:
             cuts = cuts[:-1]  # the last window is planned again with what follows
-        starts = (doc_ends - sizes).tolist()
+        starts, ends = (doc_ends - sizes).tolist(), doc_ends.tolist()
         for s, e in zip(cuts[:-1], cuts[1:]):
             offset = 0
-            d = bisect_left(doc_ends.tolist(), s + 1) if s == cuts[0] else d
+            d = bisect_left(ends, s + 1) if s == cuts[0] else d
             while offset < e - s:
                 doc = self.docs[d]
                 n = min(starts[d] + sizes[d], e) - (s + offset)
