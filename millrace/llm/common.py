@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -48,10 +50,25 @@ def for_worker(key: tuple, make):
     tables of one operator are gone when another uses the worker."""
     if _kept.get("key") != key:
         _kept.clear()
+        give_back()
         _kept.update(key=key, value=make())
     return _kept["value"]
 
 
+def keeps_nothing(name: str) -> None:
+    """Called by tasks of an operator without tables: those of the operator before it go."""
+    for_worker((name,), lambda: None)
+
+
+def give_back() -> None:
+    """Free memory that the allocators still hold goes back to the system, where they can do that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def remainder(column: str, divisor: int):
     """crc32 of the id written in decimal, modulo ``divisor`` (null ids: 0)."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(0)) % divisor

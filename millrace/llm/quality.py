@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table, text_bytes
+from .common import keeps_nothing, remainder, table, text_bytes
 
 PASSAGE_BYTES = 400
 MAX_PASSAGES = 256
@@ -167,6 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 3000, folds:
     few = F.broadcast(spark.createDataFrame(chosen, "doc_id long, quality int"))  # max_train_docs rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps_nothing("quality")
         for b in batches:
             bags = [encode(t).astype(np.float32).tobytes() for t in text_bytes(b.column(0))]
             yield pa.record_batch([b.column(1), pa.array(bags, pa.binary())], ["quality", "bag"])
@@ -189,6 +190,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     at, names = docs.columns.index("text"), schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps_nothing("quality")
         for b in batches:
             got = [sent.value.score([encode(t) for t in part]) for part in _portions(text_bytes(b.column(at)))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(got) if got else np.zeros(0))], names=names)

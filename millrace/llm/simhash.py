@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, saved, table
+from .common import components, keeps_nothing, saved, table
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -57,6 +57,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the fingerprint of each whole text as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps_nothing("simhash")
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
             fp = np.array([fingerprint(t) if t else 0 for t in texts], np.uint64).view(np.int64)
@@ -112,6 +113,7 @@ def golay_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keeps_nothing("simhash")
     for b in batches:
         for at in range(0, b.num_rows, 4096):
             part = b.slice(at, 4096)

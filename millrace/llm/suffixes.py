@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table, text_bytes
+from .common import keeps_nothing, saved, table, text_bytes
 
 LENGTH = 100
 ANCHOR = 32
@@ -134,6 +134,7 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [key, np.concatenate([c[new].view(np.int64), e]), np.concatenate([rid[new], r]), np.concatenate([_pack(m, left, right)[new], -1 - s])]
         return pa.record_batch([pa.array(x) for x in columns], ["key", "ctx", "rid", "at"])
 
+    keeps_nothing("suffixes")
     rids, parts, held = [], [], 0
     for b in batches:
         for rid, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
@@ -155,6 +156,7 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = [pa.array(key, pa.int64()), *(pa.array(np.asarray(z, np.int64)) for z in (rid, x, y))]
         return pa.record_batch(arrays, ["key", "rid", "x", "y"])
 
+    keeps_nothing("suffixes")
     last = np.zeros((0, 4), np.int64)  # the latest context's first row, not yet judged
     before = False  # whether another context came before it
     for b in batches:
@@ -305,6 +307,7 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, s, e = merged(rid[ctx], s, s + LENGTH)
         return pa.record_batch([pa.array(x) for x in (r, s, e)], ["rid", "x", "y"])
 
+    keeps_nothing("suffixes")
     rows: list = []
     for b in batches:
         for row in zip(*(b.column(k).to_pylist() for k in range(4))):
@@ -318,6 +321,7 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, rid, list of (key, at)) to one row for each context with its bytes."""
+    keeps_nothing("suffixes")
     for b in batches:
         out: list = []
         for text, rid, keys, places in zip(text_bytes(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
