@@ -11,6 +11,9 @@ from millrace.llm.common import DOCUMENT_COLUMNS, saved, table
 #: A language is taken as known from this posterior on.
 LANGUAGE_SCORE = 0.5
 
+#: Texts are near copies from this Jaccard similarity of their five-word shingles on.
+SIMILARITY = 0.8
+
 
 def _columns(df: DataFrame) -> DataFrame:
     return df.select(*DOCUMENT_COLUMNS)
@@ -34,9 +37,12 @@ def filter_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates; rows without an id stay."""
+    """The document with the smallest doc_id of each group of near-duplicates; rows without an id stay.
+
+    Linked are fingerprints within two bits, as in op3, and texts of SIMILARITY or more.
+    """
     docs = _columns(docs)
-    groups = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    groups = simhash.near_duplicates(docs, similarity=SIMILARITY).where("doc_id = component_id").select("doc_id").distinct()
     return _columns(docs.join(groups, "doc_id")).unionByName(docs.where("doc_id is null"))
 
 

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import components, keeps_nothing, saved, table
 
 SHINGLE_WORDS = 3
@@ -145,17 +146,23 @@ def links(classes: DataFrame, bucket_cap: int = 128, distance: int = 2) -> DataF
     return near.unionByName(star)
 
 
-def near_duplicates(docs: DataFrame, bucket_cap: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, bucket_cap: int = 128, similarity: float | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
 
     Null or blank texts have fingerprint zero and are linked like any other. Repeated rows stay
     repeated; a null doc_id keeps a null component unless its group holds an id. Other columns of
     ``docs`` are ignored, an empty table gives an empty result.
+
+    With ``similarity`` texts whose five-word shingles have that Jaccard similarity or more are linked too.
     """
     prints = saved(fingerprints(docs), "prints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null")
     classes = saved(classes, "classes")
-    c = components(links(classes, bucket_cap))
+    edges = links(classes, bucket_cap)
+    if similarity is not None:
+        of_class = prints.where("doc_id is not null").join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        edges = edges.unionByName(of_class).unionByName(similar.edges(docs, similarity))
+    c = components(edges)
     group = classes.join(c.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(group, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
