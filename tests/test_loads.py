@@ -122,6 +122,15 @@ def test_dry_run_writes_nothing(spark, stores):
     assert stores[1].tables() == []
 
 
+def test_dry_run_plans_every_table(spark, tmp_path):
+    names = [f"t{n:02}" for n in range(13)]
+    source = Store(spark, str(tmp_path / "many"))
+    for t in names:
+        source.write(t, spark.range(1).toDF("id"))
+    config = runner.Config(source=str(tmp_path / "many"), target=str(tmp_path / "none"), mode="full", dry_run=True)
+    assert runner.run(spark, config).tables == {t: {"status": "planned", "level": 0} for t in names}
+
+
 def test_stream_of_changes(spark, stores, tmp_path):
     schema = "id int, v string, at int"
     table(spark, [(1, "x", 1), (1, "y", 2), (2, "z", 1)], schema).write.parquet(str(tmp_path / "in"))
