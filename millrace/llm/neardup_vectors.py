@@ -1,174 +1,260 @@
 """Near-duplicate embeddings by cross-polytope hashing.
 
 A vector is rotated by three rounds of random signs and fast Hadamard transforms; its hash is the
-signed axis that it then lies nearest to. A table's key joins ``HASHES`` such hashes; besides its
-own, a vector has the keys of its next best axes (multiprobe). Vectors that share a key meet in a
-bucket, where every pair of them is verified by cosine in double precision, a block of vectors
-against a block at a time. Buckets of any size are dealt out by pairs of blocks, so no task holds
-more than two blocks, and nothing is emitted for pairs: only link counts for each vector and the
-spanning edges of a block's components. A pair counts in the first key that both share.
-
-Measured against brute force, the tables find over 0.99 of the pairs at cosine 0.95 or more.
+signed axis that it then lies nearest to. A table's key joins several such hashes, as many as keep
+unrelated vectors apart at the number of vectors there are; besides its own, a vector has the keys
+of its next best axes (multiprobe). The number of tables is what finds at least ``RECALL`` of simulated
+pairs at the cosine asked for, in the dimension at hand.
+
+Vectors that share a key meet in a bucket, where every pair of them is verified by cosine in double
+precision, a block of vectors against a block at a time. Buckets of any size are dealt out by pairs
+of blocks, so no task holds more than two blocks, and nothing is emitted for pairs: only link counts
+for each vector and the spanning edges of a block's components. A pair counts in the first key that
+both share. Exact counts make this work quadratic inside a group of vectors that are all linked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, saved, table
+from .common import block_pairs, components, keeps_nothing, saved, table
 
 COSINE = 0.95
-TABLES = 6
-HASHES = 3
+RECALL = 0.995
 PROBES = 4
 BLOCK = 1024
+#: Codes of a table for each vector, at least; with them buckets of unrelated vectors stay small at any number.
+SPARSENESS = 16
+
+
+@lru_cache(maxsize=8)
+def _sylvester(size: int) -> np.ndarray:
+    h = np.ones((1, 1))
+    while len(h) < size:
+        h = np.block([[h, h], [h, -h]])
+    return h
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Walsh-Hadamard transform of each row; the length is a power of two."""
-    n, size, step = len(x), x.shape[1], 1
+    """Walsh-Hadamard transform of the last axis, whose length is a power of two: butterflies of
+    up to 64 values at a time."""
+    shape, size = x.shape, x.shape[-1]
+    step = min(64, size)
+    x = x.reshape(-1, step) @ _sylvester(step)
     while step < size:
-        x = x.reshape(n, -1, 2, step)
-        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], 2)
-        step *= 2
-    return x.reshape(n, size)
+        radix = min(64, size // step)
+        x = np.matmul(_sylvester(radix), x.reshape(-1, radix, step))
+        step *= radix
+    return x.reshape(shape)
+
+
+def hashes_for(count: int, dim: int) -> int:
+    """Hashes of a key so that ``count`` vectors have SPARSENESS codes each."""
+    codes = 2 * _padded(dim)
+    n = 1
+    while codes**n < SPARSENESS * count and codes ** (n + 1) < 1 << 57:
+        n += 1
+    return n
+
 
+def _padded(dim: int) -> int:
+    return 1 << max(1, (dim - 1).bit_length())
 
-def keys(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, seed: int = 11) -> np.ndarray:
-    """Unit vectors (n, dim) to keys (n, tables, probes); repeats among a table's probes can't occur."""
+
+@lru_cache(maxsize=64)
+def _signs(dim: int, table: int, hashes: int) -> np.ndarray:
+    return np.random.default_rng([11, dim, table]).choice([-1.0, 1.0], (hashes, 3, _padded(dim)))
+
+
+def keys(x: np.ndarray, tables: int, hashes: int, probes: int = PROBES) -> np.ndarray:
+    """Unit vectors (n, dim) to keys (n, tables, probes); a table's probes differ.
+
+    With fewer than ``probes`` choices of axes the last one is repeated.
+    """
     n, dim = x.shape
-    size = 1 << max(1, (dim - 1).bit_length())
+    size = _padded(dim)
     x = np.pad(x, ((0, 0), (0, size - dim)))
-    signs = np.random.default_rng([seed, dim]).choice([-1.0, 1.0], (tables, hashes, 3, size))
     out = np.empty((n, tables, probes), np.int64)
+    masks = np.array([[m >> h & 1 for h in range(hashes)] for m in range(1 << hashes)])
+    rows = np.arange(n)
     for t in range(tables):
-        first, second, loss = [], [], []
-        for h in range(hashes):
+        first, second, loss = (np.empty((n, hashes), np.int64), np.empty((n, hashes), np.int64), np.empty((n, hashes)))
+        for h, rounds in enumerate(_signs(dim, t, hashes)):
             y = x
-            for s in signs[t, h]:
+            for s in rounds:
                 y = hadamard(y * s)
-            size_of = np.abs(y)
-            top = np.argpartition(-size_of, 1, axis=1)[:, :2]
-            own = np.take_along_axis(size_of, top, 1)
-            top = np.take_along_axis(top, np.argsort(-own, 1), 1)
-            value = np.take_along_axis(y, top, 1)
-            code = 2 * top + (value < 0)
-            first.append(code[:, 0])
-            second.append(code[:, 1])
-            loss.append(np.abs(value[:, 0]) - np.abs(value[:, 1]))
-        first, second, loss = np.stack(first, 1), np.stack(second, 1), np.stack(loss, 1)
+            far = np.abs(y)
+            for code, sign in ((first, 1), (second, -1)):  # the two axes nearest to the vector
+                at = far.argmax(1)
+                code[:, h] = 2 * at + (y[rows, at] < 0)
+                loss[:, h] = far[rows, at] if sign == 1 else loss[:, h] - far[rows, at]
+                far[rows, at] = -1
         # Probes: sets of hashes that take their second axis, cheapest total loss first.
-        masks = np.array([[m >> h & 1 for h in range(hashes)] for m in range(1 << hashes)])
         order = np.argsort(loss @ masks.T, 1, kind="stable")[:, :probes]
-        chosen = np.where(masks[order].astype(bool), second[:, None], first[:, None])
-        key = np.full(chosen.shape[:2], t, np.int64)
+        if order.shape[1] < probes:
+            order = np.pad(order, ((0, 0), (0, probes - order.shape[1])), mode="edge")
+        key = np.full(order.shape, t, np.int64)
         for h in range(hashes):
-            key = key * (2 * size) + chosen[:, :, h]
+            key = key * (2 * size) + np.where(masks[order, h] == 1, second[:, h : h + 1], first[:, h : h + 1])
         out[:, t] = key
     return out
 
 
+@lru_cache(maxsize=64)
+def tables_for(dim: int, hashes: int, cosine: float = COSINE, recall: float = RECALL, probes: int = PROBES) -> int:
+    """Tables that find ``recall`` of 4000 simulated pairs at exactly that cosine; nearer pairs are found more often."""
+    if dim == 1 or cosine >= 1:
+        return 1
+    r = np.random.default_rng([5, dim])
+    a, b = unit(r.normal(size=(4000, dim))), r.normal(size=(4000, dim))
+    b = unit(b - (a * b).sum(1, keepdims=True) * a)
+    b = cosine * a + np.sqrt(1 - cosine * cosine) * b
+    p = (keys(a, 1, hashes, probes)[:, 0, :, None] == keys(b, 1, hashes, probes)[:, 0, None, :]).any((1, 2)).mean()
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - min(max(p, 1e-3), 0.999))))
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index that each of n reaches over the pairs (a, b)."""
-    own = np.arange(n)
-    while True:
-        low = np.minimum(own[a], own[b])
-        new = own.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, own[a], low)
-        np.minimum.at(new, own[b], low)
-        new = new[new]
-        if (new == own).all():
-            return own
-        own = new
+def labels(linked: np.ndarray) -> np.ndarray:
+    """linked: a symmetric boolean matrix. The smallest index that each row reaches."""
+    n = len(linked)
+    own, left = np.full(n, -1), np.ones(n, bool)
+    for i in range(n):
+        if left[i]:
+            own[i], left[i] = i, False
+            front = np.array([i])
+            while len(front):
+                near = linked[front].any(0) & left
+                left &= ~near
+                front = np.flatnonzero(near)
+                own[front] = i
+    return own
+
+
+def shared_before(key: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether rows of two key tables (n, m) share a key smaller than ``key``: (n, n')."""
+    both = np.concatenate([left, right])
+    known, place, times = np.unique(both, return_inverse=True, return_counts=True)
+    use = (times > 1) & (known < key)
+    column, place = np.cumsum(use) - 1, place.reshape(both.shape)
+    flags = np.zeros((len(both), int(use.sum())), np.float32)
+    row, at = np.nonzero(use[place])
+    flags[row, column[place[row, at]]] = 1
+    return flags[: len(left)] @ flags[len(left) :].T > 0
 
 
 def verify(key: int, x: np.ndarray, ks: np.ndarray, copies: np.ndarray, side: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """A bucket's block pair. side: 0 and 1 for two blocks, 2 for one against itself.
+    """A bucket's block pair. ks: keys (n, tables * probes). side: 0 and 1 for two blocks, 2 for one against itself.
 
     Returns for each vector the rows linked to it here first, and the smallest index it reaches.
     """
-    if side[0] == 2:
-        left = right = np.arange(len(x))
-    else:
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    n = len(x)
+    whole = side[0] == 2
+    left = np.arange(n) if whole else np.flatnonzero(side == 0)
+    right = left if whole else np.flatnonzero(side == 1)
     s = x[left] @ x[right].T >= cosine
-    if side[0] == 2:
-        s = np.triu(s, 1)
-    a, b = np.nonzero(s)
-    a, b = left[a], right[b]
-    reach = labels(len(x), a, b)
-    first = np.ones(len(a), bool)
-    tables = ks.shape[1]
-    for at in range(0, len(a), 65536):
-        p, q = a[at : at + 65536], b[at : at + 65536]
-        smallest = np.full(len(p), np.iinfo(np.int64).max)
-        for t in range(tables):
-            kp, kq = ks[p, t], ks[q, t]
-            both = (kp[:, :, None] == kq[:, None, :]).any(2)
-            smallest = np.minimum(smallest, np.where(both, kp, np.iinfo(np.int64).max).min(1))
-        first[at : at + 65536] = smallest == key
-    a, b = a[first], b[first]
-    return np.bincount(a, copies[b], len(x)) + np.bincount(b, copies[a], len(x)), reach
-
-
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 2048):
-            part = b.slice(at, 2048)
-            rep, vectors = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_pylist()
-            sizes = np.array([len(v) // 8 for v in vectors])
-            for dim in np.unique(sizes):
-                at_dim = np.flatnonzero(sizes == dim)
-                x = np.frombuffer(b"".join(vectors[i] for i in at_dim)).reshape(-1, dim)
-                k = keys(x)
-                flat = pa.array(k.reshape(-1))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * k[0].size), flat)
-                yield pa.record_batch([pa.array(rep[at_dim]), pa.array(np.full(len(k), dim, np.int32)), lists], ["rep", "dim", "keys"])
+    if whole:
+        s &= s.T  # rounding may differ
+        np.fill_diagonal(s, False)
+    count = np.zeros(n, np.int64)
+    if not s.any():
+        return count, np.arange(n)
+    linked = s
+    if not whole:
+        linked = np.zeros((n, n), bool)
+        linked[np.ix_(left, right)] = s
+        linked |= linked.T
+    reach = labels(linked)
+    a, b = s.any(1), s.any(0)  # only those with a link are looked at further
+    new = s[np.ix_(a, b)] & ~shared_before(key, ks[left[a]], ks[right[b]])
+    count[left[a]] += (new @ copies[right[b]].astype(float)).astype(np.int64)
+    if not whole:
+        count[right[b]] += (copies[left[a]].astype(float) @ new).astype(np.int64)
+    return count, reach
+
+
+def _floats(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column without nulls: its bytes, and where each value begins and ends."""
+    column = column.cast(pa.large_binary())
+    size = len(column)
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + size + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return data, offsets
+
+
+def _rows_of(column: pa.Array, dim: int) -> np.ndarray:
+    """A binary column of ``dim`` doubles each as a matrix."""
+    data, offsets = _floats(column)
+    return data[offsets[0] : offsets[-1]].view(np.float64).reshape(-1, dim) if len(column) else np.zeros((0, dim))
+
+
+def _hashed(count: int, cosine: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps_nothing("vectors")
+        for b in batches:
+            sizes = np.diff(_floats(b.column(1))[1]) // 8
+            for dim in np.unique(sizes).tolist():
+                part = pa.Table.from_batches([b]).filter(pa.array(sizes == dim)).combine_chunks()
+                hashes = hashes_for(count, dim)
+                tables = tables_for(dim, hashes, cosine)
+                for at in range(0, part.num_rows, max(16, (1 << 18) // dim)):
+                    some = part.slice(at, max(16, (1 << 18) // dim)).combine_chunks()
+                    x = _rows_of(some.column(1).chunk(0), dim)
+                    k = keys(x, tables, hashes).reshape(len(x), -1)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * k.shape[1]), pa.array(k.ravel()))
+                    yield pa.record_batch([some.column(0).chunk(0), pa.array(np.full(len(k), dim, np.int32)), lists], ["cls", "dim", "keys"])
+
+    return run
+
+
+_MET = "key", "dim", "lo", "hi", "side", "cls", "copies", "vec", "keys"
 
 
 def _checked(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
-        name, out = None, []
-
-        def close():
-            if name is not None and len(held["rep"]) > 1:
-                rep = np.array(held["rep"])
-                x = np.frombuffer(b"".join(held["vec"])).reshape(len(rep), -1)
-                ks = np.array(held["keys"]).reshape(len(rep), TABLES, PROBES)
-                n, reach = verify(name[0], x, ks, np.array(held["copies"]), np.array(held["side"]), cosine)
-                for i in np.flatnonzero((n > 0) | (reach != np.arange(len(rep)))):
-                    out.append((int(rep[i]), int(rep[reach[i]]), int(n[i])))
-
-        def batch():
-            columns = list(zip(*out)) or [[], [], []]
+        keeps_nothing("vectors")
+        rest, out = None, []
+
+        def batch() -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
             out.clear()
-            return pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["rep", "other", "links"])
+            return pa.record_batch([pa.array(c) for c in columns], ["cls", "other", "links"])
+
+        def judge(b: pa.RecordBatch, cuts: list[int]) -> None:
+            """The rows of the block pairs between the cuts."""
+            key, dim, side, cls, copies = (b.column(k).to_numpy() for k in (0, 1, 4, 5, 6))
+            data, vec_at = _floats(b.column(7))
+            flat, keys_at = b.column(8).values.to_numpy(), b.column(8).offsets.to_numpy()
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if e - s < 2 or side[s] < 2 and side[s] == side[e - 1]:  # sorted by side; one block alone
+                    continue
+                x = data[vec_at[s] : vec_at[e]].view(np.float64).reshape(e - s, dim[s])
+                ks = flat[keys_at[s] : keys_at[e]].reshape(e - s, -1)
+                n, reach = verify(int(key[s]), x, ks, copies[s:e], side[s:e], cosine)
+                met = np.flatnonzero((n > 0) | (reach != np.arange(e - s)))
+                if len(met):
+                    out.append((cls[s:e][met], cls[s:e][reach[met]], n[met]))
 
         for b in batches:
-            columns = [b.column(k).to_pylist() for k in range(4)]
-            rows = zip(*columns, *(b.column(k).to_pylist() for k in range(4, 9)))
-            for key, dim, lo, hi, side, rep, copies, vec, ks in rows:
-                if name != (key, dim, lo, hi):
-                    close()
-                    name, held = (key, dim, lo, hi), {"side": [], "rep": [], "copies": [], "vec": [], "keys": []}
-                for k, v in zip(held, (side, rep, copies, vec, ks)):
-                    held[k].append(v)
-            if len(out) > 10_000:
+            if rest is not None:
+                b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+            place = np.stack([b.column(k).to_numpy() for k in range(4)], 1)
+            cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1).tolist()]
+            judge(b, cuts)
+            rest = b.slice(cuts[-1])
+            if len(out) > 1000:
                 yield batch()
-        close()
+        if rest is not None:
+            judge(rest, [0, rest.num_rows])
         yield batch()
 
     return run
@@ -178,9 +264,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding).
 
     Vectors that are null, empty or zero, or hold a null or non-finite component, link with nothing;
-    so do vectors of different length with each other. Equal vectors are compared once and counted
-    as often as they occur; repeated ids count as rows of their own and share a component. Other
-    columns are ignored; an empty table gives an empty result.
+    so do vectors of different length with each other. Every row is a vector of its own: rows that
+    repeat an id, or lack one, link by their vectors alone, and equal vectors, which are compared
+    once, are links of each other. component_id is the smallest id reachable, null where no row of
+    the component has one; kept says whether it is the row's own. Other columns are ignored, and an
+    empty table gives an empty result. A vector of any length is hashed and compared whole.
     """
     v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -188,28 +276,42 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     v = v.withColumn("embedding", F.when(F.coalesce(sound, F.lit(False)), F.transform("embedding", lambda x: x + F.lit(0.0))))
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps_nothing("vectors")
         for b in batches:
-            vec = [unit(np.array([e]))[0].tobytes() if e else None for e in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(vec, pa.binary())], ["vec_id", "vec"])
+            lists = b.column(1)
+            sizes = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, np.diff(lists.offsets.to_numpy()))
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+            out: list = [None] * len(sizes)
+            for dim in np.unique(sizes[sizes > 0]).tolist():
+                rows = np.flatnonzero(sizes == dim)
+                x = unit(flat[(ends[rows] - dim)[:, None] + np.arange(dim)])
+                for i, value in zip(rows.tolist(), x):
+                    out[i] = value.tobytes()
+            yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], ["vec_id", "vec"])
 
     rows = saved(v.mapInArrow(normal, "vec_id long, vec binary"), "vectors")
-    usable = rows.where("vec is not null and vec_id is not null")
-    classes = saved(usable.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    hashed = saved(classes.select("rep", "vec").mapInArrow(_members, "rep long, dim int, keys array<long>"), "hashed")
-    each = hashed.select("rep", "dim", F.explode("keys").alias("key"))
-    full = each.groupBy("key", "dim").count().where("count > 1").select("key", "dim", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    each = each.join(full, ["key", "dim"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("key", "dim", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "rep")
-    met = each.join(classes, "rep").join(hashed.select("rep", "keys"), "rep")
-    met = met.select("key", "dim", "lo", "hi", "side", "rep", "copies", "vec", "keys")
+    usable = rows.where("vec is not null")
+    # A class is a distinct vector; its number is unique and fixed by being written.
+    classes = usable.groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = saved(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    hashed = classes.select("cls", "vec").mapInArrow(_hashed(classes.count(), cosine), "cls long, dim int, keys array<long>")
+    hashed = saved(hashed, "hashed")
+    each = hashed.select("cls", "dim", F.explode(F.array_distinct("keys")).alias("key"))
+    each = block_pairs(each, ["key", "dim"], "cls", block)
+    met = each.join(classes, "cls").join(hashed.select("cls", "keys"), "cls").select(*_MET)
     met = met.repartition("key", "dim", "lo", "hi").sortWithinPartitions("key", "dim", "lo", "hi", "side")
-    found = saved(met.mapInArrow(_checked(cosine), "rep long, other long, links long"), "found")
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(found.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    per = classes.join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    per = per.select("vec", F.coalesce("component", "rep").alias("group"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    return rows.join(per, "vec", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group", "vec_id").alias("component_id"), F.coalesce(F.coalesce("group", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"))
+    found = saved(met.mapInArrow(_checked(cosine), "cls long, other long, links long"), "found")
+    counts = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    groups = components(found.where("cls <> other").select(F.col("cls").alias("a"), F.col("other").alias("b")))
+    per = classes.join(counts, "cls", "left").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
+    per = per.withColumn("component", F.coalesce("component", "cls")).select("vec", "least", "copies", "component", F.coalesce("links", F.lit(0)).alias("links"))
+    per = saved(per, "linked")
+    least = saved(per.groupBy("component").agg(F.min("least").alias("group")), "least")
+    per = saved(per.join(least, "component").select("vec", "group", (F.col("copies") - 1 + F.col("links")).alias("links")), "groups")
+    own = F.col("vec_id").eqNullSafe(F.col("group"))
+    linked = usable.join(per, "vec").select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("group").alias("component_id"), own.alias("kept"))
+    alone = rows.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(alone)
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
