@@ -3,33 +3,40 @@
 1. Every window of ``LENGTH`` bytes is assigned to the 32-byte string in it whose hash is smallest
    (the leftmost of equals): its anchor. Equal windows have equal anchors at equal distances, so
    anchors are the buckets of the suffix sort. The stretch of text whose windows share an anchor is
-   its context. Contexts seen before are whole repeats; they are folded in the map tasks first and
-   then over all documents, so each task sends a context once however often it occurs.
-2. Where contexts differ around the same anchor, the suffixes that start at equal distance from it
-   are sorted by a merge sort that compares them through prefix polynomial hashes: binary search
-   over the hashes finds the common extension, and the next byte decides. Neighbours that agree on
-   ``LENGTH`` bytes are verified byte by byte; all but the earliest are repeats.
-   An anchor with more than ``cap`` different contexts is not sorted in one task: its windows are
-   grouped by their bytes instead, combined before the shuffle, which is exact as well.
+   its context. In a map task contexts that repeat within some megabytes are compared byte by byte
+   and folded, so that a task sends a context once however often it occurs, and one row for an
+   anchor to find out whether other tasks hold it too; anchors that occur once are dropped.
+2. All contexts of the other anchors are fetched as bytes. The suffixes that start at equal distance
+   from an anchor are sorted by a merge sort that compares them through prefix polynomial hashes:
+   binary search over the hashes finds the common extension, and the next byte decides. Neighbours
+   that agree on ``LENGTH`` bytes are verified byte by byte; all but the earliest are repeats.
+   Of contexts with the same bytes only the first is sorted, the others repeat it.
+   The windows of an anchor with more than ``cap`` contexts are dealt out by a hash of their bytes
+   before that same sort, so that no task holds them all.
 3. The repeats of each document are merged and cut out.
 
-Work and data moved are linear in the text: about one row of four numbers for 35 bytes.
+Work and data moved are linear in the text: about one row of four numbers for 35 bytes, and the
+bytes of contexts that occur in several tasks. Long texts are taken in overlapping pieces.
 """
 
 from __future__ import annotations
 
-
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keeps_nothing, saved, table, text_bytes
+from .common import keeps_nothing, numbered, saved, table, text_bytes
 
 LENGTH = 100
 ANCHOR = 32
+#: Window starts of a text that are looked at together, and text that is folded together.
+PIECE, FOLDED = 1 << 20, 1 << 25
+#: Contexts of an anchor beyond which its windows are dealt out.
+CAP = 2000
 _U = np.uint64
 BASE, BASE2 = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95)
 
@@ -115,75 +122,115 @@ def merged(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return rid[begin], start[begin], np.maximum.reduceat(end, begin)
 
 
-_ROW = "key long, ctx long, rid long, at long"
+_ROW = "key long, rid long, at long, x long"
+_EXTRA = 1 << 62
+
+
+def pieces(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """A text in pieces that overlap, so that each window starts in one."""
+    for s in range(0, max(1, len(text) - LENGTH + 1), PIECE):
+        yield s, text[s : s + PIECE + LENGTH - 1] if len(text) > PIECE else text
+
+
+def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether stretches of the same sizes that begin at a and b hold the same bytes."""
+    out = np.ones(len(a), bool)
+    for k in range(0, len(a), 20_000):
+        n = size[k : k + 20_000]
+        end = np.cumsum(n)
+        step = np.arange(int(end[-1])) - np.repeat(end - n, n)
+        same = data[np.repeat(a[k : k + 20_000], n) + step] == data[np.repeat(b[k : k + 20_000], n) + step]
+        out[k : k + 20_000] = np.logical_and.reduceat(same, end - n)
+    return out
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of the texts, each context once for some megabytes; repeats as rows with at < 0."""
+    """Anchors of the texts, by blocks of some megabytes, in three kinds of rows. Repeats within the
+    block: at < 0, the span is -1 - at to x. The first context of an anchor: x says whether the block
+    has others. These others: at has _EXTRA, x is the anchor, and key only deals them out."""
 
-    def close(rids, parts):
+    def close(held: list) -> pa.RecordBatch:
+        rids, offsets, blocks, parts = zip(*held)
         h, c, m, left, right = (np.concatenate(x) for x in zip(*parts))
-        rid = np.repeat(np.array(rids, np.int64), [len(x[0]) for x in parts])
+        own = np.repeat(np.arange(len(held)), [len(x[0]) for x in parts])
+        rid, m = np.array(rids, np.int64)[own], m + np.array(offsets, np.int64)[own]
+        shift = np.cumsum([0, *map(len, blocks)])[:-1] - np.array(offsets, np.int64)  # from a text's places to those in data
         order = np.lexsort((m, rid, c, h))
-        h, c, m, left, right, rid = (x[order] for x in (h, c, m, left, right, rid))
+        h, c, m, left, right, rid, own = (x[order] for x in (h, c, m, left, right, rid, own))
         again = np.zeros(len(h), bool)
         again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+        if again.any():
+            first = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))
+            rows = np.flatnonzero(again)
+            one = first[rows]
+            same = (left[rows] == left[one]) & (right[rows] == right[one])
+            rows, one = rows[same], one[same]
+            data = np.frombuffer(b"".join(blocks), np.uint8)
+            place = m - left + shift[own]
+            again[:] = False
+            again[rows] = equal_bytes(data, place[rows], place[one], (left + right + LENGTH)[rows])
         r, s, e = merged(rid[again], (m - left)[again], (m + right + LENGTH)[again])
         new = ~again
-        key = np.concatenate([h[new], mix(r.astype(_U))]).view(np.int64)
-        columns = [key, np.concatenate([c[new].view(np.int64), e]), np.concatenate([rid[new], r]), np.concatenate([_pack(m, left, right)[new], -1 - s])]
-        return pa.record_batch([pa.array(x) for x in columns], ["key", "ctx", "rid", "at"])
+        key, rid, at = h[new].view(np.int64), rid[new], _pack(m, left, right)[new]
+        head = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+        several = np.zeros(len(key), np.int64)
+        several[np.flatnonzero(head)[np.cumsum(head)[~head] - 1]] = 1
+        extra = ~head
+        columns = [
+            np.concatenate([key[head], mix((rid[extra] ^ at[extra]).astype(_U)).view(np.int64), mix(r.astype(_U)).view(np.int64)]),
+            np.concatenate([rid[head], rid[extra], r]),
+            np.concatenate([at[head], at[extra] | _EXTRA, -1 - s]),
+            np.concatenate([several[head], key[extra], e]),
+        ]
+        return pa.record_batch([pa.array(x) for x in columns], ["key", "rid", "at", "x"])
 
     keeps_nothing("suffixes")
-    rids, parts, held = [], [], 0
+    held, size = [], 0
     for b in batches:
         for rid, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
-            rids.append(rid)
-            parts.append(anchors(text))
-            held += len(text)
-            if held > 1 << 25:
-                yield close(rids, parts)
-                rids, parts, held = [], [], 0
-    if rids:
-        yield close(rids, parts)
+            for offset, piece in pieces(text):
+                held.append((rid, offset, piece, anchors(piece)))
+                size += len(piece)
+                if size > FOLDED:
+                    yield close(held)
+                    held, size = [], 0
+    if held:
+        yield close(held)
 
 
 def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, ctx, rid, at. Repeats as (null, rid, start, end); earliest contexts of
-    anchors with several as (key, rid, at, 0)."""
+    """Rows sorted by key. Repeats as (null, rid, start, end); contexts of anchors that have several
+    as (key, rid, at, 0). Anchors with one context are dropped."""
 
     def out(key, rid, x, y):
         arrays = [pa.array(key, pa.int64()), *(pa.array(np.asarray(z, np.int64)) for z in (rid, x, y))]
         return pa.record_batch(arrays, ["key", "rid", "x", "y"])
 
     keeps_nothing("suffixes")
-    last = np.zeros((0, 4), np.int64)  # the latest context's first row, not yet judged
-    before = False  # whether another context came before it
+    last = np.zeros((0, 4), np.int64)  # the latest anchor's only row so far
+    open_: int | None = None  # the latest anchor, if it has several
     for b in batches:
         rows = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(4)], 1)
-        done = rows[rows[:, 3] < 0]
-        rows = rows[rows[:, 3] >= 0]
-        if len(done):
-            yield out([None] * len(done), done[:, 2], -1 - done[:, 3], done[:, 1])
+        done, extra = rows[:, 2] < 0, rows[:, 2] >= _EXTRA
+        if done.any():
+            d = rows[done]
+            yield out([None] * len(d), d[:, 1], -1 - d[:, 2], d[:, 3])
+        if extra.any():
+            d = rows[extra]
+            yield out(d[:, 3], d[:, 1], d[:, 2] ^ _EXTRA, np.zeros(len(d)))
+        rows = np.concatenate([last, rows[~done & ~extra]])
         if not len(rows):
             continue
-        every = np.concatenate([last, rows])
-        new = np.r_[True, (every[1:, :2] != every[:-1, :2]).any(1)]
-        again = every[~new]
-        if len(again):
-            at, left, right = _unpack(again[:, 3])
-            r, s, e = merged(again[:, 2], at - left, at + right + LENGTH)
-            yield out([None] * len(r), r, s, e)
-        reps = every[new]
-        same = reps[1:, 0] == reps[:-1, 0]
-        several = np.r_[before, same] | np.r_[same, False]
-        chosen = reps[:-1][several[:-1]]
+        begin = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+        size = np.diff(np.r_[begin, len(rows)])
+        several = (size > 1) | (np.maximum.reduceat(rows[:, 3], begin) > 0)
+        if open_ is not None and rows[0, 0] == open_:
+            several[0] = True
+        chosen = rows[np.repeat(several, size)]
         if len(chosen):
-            yield out(chosen[:, 0], chosen[:, 1 + 1], chosen[:, 3], np.zeros(len(chosen)))
-        before = bool(same[-1]) if len(same) else before
-        last = reps[-1:]
-    if len(last) and before:
-        yield out(last[:, 0], last[:, 2], last[:, 3], np.zeros(1))
+            yield out(chosen[:, 0], chosen[:, 1], chosen[:, 2], np.zeros(len(chosen)))
+        last = rows[:0] if several[-1] else rows[-1:]
+        open_ = int(rows[-1, 0]) if several[-1] else None
 
 
 class Suffixes:
@@ -273,14 +320,13 @@ class Suffixes:
         return out
 
 
-def windows(key: np.ndarray, left: np.ndarray, right: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of contexts laid end to end: each window's context, place, and (anchor, distance) group,
-    only groups of two or more, in the order of group and context."""
+def windows(bucket: np.ndarray, left: np.ndarray, right: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of contexts laid end to end, ascending in bucket: each window's context, place, and (bucket,
+    distance) group, only groups of two or more, in the order of group and context."""
     count = left + right + 1
     start = np.cumsum(size) - size
-    ctx = np.repeat(np.arange(len(key)), count)
+    ctx = np.repeat(np.arange(len(bucket)), count)
     inside = np.arange(len(ctx)) - np.repeat(np.cumsum(count) - count, count)
-    bucket = np.cumsum(np.r_[0, key[1:] != key[:-1]])
     group = bucket[ctx] * 128 + inside - left[ctx] + 100
     many = np.bincount(group, minlength=0)[group] > 1
     ctx, inside, group = ctx[many], inside[many], group[many]
@@ -288,30 +334,37 @@ def windows(key: np.ndarray, left: np.ndarray, right: np.ndarray, size: np.ndarr
     return ctx[order], (start[ctx] + inside)[order], group[order]
 
 
-_CTX = "key long, rid long, at long, bytes binary"
+_CTX = "key long, sub long, rid long, at long, bytes binary"
 
 
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by key, rid, at: the windows among them that occurred before."""
+    """Contexts sorted by key, sub, rid, at: the windows among them that occurred before."""
 
     def close(rows):
-        key, rid, packed = (np.array(x, np.int64) for x in list(zip(*rows))[:3])
+        known: set = set()
+        new = [(k := (key, sub, packed & 0x3FFF, value)) not in known and not known.add(k) for key, sub, _, packed, value in rows]
+        new = np.array(new)
+        key, sub, rid, packed = (np.array(x, np.int64) for x in list(zip(*rows))[:4])
         at, left, right = _unpack(packed)
-        data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-        size = np.array([len(r[3]) for r in rows])
-        ctx, place, group = windows(key, left, right, size)
+        whole = rid[~new], (at - left)[~new], (at + right + LENGTH)[~new]  # bytes equal to an earlier context's
+        rows = [row for row, n in zip(rows, new.tolist()) if n]
+        key, sub, rid, at, left, right = (x[new] for x in (key, sub, rid, at, left, right))
+        data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
+        size = np.array([len(r[4]) for r in rows])
+        bucket = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])])
+        ctx, place, group = windows(bucket, left, right, size)
         start = np.cumsum(size) - size
         again = Suffixes(data).repeats(place, group)
         ctx, place = ctx[again], place[again]
         s = at[ctx] - left[ctx] + place - start[ctx]
-        r, s, e = merged(rid[ctx], s, s + LENGTH)
+        r, s, e = merged(*(np.concatenate(x) for x in zip((rid[ctx], s, s + LENGTH), whole)))
         return pa.record_batch([pa.array(x) for x in (r, s, e)], ["rid", "x", "y"])
 
     keeps_nothing("suffixes")
     rows: list = []
     for b in batches:
-        for row in zip(*(b.column(k).to_pylist() for k in range(4))):
-            if len(rows) >= 4000 and row[0] != rows[-1][0]:
+        for row in zip(*(b.column(k).to_pylist() for k in range(5))):
+            if len(rows) >= 4000 and row[:2] != rows[-1][:2]:
                 yield close(rows)
                 rows = []
             rows.append(row)
@@ -320,56 +373,48 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, rid, list of (key, at)) to one row for each context with its bytes."""
+    """(text, rid, list of (key, at, hot)) to a row for each context with its bytes, or for each
+    window of a hot one."""
+
+    def batch(out: list) -> pa.RecordBatch:
+        columns = list(zip(*out)) or [[]] * 5
+        out.clear()
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.binary()])], ["key", "sub", "rid", "at", "bytes"])
+
     keeps_nothing("suffixes")
+    out: list = []
     for b in batches:
-        out: list = []
-        for text, rid, keys, places in zip(text_bytes(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-            for key, packed in zip(keys, places):
-                at, left, right = _unpack(packed)
-                out.append((key, rid, packed, text[at - left : at + right + LENGTH]))
-        columns = list(zip(*out)) or [[]] * 4
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.binary()])], ["key", "rid", "at", "bytes"])
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs and rid: doc_id, or the place in ascending order if ids repeat or lack."""
-    d = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    odd = d.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
-    if not odd:
-        return d.withColumn("rid", F.col("doc_id"))
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    d = d.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return saved(d.withColumn("rid", F.monotonically_increasing_id()), "numbered")
-
-
-def repeats(docs: DataFrame, cap: int = 20_000) -> DataFrame:
-    """docs: (text, rid). Byte spans (rid, x, y) to remove; they may overlap."""
+        for k in range(b.num_rows):
+            text, rid, asked = b.column(0)[k].as_py(), b.column(1)[k].as_py(), b.column(2)[k].values
+            text = (text or "").encode()
+            at, left, right = _unpack(asked.field(1).to_numpy())
+            begin, end = (at - left).tolist(), (at + right + LENGTH).tolist()
+            for key, packed, hot, m, s, e in zip(asked.field(0).to_pylist(), asked.field(1).to_pylist(), asked.field(2).to_pylist(), at.tolist(), begin, end):
+                if hot:
+                    for w in range(s, e - LENGTH + 1):
+                        value = text[w : w + LENGTH]
+                        out.append((key, xxhash.xxh64_intdigest(value) >> 1 | 1, rid, _pack(m, m - w, w - m), value))
+                else:
+                    out.append((key, 0, rid, packed, text[s:e]))
+                if len(out) >= 20_000:
+                    yield batch(out)
+    yield batch(out)
+
+
+def repeats(docs: DataFrame, cap: int = CAP) -> DataFrame:
+    """docs: (text, __row). Byte spans (rid, x, y) to remove; they may overlap."""
+    docs = docs.withColumnRenamed("__row", "rid")
     seen = docs.select("rid", "text").mapInArrow(_seen, _ROW)
-    rows = seen.repartition("key").sortWithinPartitions("key", "ctx", "rid", "at")
+    rows = seen.repartition("key").sortWithinPartitions("key")
     got = saved(rows.mapInArrow(_first, "key long, rid long, x long, y long"), "contexts")
     whole, open_ = got.where("key is null").select("rid", "x", "y"), got.where("key is not null")
     crowded = open_.groupBy("key").count().where(F.col("count") > cap).select("key", F.lit(True).alias("hot"))
     crowded = saved(crowded, "crowded")
-    asked = open_.groupBy("rid").agg(F.collect_list("key").alias("keys"), F.collect_list("x").alias("places"))  # a document's own
-    ctx = docs.join(asked, "rid").select("text", "rid", "keys", "places").mapInArrow(_contexts, _CTX)
-    if not crowded.limit(1).count():
-        hot = None
-    else:
-        ctx = saved(ctx.join(crowded, "key", "left"), "bytes")
-        ctx, hot = ctx.where("hot is null").select("key", "rid", "at", "bytes"), ctx.where("hot")
-    cold = ctx.repartition("key").sortWithinPartitions("key", "rid", "at").mapInArrow(_sorted_out, "rid long, x long, y long")
-    out = whole.unionByName(saved(cold, "sorted"))
-    if hot is not None:
-        left = F.shiftright("at", 7).bitwiseAND(127)
-        start = F.shiftright("at", 14) - left
-        each = hot.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("bytes") - LENGTH + 1)))
-        each = each.select("key", "rid", (start + F.col("i") - 1).alias("x"), F.expr(f"substring(bytes, i, {LENGTH})").alias("w"), (F.col("i") - left).alias("d"))
-        least = each.groupBy("key", "d", "w").agg(F.min(F.struct("rid", "x")).alias("m"), F.count("*").alias("n")).where("n > 1")
-        more = each.join(least, ["key", "d", "w"]).where(F.struct("rid", "x") != F.col("m")).select("rid", "x", (F.col("x") + LENGTH).alias("y"))
-        out = out.unionByName(more)
-    return out
+    open_ = open_.join(crowded, "key", "left").select("rid", F.struct("key", "x", F.coalesce("hot", F.lit(False)).alias("hot")).alias("c"))
+    asked = open_.groupBy("rid").agg(F.collect_list("c").alias("asked"))  # a document's own
+    ctx = docs.join(asked, "rid").select("text", "rid", "asked").mapInArrow(_contexts, _CTX)
+    dealt = ctx.repartition("key", "sub").sortWithinPartitions("key", "sub", "rid", "at")
+    return whole.unionByName(saved(dealt.mapInArrow(_sorted_out, "rid long, x long, y long"), "sorted"))
 
 
 def kept_bytes(text: bytes, starts: list[int], ends: list[int]) -> tuple[bytes, int, int]:
@@ -384,26 +429,30 @@ def kept_bytes(text: bytes, starts: list[int], ends: list[int]) -> tuple[bytes,
 
 
 def _with_spans(docs: DataFrame, cap: int) -> DataFrame:
-    """docs and the spans to remove: every column, starts, ends."""
-    d = _numbered(docs)
-    spans = repeats(d.select("text", "rid"), cap).groupBy("rid").agg(F.collect_list("x").alias("starts"), F.collect_list("y").alias("ends"))  # a document's own
-    return d.join(spans, "rid", "left").drop("rid")
+    """docs and the spans to remove: every column, __starts, __ends."""
+    d = numbered(docs)
+    spans = repeats(d.select("text", "__row"), cap).groupBy(F.col("rid").alias("__row"))
+    spans = spans.agg(F.collect_list("x").alias("__starts"), F.collect_list("y").alias("__ends"))  # a document's own
+    return d.join(spans, "__row", "left").drop("__row")
 
 
-def cut_texts(docs: DataFrame, cap: int = 20_000) -> DataFrame:
+def cut_texts(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """Every column of ``docs``, its texts without the repeats, and n_removed, the bytes cut out.
 
-    Null texts stay null. What a cut leaves of a character is dropped.
+    Null texts stay null. What a cut leaves of a character is dropped. A column n_removed of the
+    input is replaced; __row, __starts and __ends are the operator's own names. Repeated and null
+    ids, long texts and empty tables are taken as in ``deduplicate``.
     """
     d = _with_spans(docs.drop("n_removed"), cap)
-    at, names = d.columns.index("text"), [c for c in d.columns if c not in ("starts", "ends")]
+    at, names = d.columns.index("text"), [c for c in d.columns if c not in ("__starts", "__ends")]
     schema = d.select(*names, F.lit(0).cast("long").alias("n_removed")).schema
-    spans = [d.columns.index(c) for c in ("starts", "ends")]
+    spans = [d.columns.index(c) for c in ("__starts", "__ends")]
     rest = [d.columns.index(c) for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(None, 0, 0) if t is None else kept_bytes(t, x, y) for t, x, y in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(spans[0]).to_pylist(), b.column(spans[1]).to_pylist())]
+            texts, starts, ends = b.column(at).cast(pa.binary()).to_pylist(), *(b.column(k).to_pylist() for k in spans)
+            got = [(None, 0, 0) if t is None else kept_bytes(t, x, y) for t, x, y in zip(texts, starts, ends)]
             columns = [b.column(k) for k in rest]
             columns[names.index("text")] = pa.array([None if x[0] is None else x[0].decode("utf-8", "ignore") for x in got], pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in got], pa.int64())], names=schema.names)
@@ -411,11 +460,12 @@ def cut_texts(docs: DataFrame, cap: int = 20_000) -> DataFrame:
     return d.mapInArrow(run, schema)
 
 
-def deduplicate(docs: DataFrame, cap: int = 20_000) -> DataFrame:
+def deduplicate(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans) of every row of ``docs`` (doc_id, text).
 
     Null texts are empty; texts under ``LENGTH`` bytes lose nothing. Rows that share a doc_id count
-    as documents of their own, in the order of their texts, and rows without one come first. Other
+    as documents of their own, in the order of their texts' hashes, and rows without one come first.
+    A long text is read in pieces of ``PIECE`` bytes, each with all windows that start in it. Other
     columns are ignored; an empty table gives an empty result.
     """
 
@@ -423,10 +473,12 @@ def deduplicate(docs: DataFrame, cap: int = 20_000) -> DataFrame:
         for b in batches:
             texts = text_bytes(b.column(1))
             got = [kept_bytes(t, s, e) for t, s, e in zip(texts, b.column(2).to_pylist(), b.column(3).to_pylist())]
-            columns = [pa.array([x[0] for x in got], pa.binary()), *(pa.array(x, pa.int64()) for x in ([len(t) for t in texts], [x[1] for x in got], [x[2] for x in got]))]
+            sizes = ([len(t) for t in texts], [x[1] for x in got], [x[2] for x in got])
+            columns = [pa.array([x[0] for x in got], pa.binary()), *(pa.array(x, pa.int64()) for x in sizes)]
             yield pa.record_batch([b.column(0), *columns], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return _with_spans(docs.select("doc_id", "text"), cap).select("doc_id", "text", "starts", "ends").mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    d = _with_spans(docs.select("doc_id", "text"), cap).select("doc_id", "text", "__starts", "__ends")
+    return d.mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
