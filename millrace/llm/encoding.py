@@ -1,7 +1,8 @@
 """Whole-text encoding with the tokenizers library, one library call for each new word.
 
 Pre-tokenisation never lets a token span a space that follows a non-blank character, so a text's
-ids are those of its parts between such spaces. A part of ASCII and Latin-1 letters, which the
+ids are those of its parts between such spaces. Before that the library cuts out the strings of
+added tokens (``<|endoftext|>``), which is done here alike. A part of ASCII and Latin-1 letters, which the
 normaliser leaves composed, is cut into the vocabulary's words, and the library's model encodes
 each word that is new; a part with any other character goes to the library whole. Parts and words
 are kept per worker in tables of bounded size, as little-endian unsigned 32-bit ids; a text is then
@@ -72,7 +73,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError(f"{path}: only added tokens that are taken literally are supported")
+        self.added = {t.content: array("I", [n]).tobytes() for n, t in added.items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.split_added = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split if self.added else None
         self.parts, self.words = _Table(self.part), _Table(self.word)
         self.look, self.find, self.tokenize = self.words.__getitem__, _WORDS[kind].findall, self.tokenizer.model.tokenize
 
@@ -102,7 +108,11 @@ class Encoder:
         """Ids of each whole text (null: empty)."""
         look = self.parts.__getitem__
         for t in texts:
-            yield b"".join(map(look, self.cut(t or "")))
+            if t and any(x in t for x in self.added):
+                pieces = self.split_added(t)
+                yield b"".join(self.added[x] if n & 1 else b"".join(map(look, self.cut(x))) for n, x in enumerate(pieces))
+            else:
+                yield b"".join(map(look, self.cut(t or "")))
 
 
 def encoder(path: str, kind: str) -> Encoder:

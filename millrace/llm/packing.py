@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import in_order, saved, table
 from .encoding import encoder
 
 LIMIT = 1024
@@ -150,8 +150,9 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end: int = EN
 
     Documents (null text: empty) are dealt by range of doc_id and each range is packed as a stream
     of its own, in blocks, so memory is bounded by a block and the longest document. Sequence ids
-    are gapless over all ranges. Null ids come first, repeated rows are packed as often as they
-    occur, an empty table has no pieces.
+    are gapless over all ranges. Null ids come first, equal ids follow each other in the order of
+    their texts' hashes, repeated rows are packed as often as they occur, an empty table has no
+    pieces. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +172,7 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end: int = EN
         rows.extend(packer.flush(True))
         yield out()
 
-    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    n = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    d = d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    d = in_order(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), partitions)
     pieces = saved(d.mapInArrow(run, ", ".join(f"{c} long" for c in _COLUMNS)).withColumn("shard", F.spark_partition_id()), "pieces")
     shards = pieces.groupBy("shard").agg((F.max("sequence") + 1).alias("n"))
     shards = shards.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))

@@ -1,6 +1,6 @@
 """Token ids as ORC files.
 
-A file is a contiguous range of doc_id in ascending order. Its stripes hold ids as run-length
+A file is a contiguous range of doc_id in ascending order, its rows numbered from 0. Its stripes hold ids as run-length
 encoded integers, with row indexes and a Bloom filter on doc_id, so that readers split files by
 stripe and skip stripes and row groups whose statistics or filter exclude the ids asked for.
 """
@@ -15,25 +15,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, scratch, table
+from .common import in_order, saved, scratch, table
 from .encoding import encoder
 
 END = 2
-SCHEMA = "doc_id bigint, ids array<int>"
+SCHEMA = "doc_id bigint, row bigint, ids array<int>"
 
 
 def encode(docs: DataFrame, path: str, kind: str = "word", end: int | None = END) -> DataFrame:
-    """(doc_id, ids) of each whole text (null: empty), in the order of the rows given."""
+    """(doc_id, row, ids) of each whole text (null: empty), in the order of the rows given; row counts
+    those of a partition from 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, tail = encoder(path, kind), b"" if end is None else np.array([end], "<u4").tobytes()
+        own, row, tail = encoder(path, kind), 0, b"" if end is None else np.array([end], "<u4").tobytes()
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 ids = [x + tail for x in own.encode(part.column(1).to_pylist())]
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
-                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "ids"])
+                place = pa.array(np.arange(row, row + len(ids)))
+                row += len(ids)
+                yield pa.record_batch([part.column(0), place, pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "row", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
@@ -41,12 +44,12 @@ def encode(docs: DataFrame, path: str, kind: str = "word", end: int | None = END
 def write(docs: DataFrame, out: str, tokenizer_path: str, kind: str = "word", end: int | None = END, partitions: int | None = None, stripe_bytes: int = 64 << 20, stride: int = 10_000) -> None:
     """Encode ``docs`` (doc_id, text) and write them below ``out`` in ascending doc_id order.
 
-    Texts are dealt by range of doc_id before they are encoded, so nothing is encoded twice; equal
-    ids stay together, null ids come first, and an empty table gives files without rows.
+    Texts are dealt by range of doc_id before they are encoded, so nothing is encoded twice. Equal
+    ids follow each other in the order of their texts' hashes, repeated rows are written as often as
+    they occur, null ids come first, and an empty table gives files without rows. Other columns are
+    ignored. A text of any length is encoded whole, in one task, and is one row.
     """
-    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    n = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    d = d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    d = in_order(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), partitions)
     (
         encode(d, tokenizer_path, kind, end)
         .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", stride)
@@ -55,7 +58,7 @@ def write(docs: DataFrame, out: str, tokenizer_path: str, kind: str = "word", en
 
 
 def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """(doc_id, ids); with ``doc_ids`` the filter reaches the files' statistics and Bloom filters."""
+    """(doc_id, row, ids); with ``doc_ids`` the filter reaches the files' statistics and Bloom filters."""
     df = spark.read.schema(SCHEMA).orc(path)
     return df if doc_ids is None else df.where(F.col("doc_id").isin([int(x) for x in doc_ids]))
 
@@ -63,8 +66,8 @@ def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> Da
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    A file's rows are summed in the file, files by a running sum over one row each. Repeated ids
-    take their places in the order of their ids' checksums.
+    A file's rows are summed in the file, files by a running sum over one row each, both in the
+    order in which they were written.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,12 +75,13 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
             lists = b.column(1)
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
             crc = [zlib.crc32(values[s:e].tobytes()) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "file", "n_tokens", "ids_crc32"])
+            sizes = pa.array(np.diff(offsets).astype(np.int64))
+            yield pa.record_batch([b.column(0), b.column(2), b.column(3), sizes, pa.array(crc, pa.int64())], ["doc_id", "row", "file", "n_tokens", "ids_crc32"])
 
-    rows = read(spark, path).select("doc_id", "ids", F.input_file_name().alias("file"))
-    rows = rows.mapInArrow(run, "doc_id long, file string, n_tokens long, ids_crc32 long")
+    rows = read(spark, path).select("doc_id", "ids", "row", F.input_file_name().alias("file"))
+    rows = rows.mapInArrow(run, "doc_id long, row long, file string, n_tokens long, ids_crc32 long")
     rows = saved(rows.withColumn("file", F.regexp_extract("file", r"part-(\d+)", 1).cast("long")), "digest")  # the files are read once
-    inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     files = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
