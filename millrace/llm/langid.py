@@ -5,28 +5,33 @@ word is the sum, over all ways to cut it into pieces, of the product of the piec
 found by a forward pass over its characters; a text's likelihood is the product over its words.
 Pieces never cross a word start, so this equals the sum over all segmentations of the text. The
 probabilities are learnt by expectation maximisation (forward-backward counts). Scores of words are
-kept per worker, bounded in number, so that most of a text costs one lookup a word.
+kept per worker, bounded in number, so that most of a text costs one lookup a word. Words of up to
+``SHORT`` characters are passed over many at a time; a longer one, such as a text without blanks,
+on its own, with its sums scaled and no more of them held than the longest piece reaches back.
 """
 
 from __future__ import annotations
 
-import re
+import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import for_worker, remainder, table
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-_EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
-_LONGEST = 32  # characters of a word that are cut at once
+_LETTER = regex.compile(r"\p{L}")
+_EDGES = regex.compile(r"^[^\p{L}\p{M}]+|[^\p{L}\p{M}]+$")
+SHORT = 40  # at most 62: places are packed in 6 bits
 _KEPT_CHUNKS = 300_000
+#: Characters of a document beyond which it is not learnt from.
+MAX_TRAIN_CHARS = 50_000
 
 
 def vocabulary(model_path: str) -> list[str]:
@@ -39,7 +44,7 @@ def vocabulary(model_path: str) -> list[str]:
 
 
 class Lattice:
-    """Pieces as a trie; ``arcs`` finds every piece that fits into each of some words."""
+    """Pieces as a trie; ``arcs`` finds every piece that fits into each of some short words."""
 
     def __init__(self, pieces: list[str]):
         self.size = len(pieces) + 1  # the last stands for any character without a piece
@@ -50,20 +55,60 @@ class Lattice:
                 node = node.setdefault(c, {})
             node[""] = n
 
+    def pieces_at(self, word: str, i: int) -> Iterator[tuple[int, int]]:
+        """End and number of each piece that begins at place i; a character without a piece of its own is one."""
+        node, j, single = self.root, i, False
+        while j < len(word) and word[j] in node:
+            node = node[word[j]]
+            j += 1
+            if "" in node:
+                single = single or j == i + 1
+                yield j, node[""]
+        if not single:
+            yield i + 1, self.size - 1
+
+    def long_likelihood(self, word: str, p: np.ndarray) -> np.ndarray:
+        """Log of the sum over all segmentations of a word of any length, for each language."""
+        langs = range(p.shape[1])
+        ahead: dict[int, list[float]] = {0: [1.0] * len(langs)}  # sums at places not yet passed
+        log = [0.0] * len(langs)
+        for i in range(len(word)):
+            here = ahead.pop(i)
+            scale = [x or 1e-300 for x in here]
+            for k in langs:
+                log[k] += math.log(scale[k])
+            for x in ahead.values():  # all sums are relative to the one here
+                for k in langs:
+                    x[k] /= scale[k]
+            for j, n in self.pieces_at(word, i):
+                row, to = p[n], ahead.setdefault(j, [0.0] * len(langs))
+                for k in langs:
+                    to[k] += row[k]
+        return np.array(log) + np.log(np.maximum(ahead[len(word)], 1e-300))
+
+    def long_expected(self, word: str, p: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
+        """Adds the expected uses of each piece in one long word: both passes with scaled sums."""
+        size = len(word)
+        arcs = [list(self.pieces_at(word, i)) for i in range(size)]
+        # alpha[i], beta[i]: sums of the ways to reach i and to go on from it, each over a power of e.
+        alpha, beta = np.full((size + 1, p.shape[1]), -np.inf), np.full((size + 1, p.shape[1]), -np.inf)
+        alpha[0] = beta[size] = 0
+        with np.errstate(divide="ignore"):
+            logs = np.log(p)
+        for i in range(size):
+            for j, n in arcs[i]:
+                alpha[j] = np.logaddexp(alpha[j], alpha[i] + logs[n])
+        for i in range(size - 1, -1, -1):
+            for j, n in arcs[i]:
+                beta[i] = np.logaddexp(beta[i], beta[j] + logs[n])
+                out[n] += counts * np.exp(np.minimum(alpha[i] + logs[n] + beta[j] - alpha[size], 0))
+
     def arcs(self, words: list[str]) -> Arcs:
-        out, ends, root, other = [], [0], self.root, self.size - 1
+        out, ends = [], [0]
         for word in words:
-            size = len(word)
-            for i in range(size):
-                node, at, j, single = root, i << 26, i, False
-                while j < size and word[j] in node:
-                    node = node[word[j]]
-                    j += 1
-                    if "" in node:
-                        out.append(at | j << 20 | node[""])
-                        single = single or j == i + 1
-                if not single:
-                    out.append(at | (i + 1) << 20 | other)
+            for i in range(len(word)):
+                at = i << 26
+                out += [at | j << 20 | n for j, n in self.pieces_at(word, i)]
             ends.append(len(out))
         return Arcs(np.array(out, np.int64), np.diff(ends), np.fromiter(map(len, words), np.int64, len(words)))
 
@@ -82,7 +127,7 @@ class Arcs:
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """p: pieces x languages. Sums over the segmentations of each prefix."""
-        alpha = np.zeros((_LONGEST + 2, len(self.sizes), p.shape[1]))
+        alpha = np.zeros((SHORT + 2, len(self.sizes), p.shape[1]))
         alpha[0] = 1
         for s, e in zip(self.steps[:-1], self.steps[1:]):
             w = self.w[s:e]
@@ -107,13 +152,11 @@ class Arcs:
         return out
 
 
-def spelled(chunk: str) -> list[str]:
-    """A chunk between white space as marked parts of bounded length, without outer non-letters."""
-    word = _EDGES.sub("", chunk).lower()
-    if not word:
-        return []
-    word = "▁" + word
-    return [word[i : i + _LONGEST] for i in range(0, len(word), _LONGEST)]
+def spelled(chunk: str) -> str:
+    """A chunk between white space as a marked word, without outer non-letters; empty if it has no letter."""
+    if not _LETTER.search(chunk):
+        return ""
+    return "▁" + _EDGES.sub("", chunk).lower()
 
 
 def learn(counts: dict[str, Counter], pieces: list[str], rounds: int = 3, smoothing: float = 0.1) -> dict:
@@ -123,16 +166,19 @@ def learn(counts: dict[str, Counter], pieces: list[str], rounds: int = 3, smooth
     rows: list[list[float]] = []
     for k, lang in enumerate(langs):
         for chunk, n in counts[lang].items():
-            for w in spelled(chunk):
+            if w := spelled(chunk):
                 at = words.setdefault(w, len(rows))
                 if at == len(rows):
                     rows.append([0.0] * len(langs))
                 rows[at][k] += n
-    every, seen = list(words), np.array(rows).reshape(len(rows), len(langs))
-    blocks = [(lattice.arcs(every[i : i + 20_000]), seen[i : i + 20_000]) for i in range(0, len(every), 20_000)]
+    short, long = [w for w in words if len(w) <= SHORT], [w for w in words if len(w) > SHORT]
+    seen = np.array([rows[words[w]] for w in short]).reshape(len(short), len(langs))
+    blocks = [(lattice.arcs(short[i : i + 20_000]), seen[i : i + 20_000]) for i in range(0, len(short), 20_000)]
     for _ in range(rounds if langs else 0):
-        p = smoothing + sum((a.expected(p, n) for a, n in blocks), np.zeros_like(p))
-        p /= p.sum(0)
+        uses = smoothing + sum((a.expected(p, n) for a, n in blocks), np.zeros_like(p))
+        for w in long:
+            lattice.long_expected(w, p, np.array(rows[words[w]]), uses)
+        p = uses / uses.sum(0)
     return {"pieces": pieces, "langs": langs, "p": p}
 
 
@@ -145,22 +191,22 @@ class Scorer:
 
     def clear(self) -> None:
         """Row 0 is for chunks without letters."""
-        self.chunks: dict[str, int | tuple[int, ...]] = {}
-        self.words: dict[str, int] = {}
+        self.chunks: dict[str, int] = {}
+        self.words: dict[str, int] = {"": 0}
         self.scores = np.zeros((1, len(self.langs)))
+        self.held = 0  # characters of long words
 
     def meet(self, chunks: set[str]) -> None:
-        parts = {c: spelled(c) for c in chunks}
-        new = list({w for x in parts.values() for w in x if w not in self.words})
+        words = {c: spelled(c) for c in chunks}
+        new = list({w for w in words.values() if w not in self.words})
+        short, long = [w for w in new if len(w) <= SHORT], [w for w in new if len(w) > SHORT]
         at = len(self.scores)
-        self.words.update((w, at + n) for n, w in enumerate(new))
-        blocks = [np.log(np.maximum(self.lattice.arcs(new[i : i + 20_000]).likelihood(self.p), 1e-300)) for i in range(0, len(new), 20_000)]
-        self.scores = np.concatenate([self.scores, *blocks])
-        long = [c for c, x in parts.items() if len(x) > 1]
-        sums = [self.scores[[self.words[w] for w in parts[c]]].sum(0) for c in long]
-        self.chunks.update((c, self.words[x[0]] if x else 0) for c, x in parts.items())
-        self.chunks.update((c, len(self.scores) + n) for n, c in enumerate(long))
-        self.scores = np.concatenate([self.scores, np.array(sums).reshape(len(sums), len(self.langs))])
+        self.words.update((w, at + n) for n, w in enumerate(short + long))
+        blocks = [np.log(np.maximum(self.lattice.arcs(short[i : i + 20_000]).likelihood(self.p), 1e-300)) for i in range(0, len(short), 20_000)]
+        alone = [self.lattice.long_likelihood(w, self.p)[None] for w in long]
+        self.scores = np.concatenate([self.scores, *blocks, *alone])
+        self.chunks.update((c, self.words[w]) for c, w in words.items())
+        self.held += sum(map(len, long))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """In portions of some megabytes, so that memory doesn't follow the batch."""
@@ -175,7 +221,7 @@ class Scorer:
         return out
 
     def _portion(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        if len(self.chunks) > _KEPT_CHUNKS:
+        if len(self.chunks) > _KEPT_CHUNKS or self.held > 4_000_000:
             self.clear()
         cut = [t.split() if t and self.langs and _LETTER.search(t) else None for t in texts]
         if new := {c for x in cut if x for c in x if c not in self.chunks}:
@@ -191,25 +237,31 @@ class Scorer:
         return out
 
 
-def train(docs: DataFrame, tokenizer_path: str, max_train_docs: int = 1500, folds: int = 4, held: int = 2) -> dict:
+def train(docs: DataFrame, tokenizer_path: str, max_train_docs: int = 1500, max_train_chars: int = MAX_TRAIN_CHARS, folds: int = 4, held: int = 2) -> dict:
     """Learn from documents (doc_id, text, lang) outside the held-out fold.
 
-    At most ``max_train_docs`` documents are used, those with the smallest hash of doc_id, which
-    bounds what the driver gathers whatever the size of the corpus; scoring covers every row.
+    At most ``max_train_docs`` ids are used, those with the smallest hash among documents of at most
+    ``max_train_chars`` characters, and one row of each, the least by text and language. That bounds
+    what the driver gathers whatever the size of the corpus; scoring covers every row. Null ids, texts
+    and languages teach nothing.
     """
-    d = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", folds) != held))
+    d = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= max_train_chars) & (remainder("doc_id", folds) != held))
     ids = [r[0] for r in d.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs).collect()]
     counts: dict[str, Counter] = {}
-    for lang, text in d.where(F.col("doc_id").isin(ids)).select("lang", "text").toLocalIterator() if ids else ():
-        counts.setdefault(lang, Counter()).update(text.split())
+    if ids:
+        one = d.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("d"))
+        for text, lang in one.select("d.text", "d.lang").toLocalIterator():
+            counts.setdefault(lang, Counter()).update(text.split())
     return learn(counts, vocabulary(tokenizer_path))
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """Every column of ``docs`` as it is, and lang_pred, lang_score (0 to 1: the posterior).
 
-    Null texts and texts without a letter are ``und`` with score 0, as is everything if nothing
-    could be learnt. Of languages that tie, the first in order wins. Repeated rows are kept.
+    Columns of these two names are replaced. Null texts and texts without a letter (Unicode category
+    L) are ``und`` with score 0, as is everything if nothing could be learnt. Of languages that tie,
+    the first in order wins. Repeated rows are kept, an empty table gives an empty result, and a text
+    of any length is scored whole.
     """
     spark = docs.sparkSession
     sent, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
