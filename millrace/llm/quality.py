@@ -1,10 +1,11 @@
 """Quality classification by attention-based multiple-instance learning.
 
-A document is a bag of passages of about ``PASSAGE_BYTES`` bytes, cut at white space (at most
-``MAX_PASSAGES``; longer texts get longer passages, so every byte counts). Each passage is encoded
-from its bytes and words; the encoding passes a hidden layer, gated attention weights
-softmax(w . (tanh(V h) * sigmoid(U h))) are learnt from document labels alone, and the weighted sum
-of the passages is scored. All of it is vectorised over the passages of many documents.
+A document is a bag of passages of about ``PASSAGE_BYTES`` bytes, cut at white space; a text of more
+than ``BLOCK_BYTES`` bytes is cut there as well. Each passage is encoded from its bytes and words; the
+encoding passes a hidden layer, gated attention weights softmax(w . (tanh(V h) * sigmoid(U h))) are
+learnt from document labels alone, and the weighted sum of the passages is scored. All of it is
+vectorised over the passages of many documents, and the softmax sums are carried from block to block,
+so that a text of any length has passages of one size and bounded memory.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 from .common import keeps_nothing, remainder, table, text_bytes
 
 PASSAGE_BYTES = 400
-MAX_PASSAGES = 256
+BLOCK_BYTES = 1_000_000
+#: Passages of a document that are learnt from, evenly spread over it.
+MAX_TRAIN_PASSAGES = 256
 THRESHOLD = 0.3
 
 _KINDS = ["lower", "upper", "digit", "space", "newline", "bar", "shout", "symbol", "stop", "comma", "bracket", "quote", "other", "high"]
@@ -43,7 +46,7 @@ N_FEATURES = len(_KINDS) + 10
 
 
 def encode(text: bytes) -> np.ndarray:
-    """Passages x features of one text (one row of zeros if it is blank)."""
+    """Passages x features of one block of text (one row of zeros if it is blank)."""
     b = np.frombuffer(text, np.uint8)
     kind = _KIND[b]
     blank = (kind == 3) | (kind == 4)
@@ -51,8 +54,7 @@ def encode(text: bytes) -> np.ndarray:
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
         return np.zeros((1, N_FEATURES))
-    size = max(PASSAGE_BYTES, -(-len(b) // MAX_PASSAGES))
-    own = starts // size  # the passage of each word
+    own = starts // PASSAGE_BYTES  # the passage of each word
     own = np.cumsum(np.r_[0, np.diff(own) > 0])
     n = int(own[-1]) + 1
     first = np.flatnonzero(np.r_[True, np.diff(own) > 0])
@@ -79,6 +81,12 @@ def encode(text: bytes) -> np.ndarray:
     return np.column_stack([hist / lengths[:, None], *f])
 
 
+def blocks(text: bytes) -> Iterator[bytes]:
+    """A text in blocks, one at least."""
+    for s in range(0, max(1, len(text)), BLOCK_BYTES):
+        yield text[s : s + BLOCK_BYTES] if len(text) > BLOCK_BYTES else text
+
+
 class Model:
     """Gated attention over passages; weights are a few thousand numbers whatever the corpus."""
 
@@ -86,26 +94,82 @@ class Model:
         self.mean, self.scale, self.w, self.prior = mean, scale, w, prior
 
     @staticmethod
-    def forward(w, x, own, n):
+    def encoded(w, x):
+        """Of passages: hidden layer, the two gates, and the score that attention weights come from."""
         h = np.tanh(x @ w["W"] + w["b"])
         t, g = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-np.clip(h @ w["U"], -30, 30)))
-        s = (t * g) @ w["a"]
+        return h, t, g, (t * g) @ w["a"]
+
+    @staticmethod
+    def decided(w, z):
+        return 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["d"], -30, 30)))
+
+    @staticmethod
+    def forward(w, x, own, n):
+        h, t, g, s = Model.encoded(w, x)
         top = np.full(n, -np.inf)
         np.maximum.at(top, own, s)
         e = np.exp(s - top[own])
         att = e / np.bincount(own, e, n)[own]
         z = np.zeros((n, h.shape[1]))
         np.add.at(z, own, att[:, None] * h)
-        return h, t, g, att, z, 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["d"], -30, 30)))
+        return h, t, g, att, z, Model.decided(w, z)
 
     def score(self, bags: list[np.ndarray]) -> np.ndarray:
-        if not bags:
-            return np.zeros(0)
+        """bags: all passages of each document."""
+        return self.score_blocks(len(bags), enumerate(bags))
+
+    def score_blocks(self, n: int, parts: Iterator[tuple[int, np.ndarray]]) -> np.ndarray:
+        """parts: (document, passages), as many a document as it has blocks. Only sums are held:
+        for each document the largest attention score, and relative to it the weights and weighted
+        encodings so far."""
         if self.w is None:
-            return np.full(len(bags), self.prior)
-        x = (np.concatenate(bags) - self.mean) / self.scale
-        own = np.repeat(np.arange(len(bags)), [len(z) for z in bags])
-        return self.forward(self.w, x, own, len(bags))[-1]
+            return np.full(n, self.prior)
+        size = len(self.w["c"])
+        top, total, z = np.full(n, -np.inf), np.zeros(n), np.zeros((n, size))
+
+        def add(own: list[int], bags: list[np.ndarray]) -> None:
+            x = (np.concatenate(bags) - self.mean) / self.scale
+            doc = np.repeat(own, [len(b) for b in bags])
+            h, _, _, s = self.encoded(self.w, x)
+            new = top.copy()
+            np.maximum.at(new, doc, s)
+            met = np.unique(doc)
+            shrink = np.exp(top[met] - new[met])
+            e = np.exp(s - new[doc])
+            total[met] *= shrink
+            z[met] *= shrink[:, None]
+            top[:] = new
+            np.add.at(total, doc, e)
+            np.add.at(z, doc, e[:, None] * h)
+
+        own, bags, held = [], [], 0
+        for k, bag in parts:
+            own.append(k)
+            bags.append(bag)
+            held += len(bag)
+            if held >= 10_000:
+                add(own, bags)
+                own, bags, held = [], [], 0
+        if own:
+            add(own, bags)
+        return self.decided(self.w, z / total[:, None])
+
+
+def gradient(w: dict, x: np.ndarray, own: np.ndarray, y: np.ndarray) -> dict:
+    """Of the documents' mean cross-entropy, by every weight."""
+    n = len(y)
+    h, t, g, att, z, p = Model.forward(w, x, own, n)
+    dp = (p - y) / n
+    dz = dp[:, None] * w["c"]
+    datt = (dz[own] * h).sum(1)
+    ds = att * (datt - np.bincount(own, att * datt, n)[own])
+    dt, dg = ds[:, None] * w["a"] * g * (1 - t * t), ds[:, None] * w["a"] * t * g * (1 - g)
+    dh = (att[:, None] * dz[own] + dt @ w["V"].T + dg @ w["U"].T) * (1 - h * h)
+    return {
+        "W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg,
+        "a": ((t * g) * ds[:, None]).sum(0), "c": z.T @ dp, "d": np.array([dp.sum()]),
+    }
 
 
 def fit(bags: list[np.ndarray], labels: list[int], hidden: int = 24, attention: int = 12, epochs: int = 250, rate: float = 0.02, decay: float = 1e-4) -> Model:
@@ -125,14 +189,7 @@ def fit(bags: list[np.ndarray], labels: list[int], hidden: int = 24, attention:
     }
     m, v = {k: np.zeros_like(q) for k, q in w.items()}, {k: np.zeros_like(q) for k, q in w.items()}
     for step in range(1, epochs + 1):
-        h, t, g, att, z, p = Model.forward(w, x, own, n)
-        dp = (p - y) / n
-        dz = dp[:, None] * w["c"]
-        datt = (dz[own] * h).sum(1)
-        ds = att * (datt - np.bincount(own, att * datt, n)[own])
-        dt, dg = ds[:, None] * w["a"] * g * (1 - t * t), ds[:, None] * w["a"] * t * g * (1 - g)
-        dh = (att[:, None] * dz[own] + dt @ w["V"].T + dg @ w["U"].T) * (1 - h * h)
-        grad = {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "a": ((t * g) * ds[:, None]).sum(0), "c": z.T @ dp, "d": np.array([dp.sum()])}
+        grad = gradient(w, x, own, y)
         for k in w:
             q = grad[k] + decay * w[k]
             m[k], v[k] = 0.9 * m[k] + 0.1 * q, 0.999 * v[k] + 0.001 * q * q
@@ -140,27 +197,25 @@ def fit(bags: list[np.ndarray], labels: list[int], hidden: int = 24, attention:
     return Model(mean, scale, w, prior)
 
 
-def _portions(texts: list[bytes], size: int = 4_000_000) -> Iterator[list[bytes]]:
-    part, held = [], 0
-    for t in texts:
-        part.append(t)
-        held += len(t)
-        if held >= size:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
+def _learnt(text: bytes) -> np.ndarray:
+    """The passages of a text that are learnt from."""
+    bag = np.concatenate([encode(b) for b in blocks(text)])
+    if len(bag) > MAX_TRAIN_PASSAGES:
+        bag = bag[np.linspace(0, len(bag) - 1, MAX_TRAIN_PASSAGES).astype(int)]
+    return bag.astype(np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 3000, folds: int = 5, held: int = 0) -> Model:
     """Learn from labelled documents outside the held-out fold.
 
-    At most ``max_train_docs`` labelled ids are used, those with the smallest hash, which bounds
-    what reaches the driver (passages' features, at most ``MAX_PASSAGES`` a document). Rows without
-    a label, null ids and labels other than 0 and 1 teach nothing; a repeated label teaches twice.
+    At most ``max_train_docs`` labelled ids are used, those with the smallest hash, one row of each
+    (the least text), and at most ``MAX_TRAIN_PASSAGES`` passages of it; that bounds what reaches the
+    driver. Rows without a label, null ids, null texts and labels other than 0 and 1 teach nothing; an
+    id with both labels teaches both.
     """
     spark = docs.sparkSession
-    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", folds) != held)).select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
+    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", folds) != held))
+    usable = usable.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).distinct()
     chosen = [tuple(r) for r in usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_train_docs).collect()]
     if not chosen:
         return fit([], [])
@@ -169,20 +224,22 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 3000, folds:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keeps_nothing("quality")
         for b in batches:
-            bags = [encode(t).astype(np.float32).tobytes() for t in text_bytes(b.column(0))]
+            bags = [_learnt(t).tobytes() for t in text_bytes(b.column(0))]
             yield pa.record_batch([b.column(1), pa.array(bags, pa.binary())], ["quality", "bag"])
 
-    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(few, "doc_id").select("text", "quality")
-    got = d.mapInArrow(run, "quality int, bag binary").collect()
+    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(few, "doc_id")
+    d = d.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).where("text is not null")
+    got = d.select("text", "quality").mapInArrow(run, "quality int, bag binary").collect()
     got.sort(key=lambda r: (r[0], bytes(r[1])))
     return fit([np.frombuffer(r[1], np.float32).reshape(-1, N_FEATURES).astype(float) for r in got], [r[0] for r in got])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Every column of ``docs`` as it is, and quality_score (0 to 1).
+    """Every column of ``docs`` as it is, and quality_score (0 to 1); a column of that name is replaced.
 
     Null, empty and blank texts are one passage of zeros and get what the model says of that.
-    Repeated rows are kept and get equal scores; an empty table gives an empty result.
+    Repeated rows are kept and get equal scores; an empty table gives an empty result. Of a text of
+    any length every passage counts, and all have the same size.
     """
     docs = docs.drop("quality_score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -192,8 +249,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keeps_nothing("quality")
         for b in batches:
-            got = [sent.value.score([encode(t) for t in part]) for part in _portions(text_bytes(b.column(at)))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(got) if got else np.zeros(0))], names=names)
+            parts = ((n, encode(x)) for n, t in enumerate(text_bytes(b.column(at))) for x in blocks(t))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.score_blocks(b.num_rows, parts))], names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -202,4 +259,5 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     model = train(docs, table(spark, sf_dir, "labels"))
     got = score(docs, model)
-    return got.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    predicted = F.when(F.col("quality_score") >= THRESHOLD, 1).otherwise(0).alias("predicted")
+    return got.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), F.col("quality_score").alias("score"), predicted)
