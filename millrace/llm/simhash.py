@@ -117,54 +117,62 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keeps_nothing("simhash")
     for b in batches:
         for at in range(0, b.num_rows, 4096):
-            part = b.slice(at, 4096)
-            rep, fp = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+            fp = b.column(0).slice(at, 4096).to_numpy(zero_copy_only=False)
             found, look = golay_keys(fp.view(np.uint64))
             keep = look.reshape(len(fp), -1) >= 0
             row = np.concatenate([np.repeat(np.arange(len(fp)), 3), np.nonzero(keep)[0]])
             key = np.concatenate([found.ravel(), look.reshape(len(fp), -1)[keep]])
             side = np.concatenate([np.zeros(found.size, bool), np.ones(int(keep.sum()), bool)])
-            yield pa.record_batch([pa.array(rep[row]), pa.array(fp[row]), pa.array(key), pa.array(side)], ["rep", "fp", "key", "looks"])
+            yield pa.record_batch([pa.array(fp[row]), pa.array(key), pa.array(side)], ["fp", "key", "looks"])
 
 
-def links(classes: DataFrame, bucket_cap: int = 128, distance: int = 2) -> DataFrame:
-    """classes: distinct (rep, fp). Edges (a, b) that connect what is linked at ``distance`` (2 at most)."""
-    keys = saved(classes.select("rep", "fp").mapInArrow(_keys, "rep long, fp long, key long, looks boolean"), "keys")
+def links(prints: DataFrame, bucket_cap: int = 128, distance: int = 2) -> DataFrame:
+    """prints: distinct fp. Edges (a, b) between fingerprints that connect what is linked at ``distance`` (2 at most)."""
+    keys = saved(prints.select("fp").mapInArrow(_keys, "fp long, key long, looks boolean"), "keys")
     found, look = keys.where("not looks"), keys.where("looks")
     hot = saved(found.groupBy("key").count().where(F.col("count") > bucket_cap).select("key"), "hot")
     l, r = found.join(hot, "key", "left_anti").alias("l"), look.alias("r")
-    near = (
-        l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.rep") != F.col("r.rep")) & (F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= distance))
-        .select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"))
-    )
+    close = F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= distance
+    near = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") != F.col("r.fp")) & close)
+    near = near.select(F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b"))
     # Either side of a link over a hot key holds it among the keys it looks with.
-    ball = F.transform(F.sequence(F.lit(0), F.lit(64)), lambda i: F.when(i == 64, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    crowded = look.join(hot, "key", "left_semi").select("rep", "fp").distinct()
-    listed = crowded.select("rep", F.explode(ball).alias("word"))
-    least = listed.groupBy("word").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
-    star = listed.join(least, "word").where("rep <> a").select("a", F.col("rep").alias("b"))
+    flipped = lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))
+    ball = F.transform(F.sequence(F.lit(0), F.lit(64)), lambda i: F.when(i == 64, F.col("fp")).otherwise(flipped(i)))
+    crowded = look.join(hot, "key", "left_semi").select("fp").distinct()
+    listed = crowded.select("fp", F.explode(ball).alias("word"))
+    least = listed.groupBy("word").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
+    star = listed.join(least, "word").where("fp <> a").select("a", F.col("fp").alias("b"))
     return near.unionByName(star)
 
 
-def near_duplicates(docs: DataFrame, bucket_cap: int = 128, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, bucket_cap: int = 128) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
 
-    Null or blank texts have fingerprint zero and are linked like any other. Repeated rows stay
-    repeated; a null doc_id keeps a null component unless its group holds an id. Other columns of
-    ``docs`` are ignored, an empty table gives an empty result.
-
-    With ``similarity`` texts whose five-word shingles have that Jaccard similarity or more are linked too.
+    Null or blank texts have fingerprint zero and are linked like any other. Every row is a document
+    of its own: rows that repeat an id, or lack one, are linked by their texts alone, and repeated
+    rows stay repeated. component_id is the smallest id reachable, null where no row of the component
+    has one. Other columns of ``docs`` are ignored, an empty table gives an empty result. A text of
+    any length is read whole, in one task.
     """
     prints = saved(fingerprints(docs), "prints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null")
-    classes = saved(classes, "classes")
-    edges = links(classes, bucket_cap)
-    if similarity is not None:
-        of_class = prints.where("doc_id is not null").join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        edges = edges.unionByName(of_class).unionByName(similar.edges(docs, similarity))
-    c = components(edges)
-    group = classes.join(c.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(group, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    c = components(links(classes, bucket_cap)).withColumnRenamed("node", "fp")
+    group = classes.join(c, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    least = group.groupBy("component").agg(F.min("rep").alias("component_id"))
+    group = saved(group.join(least, "component").select("fp", "component_id"), "groups")  # a plain table: a large group's join can be split
+    return prints.join(group, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def groups(docs: DataFrame, similarity: float, bucket_cap: int = 128) -> DataFrame:
+    """docs: (doc_id, text), ids unique and not null. (node, component) as ``components`` gives them,
+    of documents linked by their fingerprints, as above, or by a Jaccard ``similarity`` of their
+    five-word shingles."""
+    prints = saved(fingerprints(docs), "prints")
+    classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    rep = lambda side: classes.select(F.col("fp").alias(side), F.col("rep").alias(f"rep_{side}"))
+    linked = links(classes, bucket_cap).join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    same = prints.join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    return components(linked.unionByName(same).unionByName(similar.edges(docs, similarity)))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

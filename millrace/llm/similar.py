@@ -6,9 +6,10 @@ the same shingles (a pair at 0.8 shares a key with probability 1 - (1 - 0.8^5)^2
 is held against the whole sets of its two texts.
 
 Texts of equal sets are one node. Inside a key's bucket each node is first compared to the bucket's
-leader only, which is linear; what that leaves in different components is then compared pair by pair,
-but for pairs that sizes or the distances to the leader (Jaccard distance is a metric) rule out. No
-bucket is capped.
+leader only, which is linear. What that leaves in different components is compared pair by pair, a
+block against a block, by sketches of BINS bytes: pairs are passed over whose sizes, distances to the
+leader (Jaccard distance is a metric) or sketches (at five standard deviations) rule a link out. Only
+those that remain are held against each other's sets. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -21,14 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keeps_nothing, saved
+from .common import block_pairs, components, keeps_nothing, saved
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 SEED = 42
 BANDS, ROWS = 24, 5
+#: Bytes of a sketch, and by how much a sketch may understate a similarity that counts.
+BINS, MARGIN = 1024, 0.0625
+BLOCK = 1024
 #: Leaders that a group of nodes with the same keys has.
 LEADERS = 4
+_U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
 
@@ -54,6 +59,22 @@ def band_keys(h: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(raw[k * 8 * ROWS : (k + 1) * 8 * ROWS], k) for k in range(BANDS)]
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """One-permutation sketch: for each bin of hashes a byte of the smallest one, 0 if there is none."""
+    order = np.sort(h * _U(0x9E3779B97F4A7C15))
+    bins = (order >> _U(54)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
+    out = np.zeros(BINS, np.uint8)
+    out[bins[first]] = 1 + (order[first] * _U(0xD1342543DE82EF95) >> _U(32)) % _U(255)
+    return out
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarities of sketches, row by row: equal bins of those that either has."""
+    either = (a != 0) | (b != 0)
+    return ((a == b) & either).sum(1) / np.maximum(either.sum(1), 1)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keeps_nothing("similar")
     for b in batches:
@@ -75,7 +96,63 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = [shingles(t) for t in b.column(1).slice(at, 256).cast(pa.binary()).to_pylist()]
             ends = np.cumsum([0, *map(len, h)]).astype(np.int32)
             sets = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(h).view(np.int64)))
-            yield pa.record_batch([pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in h], pa.binary()), sets], ["node", "hashes"])
+            nodes, sketches = [xxhash.xxh3_128_digest(x.tobytes()) for x in h], [sketch(x).tobytes() for x in h]
+            yield pa.record_batch([pa.array(nodes, pa.binary()), sets, pa.array(sketches, pa.binary())], ["node", "hashes", "sketch"])
+
+
+_REST = "key", "lo", "hi", "side", "node", "n", "component", "j", "bands", "sketch"
+
+
+def _near(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of _REST sorted by key, lo, hi. Pairs of nodes that may have the similarity, each
+        under the first key that both share."""
+        keeps_nothing("similar")
+        rest, out = None, []
+
+        def judge(b: pa.RecordBatch, cuts: list[int]) -> None:
+            key, side, n, j = (b.column(k).to_numpy() for k in (0, 3, 5, 7))
+            node, name = b.column(4).to_pylist(), b.column(6).dictionary_encode().indices.to_numpy()
+            flat, at = b.column(8).values.to_numpy(), b.column(8).offsets.to_numpy()
+            bands = flat[at[0] : at[-1]].reshape(-1, BANDS)
+            sketches = np.frombuffer(b"".join(b.column(9).to_pylist()), np.uint8).reshape(-1, BINS)
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                own = np.arange(s, e)
+                left, right = (own, own) if side[s] == 2 else (own[side[s:e] == 0], own[side[s:e] == 1])
+                for at_row in range(0, len(left), 256):
+                    a, c = left[at_row : at_row + 256, None], right[None, :]
+                    may = (name[a] != name[c]) & (np.minimum(n[a], n[c]) >= similarity * np.maximum(n[a], n[c]) - 1e-9) & (np.abs(j[a] - j[c]) <= 1 - similarity + 1e-9)
+                    if side[s] == 2:
+                        may &= a < c
+                    p, q = np.nonzero(may)
+                    p, q = left[at_row + p], right[q]
+                    for k in range(0, len(p), 8192):
+                        x, y = p[k : k + 8192], q[k : k + 8192]
+                        equal = bands[x] == bands[y]
+                        first = bands[x, equal.argmax(1)] == key[s]
+                        x, y = x[first], y[first]
+                        good = alike(sketches[x], sketches[y]) >= similarity - MARGIN
+                        out.extend((min(node[i], node[o]), max(node[i], node[o])) for i, o in zip(x[good].tolist(), y[good].tolist()))
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [[], []]
+            out.clear()
+            return pa.record_batch([pa.array(c, pa.binary()) for c in columns], ["a", "b"])
+
+        for b in batches:
+            if rest is not None:
+                b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+            place = np.stack([b.column(k).to_numpy() for k in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1).tolist()]
+            judge(b, cuts)
+            rest = b.slice(cuts[-1])
+            if len(out) > 10_000:
+                yield batch()
+        if rest is not None:
+            judge(rest, [0, rest.num_rows])
+        yield batch()
+
+    return run
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -86,44 +163,34 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def edges(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs: (doc_id, text). Edges (a, b) of doc_ids that connect texts of Jaccard ``similarity`` or more.
+    """docs: (doc_id, text), ids unique. Edges (a, b) of doc_ids that connect texts of Jaccard ``similarity`` or more.
 
     Rows without an id or without words have none.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     prints = saved(docs.mapInArrow(_sketch, "doc_id long, node binary, n int, bands array<long>"), "sketches")
-    classes = saved(prints.groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
-    keys = prints.select("node", "n", F.explode("bands").alias("key")).distinct()
+    classes = prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
+    classes = saved(classes, "classes")
+    keys = classes.select("node", "n", F.explode("bands").alias("key")).distinct()
     turn = F.xxhash64("node", F.pmod("key", F.lit(LEADERS)))
     leaders = keys.groupBy("key").agg(F.min(F.struct(turn.alias("t"), "node")).alias("first"), F.count("*").alias("m")).where("m > 1")
-    held = saved(keys.join(leaders.select("key", F.col("first.node").alias("leader")), "key"), "buckets")
+    leaders = saved(leaders.select("key", F.col("first.node").alias("leader")), "leaders")
+    held = saved(keys.join(leaders, "key"), "buckets")
     pair = (F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
     stars = held.where("node <> leader").select(*pair).distinct()
-    reps = held.select("node").distinct().join(classes, "node").select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.join(reps, "doc_id", "left_semi").where("text is not null").mapInArrow(_sets, "node binary, hashes array<long>")
-    sets = saved(sets.dropDuplicates(["node"]), "sets")
+    reps = held.select("node").distinct().join(classes, "node").select(F.col("rep").alias("doc_id"))
+    sets = saved(docs.join(reps, "doc_id", "left_semi").mapInArrow(_sets, "node binary, hashes array<long>, sketch binary"), "sets")
     first = _measured(stars, sets)
     near = first.where(F.col("j") >= similarity)
     # Buckets in which more than one component is left.
-    c = components(near)
-    named = held.join(c, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = held.join(components(near), "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    split = saved(split, "split")
     rest = named.join(split, "key").select("key", "node", "n", "component", *pair).join(first, ["a", "b"], "left")
     rest = saved(rest.select("key", "node", "n", "component", F.coalesce("j", F.lit(1.0)).alias("j")), "rest")
-    l, r = rest.alias("l"), rest.alias("r")
-    left = (
-        l.join(
-            r,
-            (F.col("l.key") == F.col("r.key"))
-            & (F.col("l.node") < F.col("r.node"))
-            & (F.col("l.component") != F.col("r.component"))
-            & (F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n") - 1e-9)
-            & (F.abs(F.col("l.j") - F.col("r.j")) <= 1 - similarity + 1e-9),
-        )
-        .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
+    dealt = block_pairs(rest, ["key"], "node", BLOCK).join(sets.select("node", "sketch"), "node").join(classes.select("node", "bands"), "node")
+    dealt = dealt.select(*_REST).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    left = saved(dealt.mapInArrow(_near(similarity), "a binary, b binary"), "left").join(first, ["a", "b"], "left_anti")
     near = near.unionByName(_measured(left, sets).where(F.col("j") >= similarity)).select("a", "b")
     rep = lambda side: classes.select(F.col("node").alias(side), F.col("rep").alias(f"{side}_id"))
     linked = near.join(rep("a"), "a").join(rep("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
