@@ -2,8 +2,10 @@
 columns with clashing names, empty tables."""
 
 import hashlib
+import pathlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -15,7 +17,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm import common, langid, licenses, media, packing, pieces, quality, simhash, suffixes, tokenfiles
+from millrace.llm import common, langid, licenses, media, packing, pieces, quality, queries, simhash, suffixes, tokenfiles
 from millrace.llm import neardup_vectors as vectors
 from tests.llm.test_units import brute_fingerprint
 
@@ -64,6 +66,14 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_simhash_takes_rows_one_by_one(spark):
+    a, b, c = (prose(random.Random(k), 50) for k in range(3))
+    rows = [(5, a), (5, b), (7, b), (3, a), (None, a), (None, c), (9, None), (8, "")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(5, a, 3), (5, b, 5), (7, b, 5), (3, a, 3), (None, a, 3), (None, c, None), (9, "", 8), (8, "", 8)]
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == Counter((i, f"{brute_fingerprint(t):016x}", k) for i, t, k in want)
+
+
 def brute_repeats(rows):
     seen, out = set(), {}
     for i, t in rows:
@@ -81,7 +91,7 @@ def brute_repeats(rows):
 
 def test_suffixes(spark, docs, none):
     want = brute_repeats(odd_rows())
-    for cap in (20_000, 1):
+    for cap in (suffixes.CAP, 1):
         got = by_id(suffixes.deduplicate(docs, cap))
         assert {i: (bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for i, r in got.items()} == want
     assert suffixes.deduplicate(none).count() == 0
@@ -90,11 +100,13 @@ def test_suffixes(spark, docs, none):
     assert twice == sum(w[2] + (w[1] if w[1] >= 100 else 0) for w in want.values())
     cut = by_id(suffixes.cut_texts(docs))
     assert cut[1].text is None and cut[12].text == want[12][0].decode() and cut[12].component_id == "x"
+    assert all(cut[i].n_removed == w[2] for i, w in want.items())
+    names = spark.createDataFrame([(1, "a" * 300, 1, 2, 3)], "doc_id long, text string, starts int, ends int, rid int")
+    assert [tuple(r) for r in suffixes.cut_texts(names).collect()] == [(1, "a", 1, 2, 3, 299)]
 
 
 def test_tokens(spark, docs, none, tmp_path):
     lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    lib.encode_special_tokens = True
     out = str(tmp_path / "orc")
     tokenfiles.write(docs, out, P.path("word_bpe_49k.json"), partitions=3, stride=1000)
     got, start = by_id(tokenfiles.digest(spark, out)), 0
@@ -109,12 +121,20 @@ def test_tokens(spark, docs, none, tmp_path):
 
     assert sum(orc.ORCFile(f).nrows for f in (tmp_path / "orc").glob("*.orc")) == len(odd_rows())
     tokenfiles.write(none, out + "0", P.path("word_bpe_49k.json"))
+    # Repeated rows and ids, null ids: starts are those of the files' order.
+    rows = [(5, "two"), (5, "five words are in this"), (5, "two"), (None, "no id"), (7, None), (7, "a<|endoftext|>b")]
+    tokenfiles.write(spark.createDataFrame(rows, "doc_id long, text string"), out + "1", P.path("word_bpe_49k.json"), partitions=3)
+    files = [r for f in sorted((tmp_path / "orc1").glob("*.orc")) for r in orc.ORCFile(f).read().to_pylist()]
+    assert [r["doc_id"] for r in files] == [None, 5, 5, 5, 7, 7]
+    starts = np.cumsum([0] + [len(r["ids"]) for r in files])
+    got = tokenfiles.digest(spark, out + "1").collect()
+    assert Counter(map(tuple, got)) == Counter((r["doc_id"], int(s), len(r["ids"]), zlib.crc32(np.array(r["ids"], "<u4").tobytes())) for r, s in zip(files, starts))
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in files) == Counter((i, (*lib.encode(t or "", add_special_tokens=False).ids, 2)) for i, t in rows)
     assert tokenfiles.digest(spark, out + "0").count() == 0
 
 
 def test_packing(docs, none):
     lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
     ids = {i: np.array(lib.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for i, t in odd_rows()}
     rows = packing.pack(docs, packing.default_tokenizer(), partitions=2).collect()
     rows.sort(key=lambda r: (r.sequence_id, r.offset))
@@ -129,6 +149,8 @@ def test_packing(docs, none):
     assert place == Counter({i: len(x) for i, x in ids.items()})
     assert max(fill.values()) <= 1024 and set(fill) == set(range(len(fill)))
     assert packing.pack(none, packing.default_tokenizer()).count() == 0
+    twice = packing.pack(docs.unionByName(docs).withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id"))), packing.default_tokenizer())
+    assert twice.agg(F.sum("length")).first()[0] == 2 * sum(map(len, ids.values()))
 
 
 def test_pieces(docs, none):
@@ -139,6 +161,8 @@ def test_pieces(docs, none):
         assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest() and got[i].n_covered == len((t or "").encode())
     assert pieces.digest(none, path).count() == pieces.encode(none, path).count() == 0
+    twice = pieces.digest(docs.unionByName(docs), path)
+    assert twice.count() == 2 * len(odd_rows()) and twice.distinct().count() == len(odd_rows())
     assert pieces.encode(docs, path).where("size(ids) <> size(starts) or size(ids) <> size(ends)").count() == 0
 
 
@@ -152,6 +176,9 @@ def test_media(spark, docs, none, tmp_path):
         p = b + b" " * (-len(b) % 192 if b else 192)
         assert got[i][1:5] == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
     assert got[1][1:] == got[2][1:] and got[30][1:] == got[31][1:]
+    media.write(docs.unionByName(docs), path + "2")
+    twice = media.describe(media.read(spark, path + "2"))
+    assert twice.count() == 2 * len(odd_rows()) and twice.distinct().count() == len(odd_rows())
     media.write(none, path + "0")
     assert media.read(spark, path + "0").count() == 0
 
@@ -169,6 +196,35 @@ def test_licenses(spark, docs, none):
     assert not re.search("Python|Arrow", licenses.scan(d, licenses.catalogue(spark))._jdf.queryExecution().toString())
 
 
+PUBLISHED = pathlib.Path("/usr/share/common-licenses")
+
+
+def rewrapped(text, width):
+    """Paragraphs at another width, but for titles and those that hold a copyright line."""
+    out = []
+    for part in re.split(r"\n[ \t]*\n", text):
+        keep = re.search(r"copyright (\(c\)|\[|\d)", part, re.I)
+        out.append(part if keep else textwrap.fill(" ".join(part.split()), width, break_on_hyphens=True))
+    return "\n\n".join(out)
+
+
+def test_published_licenses(spark):
+    """Every licence text of the catalogue as published and rewrapped; longer ones where the machine has them."""
+    texts = [(i, f"Copyright (c) 2021 Some One\n\n{t}") for i, kind, t in licenses.CATALOGUE if kind == "text"]
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    texts += [(names[f], (PUBLISHED / f).read_text()) for f in names if (PUBLISHED / f).exists()]
+    rows = [(n, i, t) for n, (i, t) in enumerate(x for i, t in texts for x in ((i, t), (i, rewrapped(t, 60)), (i, rewrapped(t, 80)), (i, t.replace("\n", "\r\n"))))]
+    isc = "ISC License\n\n(c) 2019 A\n\n" + licenses._ISC.replace("that the above ", "that the above\n") + "\n"
+    mit = licenses._MIT.replace("sublicense", "sub-\nlicense").replace("AUTHORS OR COPYRIGHT", "AUTHORS OR\nCOPYRIGHT")
+    rows += [(10_000, "ISC", isc), (10_001, "MIT", mit)]
+    d = spark.createDataFrame([(n, t) for n, _, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(d, licenses.catalogue(spark)).where("scope = 'document'").collect()}
+    assert [(n, i) for n, i, _ in rows if got.get(n) != i] == []
+    c = duckdb.connect()
+    documents = d.toPandas()  # noqa: F841
+    assert {r[0]: r[1] for r in c.sql(licenses.ORACLE_SQL).fetchall() if r[2] == "document"} == got
+
+
 def test_quality(spark, docs, none):
     model = quality.fit([quality.encode(t.encode()) for t in ("a good text here", "$$$ %%% &&&")] * 5, [1, 0] * 5)
     got = by_id(quality.score(docs, model))
@@ -178,48 +234,72 @@ def test_quality(spark, docs, none):
     assert quality.score(none, quality.train(none, labels)).count() == 0
     few = spark.createDataFrame([(k, k % 2, 0) for k in range(10, 20)] + [(None, 1, 0), (11, None, 0)], "doc_id long, quality int, toxic int")
     assert quality.score(docs, quality.train(docs, few)).count() == len(odd_rows())
+    taught = quality.train(docs.unionByName(docs), few.unionByName(few))  # a repeated row or label teaches once
+    assert by_id(quality.score(docs, taught))[10].quality_score == by_id(quality.score(docs, quality.train(docs, few)))[10].quality_score
+    assert quality.score(docs.withColumn("quality_score", F.lit("x")), model).columns == [*docs.columns, "quality_score"]
 
 
 def test_langid(spark, none):
     r = random.Random(3)
     words = {"aa": ["krix", "vrolt", "stram"], "bb": ["oelia", "maioue", "leanu"]}
     rows = [(k, " ".join(r.choice(words[g]) for _ in range(12)), g) for k in range(80) for g in [("aa", "bb")[k % 2]]]
-    d = spark.createDataFrame([*rows, (100, None, "aa"), (101, " 12 ", "bb"), (102, "", None), (103, "maioue " * 30_000, None)], "doc_id long, text string, lang string")
+    d = spark.createDataFrame([*rows, (100, None, "aa"), (101, " 12 ", "bb"), (102, "", None), (103, "maioue " * 30_000, None), (104, "² ½ Ⅷ", "aa"), (105, "oelia" * 5000, None), (106, "a" * 60_000, "aa"), (0, rows[0][1], "aa")], "doc_id long, text string, lang string")
     model = langid.train(d, P.path("piece_bpe_32k.model"))
     got = by_id(langid.identify(d, model).select("doc_id", "lang", "lang_pred", "lang_score"))
     held = [i for i in range(80) if common.remainder_of(i, 4) == 2]
     assert held and all(got[i].lang_pred == got[i].lang for i in held)
-    assert [got[i].lang_pred for i in (100, 101, 102, 103)] == ["und", "und", "und", "bb"]
+    assert [got[i].lang_pred for i in (100, 101, 102, 103, 104, 105)] == ["und", "und", "und", "bb", "und", "bb"]
+    assert langid.identify(d, model).count() == d.count()
     empty = langid.identify(none.select("doc_id", "text", "lang"), langid.train(none, P.path("piece_bpe_32k.model")))
     assert empty.count() == 0
 
 
 def brute_links(rows, cosine=0.95):
-    sound = {i: np.array(v, float) / np.linalg.norm(v) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v)}
-    links = {i: {j for j in sound if i != j and i in sound and len(sound[i]) == len(sound[j]) and sound[i] @ sound[j] >= cosine} for i, _ in rows}
-    group = {i: i for i, _ in rows}
-    for _ in rows:
-        for i in group:
-            group[i] = min([group[i], *(group[j] for j in links[i])])
-    return {i: (len(links[i]), group[i], group[i] == i) for i in group}
+    """By rows: (vec_id, links, component, kept) in the order of rows."""
+    sound = {n: np.array(v, float) / np.linalg.norm(v) for n, (_, v) in enumerate(rows) if v and None not in v and np.isfinite(v).all() and any(v)}
+    links = {n: [m for m in sound if m != n and n in sound and len(sound[n]) == len(sound[m]) and sound[n] @ sound[m] >= cosine] for n in range(len(rows))}
+    group = {n: {n} for n in links}
+    for n in links:
+        for m in links[n]:
+            if group[n] is not group[m]:
+                group[n] |= group[m]
+                for k in group[m]:
+                    group[k] = group[n]
+    out = []
+    for n, (i, _) in enumerate(rows):
+        least = min((rows[m][0] for m in group[n] if rows[m][0] is not None), default=None)
+        out.append((i, len(links[n]), least, i == least))
+    return out
 
 
 def test_embeddings(spark):
     r = np.random.default_rng(4)
     centre = r.normal(size=(6, 24))
-    rows = [(k, [float(x) for x in centre[k % 6] + r.normal(size=24) * 0.12 * (k % 3)]) for k in range(120)]
-    rows += [(200, None), (201, []), (202, [0.0] * 24), (203, [float("nan")] + [1.0] * 23), (204, [None] + [1.0] * 23), (205, [float("inf")] * 24), (206, [1e200] * 24), (207, [1.0] * 24), (208, [1.0] * 5)]
+    rows = [(k, [float(x) for x in centre[k % 6] + r.normal(size=24) * 0.05 * (k % 3)]) for k in range(120)]
+    rows += [(200, None), (201, []), (202, [0.0] * 24), (203, [float("nan")] + [1.0] * 23), (204, [None] + [1.0] * 23), (205, [float("inf")] * 24), (207, [1.0] * 24), (208, [1.0] * 5)]
+    near = lambda k: [float(x) for x in centre[k] + r.normal(size=24) * 0.01]
+    a, b = near(0), [float(x) for x in r.normal(size=24)]
+    rows += [(5, a), (5, near(0)), (5, b), (300, b), (300, b), (None, b), (None, near(1)), (None, None), (None, [float(x) for x in r.normal(size=24)]), rows[0]]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("copies", F.lit(1)).withColumn("key", F.lit("k"))
-    want = brute_links([x for x in rows if x[0] != 206])
+    want = Counter(brute_links(rows))
     for block in (1024, 7):
-        got = {x[0]: tuple(x[1:]) for x in vectors.near_duplicates(d, block=block).collect()}
-        assert got.pop(206)[0] == 1 and got.pop(207)[0] == 1
-        expect = {i: v for i, v in want.items() if i != 207}
-        assert sum(v[0] for v in got.values()) >= 0.9 * sum(v[0] for v in expect.values())
-        assert all(got[i][0] <= expect[i][0] for i in expect) and all(got[i][1:] == expect[i][1:] for i in expect)
+        assert Counter(map(tuple, vectors.near_duplicates(d.repartition(3), block=block).collect())) == want
+    huge = spark.createDataFrame([(1, [1e200] * 24), (2, [1.0] * 24)], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, vectors.near_duplicates(huge).collect())) == [(1, 1, 1, True), (2, 1, 1, False)]
     assert vectors.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_embeddings_with_repeated_ids(spark):
+    """Links are counted by rows: an id that two vectors share does not join what they link with."""
+    r = np.random.default_rng(8)
+    a, b = r.normal(size=(2, 64))
+    close = lambda v: [float(x) for x in v + 0.01 * r.normal(size=64)]
+    for rows in ([(5, close(a)), (5, close(a))], [(5, close(a)), (5, close(b)), (7, close(a)), (8, close(b))]):
+        d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = sorted(map(tuple, vectors.near_duplicates(d).collect()))
+        assert got == sorted((i, 1, 5, i == 5) for i, _ in rows)
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, 5000)]
@@ -229,3 +309,62 @@ def test_components(spark):
             group[a] = group[b] = min(group[a], group[b])
     got = {x[0]: x[1] for x in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: v for k, v in group.items() if k != v}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_queries_of_the_operators(spark):
+    """Every opN query: its columns, a row for each document, and what is learnt against held-out rows."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    columns = {
+        "op1_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op2_licenses": "doc_id license_id scope n",
+        "op3_simhash": "doc_id fingerprint component_id", "op4_tokens": "doc_id start n_tokens ids_crc32", "op5_quality": "doc_id held_out score predicted",
+        "op6_sentencepiece": "doc_id n_tokens ids_sha256 decoded_sha256", "op7_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+        "op8_embeddings": "vec_id n_links component_id kept", "op9_suffixes": "doc_id n_bytes n_removed n_spans kept_sha256", "op10_langid": "doc_id held_out lang_pred score",
+    }
+    assert set(columns) == set(queries.QUERIES)
+    got = {name: f(spark, SF).collect() for name, f in queries.QUERIES.items()}
+    for name, rows in got.items():
+        assert rows[0].__fields__[: len(columns[name].split())] == columns[name].split(), name
+        if name not in ("op2_licenses", "op7_packing", "op8_embeddings"):
+            assert sorted(r.doc_id for r in rows) == sorted(docs), name
+    for r in got["op5_quality"]:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1
+    held = [r.predicted == labels[r.doc_id] for r in got["op5_quality"] if r.held_out and r.doc_id in labels]
+    assert len(held) >= 5 and sum(held) >= 0.95 * len(held)
+    for r in got["op10_langid"]:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in docs[r.doc_id].text or ""))
+    held = [r.lang_pred == docs[r.doc_id].lang for r in got["op10_langid"] if r.held_out and docs[r.doc_id].lang and r.lang_pred != "und"]
+    assert len(held) >= 30 and sum(held) >= 0.95 * len(held)
+    want = brute_repeats(sorted((i, r.text) for i, r in docs.items()))
+    assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (*want[r.doc_id][1:], hashlib.sha256(want[r.doc_id][0]).hexdigest()) for r in got["op9_suffixes"])
+    assert all(r.n_bytes == len((docs[r.doc_id].text or "").encode()) for r in got["op1_media"])
+
+
+def test_scratch_storage(spark, monkeypatch):
+    before = list(common._made)
+    saved = common.saved(spark.range(3))
+    assert saved.count() == 3 and len(common._made) == len(before) + 1
+    common.cleanup(spark)
+    assert not common._made
+    with pytest.raises(Exception):
+        saved.count()
+
+    class Context:
+        master = "yarn"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch(Session())

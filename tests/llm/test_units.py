@@ -1,9 +1,11 @@
 """The operators' pieces against brute force, without Spark."""
 
 import hashlib
+import math
 import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -16,10 +18,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from millrace.llm import encoding, langid, media, packing, pieces, quality, simhash, suffixes
+from millrace.llm import encoding, langid, media, packing, pieces, quality, similar, simhash, suffixes
 from millrace.llm import neardup_vectors as vectors
 
-ALPHABET = [" ", "  ", "a", "the", "é", "\n", "\t", "🙂", ".", "'s", "12", "ﬁ", "▁", "日本", "\x1c", "<|endoftext|>", "é", "A"]
+ALPHABET = [" ", "  ", "a", "the", "é", "\n", "\t", "🙂", ".", "'s", "12", "ﬁ", "▁", "日本", "\x1c", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "é", "A"]
 texts = st.lists(st.sampled_from(ALPHABET), max_size=30).map("".join)
 
 
@@ -53,7 +55,6 @@ def test_golay_keys_meet_within_two_bits(fp, bits):
 @pytest.mark.parametrize("kind,name", [("byte", "byte_bpe_50k.json"), ("word", "word_bpe_49k.json")])
 def test_encoder_equals_library(kind, name):
     own, lib = encoding.Encoder(P.path(name), kind), Tokenizer.from_file(P.path(name))
-    lib.encode_special_tokens = True
 
     @given(st.lists(texts, max_size=4))
     @settings(max_examples=200, deadline=None)
@@ -144,21 +145,50 @@ def test_members_are_retried_by_offset(tmp_path):
         reader.member(fs, str(tmp_path / info["name"]), 54, 1, 0)
 
 
+def brute_sum(word, vocab, p, k):
+    """Sum over all segmentations, by places."""
+    out = [1.0] + [0.0] * len(word)
+    for i in range(len(word)):
+        single = False
+        for n, v in enumerate(vocab):
+            if word.startswith(v, i):
+                single = single or len(v) == 1
+                out[i + len(v)] += out[i] * p[n, k]
+        if not single:
+            out[i + 1] += out[i] * p[len(vocab), k]
+    return out[len(word)]
+
+
 def test_lattice_sums_all_segmentations():
     vocab = ["▁", "a", "b", "ab", "▁a", "ba"]
     model = langid.learn({"x": langid.Counter("ab ba ab".split()), "y": langid.Counter("bb bb".split())}, vocab)
     lattice, p = langid.Lattice(vocab), model["p"]
-
-    def brute(word, k):
-        if not word:
-            return 1.0
-        return sum(p[n, k] * brute(word[len(v) :], k) for n, v in enumerate(vocab) if word.startswith(v))
-
-    words = ["▁ab", "▁ba", "▁abab"]
-    got = lattice.arcs(words).likelihood(p)
-    assert got == pytest.approx(np.array([[brute(w, k) for k in (0, 1)] for w in words]))
+    words = ["▁ab", "▁ba", "▁abab", "▁cab", "▁" + "abba" * 10 + "c"]
+    want = np.array([[brute_sum(w, vocab, p, k) for k in (0, 1)] for w in words])
+    assert lattice.arcs(words[:4]).likelihood(p) == pytest.approx(want[:4])
+    assert np.exp([lattice.long_likelihood(w, p) for w in words]) == pytest.approx(want)
+    one, two = "▁" + "ab" * 400, "▁" + "ab" * 2000  # no underflow, and the log grows with the length
+    assert lattice.long_likelihood(two, p) == pytest.approx(5 * lattice.long_likelihood(one, p), rel=0.02)
     s = langid.Scorer(model)
-    assert [x[0] for x in s.predict(["ab ba", "bb bb", None, "", "12 !"])] == ["x", "y", "und", "und", "und"]
+    assert [x[0] for x in s.predict(["ab ba", "bb bb", None, "", "12 !", "² ½ ① Ⅷ", "ab" * 300, "b" * 300])] == ["x", "y", *["und"] * 4, "x", "y"]
+
+
+def test_long_words_are_learnt_like_short_ones():
+    vocab, r = ["▁", "a", "b", "ab", "▁a", "ba"], random.Random(1)
+    lattice = langid.Lattice(vocab)
+    p = np.random.default_rng(2).random((lattice.size, 2))
+    p /= p.sum(0)
+    for word in ("▁ab", "▁abba", "▁cab", "▁" + "".join(r.choice("abc") for _ in range(30))):
+        counts, out = np.array([[2.0, 3.0]]), np.zeros_like(p)
+        lattice.long_expected(word, p, counts[0], out)
+        assert out == pytest.approx(lattice.arcs([word]).expected(p, counts))
+        change = 1e-6  # expected uses are the derivative of the log-likelihood by the log of a probability
+        for n in range(len(p)):
+            up, down = p.copy(), p.copy()
+            up[n, 0] *= 1 + change
+            down[n, 0] *= 1 - change
+            slope = 2 * np.log(brute_sum(word, vocab, up, 0) / brute_sum(word, vocab, down, 0)) / (2 * change)
+            assert out[n, 0] == pytest.approx(slope, abs=1e-5)
 
 
 def test_gated_attention_learns_from_bags():
@@ -169,22 +199,97 @@ def test_gated_attention_learns_from_bags():
     assert ((model.score(bags) >= 0.5) == np.array(labels)).mean() > 0.9
     assert (quality.fit([], []).score(bags[:2]) == 0.5).all()
     assert len(quality.encode(b"")) == len(quality.encode(b" \n ")) == 1
-    assert len(quality.encode(b"word " * 100_000)) <= quality.MAX_PASSAGES + 1
 
 
-def test_hadamard_and_recall():
-    x = np.random.default_rng(0).normal(size=(3, 8))
-    h = np.array([[1]])
-    while len(h) < 8:
+def brute_attention(w, bag):
+    """One document's probability, passage by passage."""
+    hidden, scores = [], []
+    for x in bag:
+        h = [math.tanh(sum(x[i] * w["W"][i, j] for i in range(len(x))) + w["b"][j]) for j in range(len(w["b"]))]
+        t = [math.tanh(sum(h[i] * w["V"][i, j] for i in range(len(h)))) for j in range(len(w["a"]))]
+        g = [1 / (1 + math.exp(-sum(h[i] * w["U"][i, j] for i in range(len(h))))) for j in range(len(w["a"]))]
+        hidden.append(h)
+        scores.append(sum(t[j] * g[j] * w["a"][j] for j in range(len(t))))
+    e = [math.exp(s) for s in scores]
+    z = [sum(e[n] * hidden[n][j] for n in range(len(bag))) / sum(e) for j in range(len(w["b"]))]
+    return 1 / (1 + math.exp(-(sum(z[j] * w["c"][j] for j in range(len(z))) + w["d"][0])))
+
+
+def test_attention_and_its_gradient_against_plain_loops():
+    r = np.random.default_rng(3)
+    shapes = {"W": (4, 5), "b": 5, "V": (5, 3), "U": (5, 3), "a": 3, "c": 5, "d": 1}
+    w = {k: r.normal(size=s) for k, s in shapes.items()}
+    bags = [r.normal(size=(n, 4)) for n in (1, 3, 7)]
+    own, y = np.repeat(np.arange(3), [1, 3, 7]), np.array([1.0, 0.0, 1.0])
+    want = [brute_attention(w, b) for b in bags]
+    model = quality.Model(np.zeros(4), np.ones(4), w, 0.5)
+    assert model.score(bags) == pytest.approx(want)
+    parts = [(n, b[i : i + 2]) for n, b in enumerate(bags) for i in range(0, len(b), 2)]
+    assert model.score_blocks(3, iter(parts)) == pytest.approx(want)
+    got = quality.gradient(w, np.concatenate(bags), own, y)
+
+    def loss():
+        p = [brute_attention(w, b) for b in bags]
+        return -np.mean([math.log(q if t else 1 - q) for q, t in zip(p, y)])
+
+    for k, values in w.items():
+        for at in np.ndindex(values.shape):
+            kept = values[at]
+            values[at] = kept + 1e-6
+            up = loss()
+            values[at] = kept - 1e-6
+            slope = (up - loss()) / 2e-6
+            values[at] = kept
+            assert got[k][at] == pytest.approx(slope, abs=1e-7)
+
+
+def test_long_texts_have_passages_of_one_size():
+    text = b"word of text, " * 200_000
+    bags = [quality.encode(b) for b in quality.blocks(text)]
+    assert len(bags) == 3 and abs(sum(map(len, bags)) - len(text) / quality.PASSAGE_BYTES) < 10
+    assert np.concatenate(bags).std(0).max() < 0.2  # no feature depends on the length
+    assert len(quality._learnt(text)) == quality.MAX_TRAIN_PASSAGES
+    assert [b"".join(quality.blocks(x)) == x for x in (b"", b"a", text)] == [True] * 3
+
+
+@pytest.mark.parametrize("dim,count", [(16, 100), (64, 50_000), (64, 10**9), (768, 10**6)])
+def test_hadamard_and_recall(dim, count):
+    size = vectors._padded(dim)
+    x, h = np.random.default_rng(0).normal(size=(3, size)), np.array([[1]])
+    while len(h) < size:
         h = np.block([[h, h], [h, -h]])
     assert vectors.hadamard(x) == pytest.approx(x @ h)
     r = np.random.default_rng(1)
-    a = vectors.unit(r.normal(size=(1000, 64)))
-    b = r.normal(size=(1000, 64))
+    a = vectors.unit(r.normal(size=(2000, dim)))
+    b = r.normal(size=(2000, dim))
     b = vectors.unit(b - (a * b).sum(1, keepdims=True) * a)
     b = 0.95 * a + np.sqrt(1 - 0.95**2) * b
-    ka, kb = vectors.keys(a), vectors.keys(b)
-    assert (ka[:, :, :, None] == kb[:, :, None, :]).any((1, 2, 3)).mean() > 0.97
+    hashes = vectors.hashes_for(count, dim)
+    tables = vectors.tables_for(dim, hashes)
+    ka, kb = vectors.keys(a, tables, hashes).reshape(2000, -1), vectors.keys(b, tables, hashes).reshape(2000, -1)
+    found = np.zeros(2000, bool)
+    for k in range(kb.shape[1]):
+        found |= (ka == kb[:, k : k + 1]).any(1)
+    assert found.mean() >= 0.99
+
+
+def test_vectors_of_a_bucket_against_plain_loops():
+    r = np.random.default_rng(5)
+    for whole in (True, False):
+        x = vectors.unit(r.normal(size=(5, 8))[r.integers(0, 5, 30)] + 0.1 * r.normal(size=(30, 8)))
+        ks, copies = r.integers(0, 9, (30, 4)), r.integers(1, 5, 30)
+        ks[:, 0] = 5  # all are in the bucket
+        side = np.full(30, 2) if whole else np.arange(30) // 14 % 2
+        n, reach = vectors.verify(5, x, ks, copies, side, 0.95)
+        want, group = np.zeros(30, int), list(range(30))
+        pairs = [(i, j) for i in range(30) for j in range(30) if i != j and (whole or side[i] != side[j]) and x[i] @ x[j] >= 0.95]
+        for i, j in pairs:
+            if min(set(ks[i]) & set(ks[j])) == 5:
+                want[i] += copies[j]
+        for _ in range(30):
+            for i, j in pairs:
+                group[i] = min(group[i], group[j])
+        assert n.tolist() == want.tolist() and reach.tolist() == group and len(pairs) > 30
 
 
 def test_suffix_sort_equals_plain_sort():
@@ -212,6 +317,91 @@ def test_hash_collisions_are_found(monkeypatch):
     assert not suffixes.Suffixes(data).repeats(at, group).any()
 
 
+def local_repeats(rows, cap=10**9):
+    """The operator's steps in this process, a shuffle being a sort: bytes to remove of each document."""
+    docs = [pa.record_batch([pa.array([i], pa.int64()), pa.array([t.decode("latin-1")])], ["rid", "text"]) for i, t in rows]
+    table = pa.Table.from_batches([x for b in docs for x in suffixes._seen([b])]).sort_by("key")
+    got = pa.Table.from_batches(list(suffixes._first(table.to_batches(max_chunksize=7)))).to_pylist()
+    gone = {i: np.zeros(len(t), bool) for i, t in rows}
+    asked: dict = {}
+    for r in got:
+        if r["key"] is None:
+            gone[r["rid"]][r["x"] : r["y"]] = True
+        else:
+            asked.setdefault(r["rid"], []).append(r)
+    many = {k for k, n in Counter(r["key"] for x in asked.values() for r in x).items() if n > cap}
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("x", pa.int64()), ("hot", pa.bool_())]))
+    text = dict(rows)
+    wanted = [[{"key": r["key"], "x": r["x"], "hot": r["key"] in many} for r in x] for x in asked.values()]
+    batch = pa.record_batch([pa.array([text[i].decode("latin-1") for i in asked]), pa.array(list(asked), pa.int64()), pa.array(wanted, kind)], ["text", "rid", "asked"])
+    ctx = pa.Table.from_batches(list(suffixes._contexts([batch]))).sort_by([(c, "ascending") for c in ("key", "sub", "rid", "at")])
+    for b in suffixes._sorted_out(ctx.to_batches(max_chunksize=50)):
+        for r in b.to_pylist():
+            gone[r["rid"]][r["x"] : r["y"]] = True
+    return gone
+
+
+def some_texts():
+    r = np.random.default_rng(6)
+    line = lambda n, k: bytes(r.integers(97, 97 + k, n).astype(np.uint8))
+    shared, long = line(150, 20), line(900, 20)
+    texts = [line(400, 20), shared + line(200, 20), line(90, 20) + shared + line(60, 20), long, long, line(60, 20) + long[100:700], b"ab" * 300, b"", line(99, 4)]
+    texts += [line(3, 20) + shared[:110] + line(3, 20) for _ in range(20)] + [line(500, 1), b"x" * 250]
+    return list(enumerate(texts))
+
+
+def plain_repeats(rows):
+    seen, out = set(), {}
+    for i, t in rows:
+        out[i] = np.zeros(len(t), bool)
+        for p in range(len(t) - 99):
+            if t[p : p + 100] in seen:
+                out[i][p : p + 100] = True
+            seen.add(t[p : p + 100])
+    return out
+
+
+@pytest.mark.parametrize("collide", ["", "contexts", "anchors", "suffixes", "all"])
+@pytest.mark.parametrize("cap", [10**9, 1])
+def test_collisions_remove_nothing(monkeypatch, collide, cap):
+    """Hashes that are all equal: only bytes can tell contexts and suffixes apart."""
+    plain = suffixes.anchors
+
+    def anchors(text):
+        h, c, *rest = plain(text)
+        return (h * np.uint64(collide not in ("anchors", "all")), c * np.uint64(collide not in ("contexts", "all")), *rest)
+
+    monkeypatch.setattr(suffixes, "anchors", anchors)
+    if collide in ("suffixes", "all"):
+        monkeypatch.setattr(suffixes.Suffixes, "hashes", lambda self, at, n: np.zeros(len(at), np.uint64))
+    rows = some_texts()
+    got, want = local_repeats(rows, cap), plain_repeats(rows)
+    assert all((got[i] == want[i]).all() for i in want) and any(x.any() for x in want.values())
+
+
+def test_long_texts_are_taken_in_pieces(monkeypatch):
+    monkeypatch.setattr(suffixes, "PIECE", 130)
+    monkeypatch.setattr(suffixes, "FOLDED", 500)
+    rows = some_texts()
+    got, want = local_repeats(rows), plain_repeats(rows)
+    assert all((got[i] == want[i]).all() for i in want)
+    for n in (0, 99, 100, 129, 229, 230, 1000):
+        starts = [s + k for s, piece in suffixes.pieces(b"x" * n) for k in range(len(piece) - 99)]
+        assert starts == list(range(max(0, n - 99)))
+
+
+def test_sketches_estimate_similarity():
+    r = np.random.default_rng(7)
+    for size in (5, 50, 500, 20_000):
+        for share in (0.5, 0.7, 0.8, 0.95):
+            common = r.integers(0, 2**64, size, np.uint64)
+            own = lambda: r.integers(0, 2**64, round(size * (1 - share) / 2 / share), np.uint64)
+            a, b = np.concatenate([common, own()]), np.concatenate([common, own()])
+            true = size / (len(a) + len(b) - size)
+            got = similar.alike(similar.sketch(a)[None], similar.sketch(b)[None])[0]
+            assert got > true - similar.MARGIN and (size < 50 or got < true + similar.MARGIN)
+
+
 def test_digest_helper():
     assert suffixes.kept_bytes(b"abcdef", [1, 2], [3, 4]) == (b"aef", 3, 1)
     assert hashlib.sha256(suffixes.kept_bytes(b"", [], [])[0]).hexdigest() == hashlib.sha256(b"").hexdigest()
