@@ -1,4 +1,9 @@
-"""From raw documents to packed sequences: STAGES in order, each reading what the one before wrote."""
+"""From raw documents to packed sequences: STAGES in order, each reading what the one before wrote.
+
+Every stage takes nulls in any column, repeated rows, ids that several rows share or that are null,
+texts of any length and empty tables, and decides on each row by itself. All but the last return the
+columns of documents; others that a table may have are not carried on.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import langid, packing, quality, simhash, suffixes
-from millrace.llm.common import DOCUMENT_COLUMNS, saved, table
+from millrace.llm.common import DOCUMENT_COLUMNS, numbered, saved, table
 
 #: A language is taken as known from this posterior on.
 LANGUAGE_SCORE = 0.5
@@ -20,14 +25,17 @@ def _columns(df: DataFrame) -> DataFrame:
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from labelled ones, does not reject."""
+    """Documents that the classifier, learnt from labelled ones, does not reject; a null text is scored as empty."""
     docs = _columns(docs)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return _columns(quality.score(docs, model).where(F.col("quality_score") >= quality.THRESHOLD))
 
 
 def filter_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised: with a letter, and a posterior of at least one half."""
+    """Documents whose language is recognised: with a letter, and a posterior of at least one half.
+
+    The posterior is over the languages learnt, so it is near 1 for any longer text.
+    """
     import public_tokenizers
 
     docs = _columns(docs)
@@ -37,13 +45,15 @@ def filter_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates; rows without an id stay.
+    """One document of each group of near-duplicates, the one with the smallest doc_id.
 
-    Linked are fingerprints within two bits, as in op3, and texts of SIMILARITY or more.
+    Linked are fingerprints within two bits, as in op3, and texts of SIMILARITY or more. Rows are
+    decided on one by one: of repeated rows one stays, of rows that share an id and differ each is a
+    document of its own, and rows without an id take part and give way to any other.
     """
-    docs = _columns(docs)
-    groups = simhash.near_duplicates(docs, similarity=SIMILARITY).where("doc_id = component_id").select("doc_id").distinct()
-    return _columns(docs.join(groups, "doc_id")).unionByName(docs.where("doc_id is null"))
+    docs = numbered(_columns(docs), nulls_first=False)
+    gone = simhash.groups(docs.select(F.col("__row").alias("doc_id"), "text"), SIMILARITY).select(F.col("node").alias("__row"))
+    return _columns(docs.join(gone, "__row", "left_anti"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
