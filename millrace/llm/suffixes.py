@@ -34,7 +34,7 @@ from .common import keeps_nothing, numbered, saved, table, text_bytes
 LENGTH = 100
 ANCHOR = 32
 #: Window starts of a text that are looked at together, and text that is folded together.
-PIECE, FOLDED = 1 << 20, 1 << 25
+PIECE, FOLDED = 1 << 19, 1 << 24
 #: Contexts of an anchor beyond which its windows are dealt out.
 CAP = 2000
 _U = np.uint64
@@ -85,7 +85,7 @@ def leftmost_minima(x: np.ndarray, width: int) -> np.ndarray:
 def anchors(text: bytes) -> tuple[np.ndarray, ...]:
     """Of one text: anchor hash, context hash, anchor position, windows to its left and right."""
     if len(text) < LENGTH:
-        return (np.zeros(0, _U),) * 2 + (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, _U),) * 2 + (np.zeros(0, np.int32),) + (np.zeros(0, np.int16),) * 2
     data = np.frombuffer(text, np.uint8).astype(_U)
     p, p2 = _P.prefixes(data), _P2.prefixes(data)
     n = len(data)
@@ -96,7 +96,7 @@ def anchors(text: bytes) -> tuple[np.ndarray, ...]:
     m = at[first]
     c = (p2[last + LENGTH] - p2[first]) * _P2.down[first]
     c = mix(c + (m - first).astype(_U) * _U(0xA24BAED4963EE407) + (last - m + LENGTH).astype(_U) * _U(0x9FB21C651E98DF25))
-    return h[m], c, m, m - first, last - m
+    return h[m], c, m.astype(np.int32), (m - first).astype(np.int16), (last - m).astype(np.int16)
 
 
 def _pack(at, left, right):
@@ -135,12 +135,12 @@ def pieces(text: bytes) -> Iterator[tuple[int, bytes]]:
 def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether stretches of the same sizes that begin at a and b hold the same bytes."""
     out = np.ones(len(a), bool)
-    for k in range(0, len(a), 20_000):
-        n = size[k : k + 20_000]
+    for k in range(0, len(a), 4000):
+        n = size[k : k + 4000]
         end = np.cumsum(n)
         step = np.arange(int(end[-1])) - np.repeat(end - n, n)
-        same = data[np.repeat(a[k : k + 20_000], n) + step] == data[np.repeat(b[k : k + 20_000], n) + step]
-        out[k : k + 20_000] = np.logical_and.reduceat(same, end - n)
+        same = data[np.repeat(a[k : k + 4000], n) + step] == data[np.repeat(b[k : k + 4000], n) + step]
+        out[k : k + 4000] = np.logical_and.reduceat(same, end - n)
     return out
 
 
@@ -151,8 +151,11 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close(held: list) -> pa.RecordBatch:
         rids, offsets, blocks, parts = zip(*held)
+        held.clear()
+        own = np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts])
         h, c, m, left, right = (np.concatenate(x) for x in zip(*parts))
-        own = np.repeat(np.arange(len(held)), [len(x[0]) for x in parts])
+        del parts
+        left, right = left.astype(np.int64), right.astype(np.int64)
         rid, m = np.array(rids, np.int64)[own], m + np.array(offsets, np.int64)[own]
         shift = np.cumsum([0, *map(len, blocks)])[:-1] - np.array(offsets, np.int64)  # from a text's places to those in data
         order = np.lexsort((m, rid, c, h))
@@ -193,7 +196,7 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(piece)
                 if size > FOLDED:
                     yield close(held)
-                    held, size = [], 0
+                    size = 0
     if held:
         yield close(held)
 
