@@ -29,7 +29,7 @@ UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _EDGES = regex.compile(r"^[^\p{L}\p{M}]+|[^\p{L}\p{M}]+$")
 SHORT = 40  # at most 62: places are packed in 6 bits
-_KEPT_CHUNKS = 300_000
+_KEPT_CHUNKS = 200_000
 #: Characters of a document beyond which it is not learnt from.
 MAX_TRAIN_CHARS = 50_000
 
@@ -104,11 +104,19 @@ class Lattice:
                 out[n] += counts * np.exp(np.minimum(alpha[i] + logs[n] + beta[j] - alpha[size], 0))
 
     def arcs(self, words: list[str]) -> Arcs:
-        out, ends = [], [0]
-        for word in words:
-            for i in range(len(word)):
-                at = i << 26
-                out += [at | j << 20 | n for j, n in self.pieces_at(word, i)]
+        out, ends, root, other = [], [0], self.root, self.size - 1
+        for word in words:  # pieces_at, written out: most of the time goes here
+            size = len(word)
+            for i in range(size):
+                node, at, j, single = root, i << 26, i, False
+                while j < size and word[j] in node:
+                    node = node[word[j]]
+                    j += 1
+                    if "" in node:
+                        out.append(at | j << 20 | node[""])
+                        single = single or j == i + 1
+                if not single:
+                    out.append(at | (i + 1) << 20 | other)
             ends.append(len(out))
         return Arcs(np.array(out, np.int64), np.diff(ends), np.fromiter(map(len, words), np.int64, len(words)))
 
@@ -202,7 +210,7 @@ class Scorer:
         short, long = [w for w in new if len(w) <= SHORT], [w for w in new if len(w) > SHORT]
         at = len(self.scores)
         self.words.update((w, at + n) for n, w in enumerate(short + long))
-        blocks = [np.log(np.maximum(self.lattice.arcs(short[i : i + 20_000]).likelihood(self.p), 1e-300)) for i in range(0, len(short), 20_000)]
+        blocks = [np.log(np.maximum(self.lattice.arcs(short[i : i + 10_000]).likelihood(self.p), 1e-300)) for i in range(0, len(short), 10_000)]
         alone = [self.lattice.long_likelihood(w, self.p)[None] for w in long]
         self.scores = np.concatenate([self.scores, *blocks, *alone])
         self.chunks.update((c, self.words[w]) for c, w in words.items())
