@@ -14,9 +14,13 @@ def exact_sum(column: str | Column) -> Column:
     return F.sum(c.cast(MONEY)).cast("double")
 
 
+#: Fixed value: what of a connection string is its password.
+PASSWORD = ":[^:]*@"
+
+
 def mask_dsn(c: Column) -> Column:
     """A connection string without its password."""
-    return F.regexp_replace(c, ":[^:]*@", ":***@")
+    return F.regexp_replace(c, PASSWORD, ":***@")
 
 
 def format_duration(seconds: Column) -> Column:

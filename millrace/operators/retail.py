@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.scalars import size_pretty
+
 
 def best_sellers(items: DataFrame, products: DataFrame, on: Column, name: str, quantity: Column, revenue: Column) -> DataFrame:
     """Quantity and revenue by product name (equal names merge), highest revenue first."""
@@ -32,3 +34,12 @@ def product_categories(products: DataFrame, bridge: DataFrame, categories: DataF
     j = bridge.join(products, product).join(categories, category).select(F.col(product_name).alias("product_name"), F.col(category_name).alias("category_name"), "is_primary")
     order = [F.asc_nulls_last("product_name")] + ([F.desc_nulls_first("is_primary")] if primary_first else []) + [F.asc_nulls_last("category_name")]
     return j.orderBy(*order)
+
+
+def volume_report(rows: Column, table_bytes: Column, all_bytes: Column) -> list[Column]:
+    """Three texts: rows, and sizes of the table and of its database."""
+    text = lambda label, value: F.concat(F.lit(f"{label}: "), value)
+    return [
+        text("TOTAL ROWS", rows.cast("string")).alias("row_count"), text("TABLE SIZE", size_pretty(table_bytes)).alias("table_size"),
+        text("DB SIZE", size_pretty(all_bytes)).alias("db_size"),
+    ]

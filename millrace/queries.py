@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from millrace.functions import scalars
 from millrace.operators import constraints, introspection, retail, strategies
 from millrace.plans import graph, runner
-from millrace.sources import catalog, datagen
+from millrace.sources import catalog, datagen, delimited
+from millrace.sources.store import staging
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +43,17 @@ def scan_all(spark, sf_dir):
     return t(spark, sf_dir, "region")
 
 
+def _scan(name: str) -> None:
+    def scan(spark, sf_dir):
+        return t(spark, sf_dir, name)
+
+    QUERIES[f"scan_{name}"], ORACLE[f"scan_{name}"] = scan, f"SELECT * FROM {name}"
+
+
+for _name in ("nation", "customer", "orders", "lineitem"):
+    _scan(_name)
+
+
 @query("SELECT * FROM orders WHERE o_orderstatus = 'F'")
 def where_filter(spark, sf_dir):
     return strategies.where_filter(t(spark, sf_dir, "orders"), {"orders": "o_orderstatus = 'F'"}.get("orders"))
@@ -86,6 +98,38 @@ def product_categories_primary_first(spark, sf_dir):
     return retail.product_categories(t(spark, sf_dir, "part"), _bridge(spark, sf_dir), t(spark, sf_dir, "supplier"), "p_partkey", "s_suppkey", "p_name", "s_name", True)
 
 
+_PRETTY_SQL = "(CASE WHEN {n} < 10240 THEN {n}::VARCHAR || ' bytes' WHEN {n} < 10484992 THEN (({n} + 512) // 1024)::VARCHAR || ' kB' WHEN {n} < 10736893952 THEN (({n} + 524288) // 1048576)::VARCHAR || ' MB' ELSE (({n} + 536870912) // 1073741824)::VARCHAR || ' GB' END)"
+
+
+@query(f"WITH d AS (SELECT COUNT(*) AS n, CAST(SUM(COALESCE(octet_length(encode(text)), 0)) AS BIGINT) AS b FROM documents), o AS (SELECT CAST(SUM(COALESCE(octet_length(encode(text)), 0)) AS BIGINT) AS c FROM benchmark) SELECT 'TOTAL ROWS: ' || n::VARCHAR AS row_count, 'TABLE SIZE: ' || {_PRETTY_SQL.format(n='b')} AS table_size, 'DB SIZE: ' || {_PRETTY_SQL.format(n='(b + c)')} AS db_size FROM d, o")
+def volume_report(spark, sf_dir):
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long")
+    rows = t(spark, sf_dir, "documents").agg(F.count("*").alias("n"), size.alias("b"))
+    both = rows.withColumn("one", F.lit(1)).join(t(spark, sf_dir, "benchmark").agg(size.alias("c")).withColumn("one", F.lit(1)), "one")
+    return both.select(*retail.volume_report(F.col("n"), F.col("b"), F.col("b") + F.col("c")))
+
+
+# CSV: what an export writes for each row, text in quotes and null as nothing
+
+
+@query("SELECT o_orderkey::VARCHAR || ',' || CASE WHEN o_orderstatus = 'P' THEN '' ELSE '\"' || o_orderstatus || '\"' END || ',' || '\"' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE replace(o_orderpriority, '-', '\"\"') END || '\"' AS value FROM orders WHERE o_orderkey % 2 = 0")
+def csv_export(spark, sf_dir):
+    return delimited.lines(_with_gaps(spark, sf_dir).where("o_orderkey % 2 = 0"))
+
+
+@query("SELECT o_orderkey, NULLIF(o_orderstatus, 'P') AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE replace(o_orderpriority, '-', '\"') END AS o_orderpriority FROM orders")
+def csv_round_trip(spark, sf_dir):
+    path, df = staging(spark, "csv"), _with_gaps(spark, sf_dir)
+    delimited.export(df, path)
+    return delimited.load(spark, path, df.schema)
+
+
+def _with_gaps(spark, sf_dir):
+    """Orders with nulls, empty strings and quotes."""
+    priority = F.when(F.col("o_orderkey") % 3 == 0, F.lit("")).otherwise(F.replace("o_orderpriority", F.lit("-"), F.lit('"')))
+    return t(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"), priority.alias("o_orderpriority"))
+
+
 # Counts and validation
 
 _COUNTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -339,6 +383,17 @@ def generate_rows(spark, sf_dir):
     return g.select("id", F.length("large_data").cast("long").alias("n_chars"), F.md5(F.col("large_data").cast("binary")).alias("large_md5"), "json_data", F.lower(F.hex("binary_data")).alias("binary_hex"))
 
 
+_KEYED = "(SELECT o_orderkey AS id FROM orders)"
+
+
+@query(f"SELECT id, length(repeat({_md5('x')} || {_md5('y')}, 32)) AS n_chars, md5(repeat({_md5('x')} || {_md5('y')}, 32)) AS large_md5, md5({_JSON}) AS json_md5, lower(hex(unhex({_md5('b')} || {_md5('c')}))) AS binary_hex FROM {_KEYED}")
+def generate_rows_by_key(spark, sf_dir):
+    """A generated row for each order, so the job grows with the data."""
+    g = datagen.generate_for(t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")))
+    large = F.md5(F.col("large_data").cast("binary")).alias("large_md5")
+    return g.select("id", F.length("large_data").cast("long").alias("n_chars"), large, F.md5(F.col("json_data").cast("binary")).alias("json_md5"), F.lower(F.hex("binary_data")).alias("binary_hex"))
+
+
 @query(f"SELECT id, {_JSON} AS json_data FROM {_IDS}")
 def json_build(spark, sf_dir):
     return spark.range(1, _GENERATED + 1).select("id", datagen.json_column().alias("json_data"))

@@ -23,6 +23,10 @@ def json_column():
 
 
 def generate(spark: SparkSession, n: int) -> DataFrame:
-    """(id, large_data of 2048 characters, json_data, binary_data of 32 bytes)."""
-    ids = spark.range(1, n + 1)
+    """Rows for the numbers from 1 to n."""
+    return generate_for(spark.range(1, n + 1))
+
+
+def generate_for(ids: DataFrame) -> DataFrame:
+    """(id, large_data of 2048 characters, json_data, binary_data of 32 bytes) for each id."""
     return ids.select("id", F.repeat(F.concat(salted("x"), salted("y")), 32).alias("large_data"), json_column().alias("json_data"), F.unhex(F.concat(salted("b"), salted("c"))).alias("binary_data"))

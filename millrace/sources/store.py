@@ -1,17 +1,30 @@
 """A store: a directory of Parquet tables, each a chain of snapshots and a pointer to the current one.
 
-A table that is read is never written in place: a load writes a new snapshot and then moves the
-pointer, so a failed load leaves the table as it was. All access goes through Spark and Hadoop file
-systems, so any store they know will do.
+A snapshot is a list of parts, directories of Parquet files that are never written again. A load
+writes a new part and then moves the pointer to a snapshot that holds it, so a failed load leaves
+the table as it was and a reader sees a load whole or not at all. An append adds a part; nothing is
+rewritten. All access goes through Spark and Hadoop file systems, so any store they know will do.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def staging(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; only a local
+    session without one gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="millrace-")
+    return f"{base.rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -21,44 +34,70 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.path}/{table}/_current"
+    def _pointers(self, table: str) -> list[str]:
+        """Names of complete pointers, oldest first; the last is current."""
+        fs, p = self._fs(f"{self.path}/{table}")
+        if not fs.exists(p):
+            return []
+        return sorted(n for s in fs.listStatus(p) if (n := s.getPath().getName()).startswith("current-"))
 
     def tables(self) -> list[str]:
         fs, p = self._fs(self.path)
         if not fs.exists(p):
             return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and self.exists(s.getPath().getName()))
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and not s.getPath().getName().startswith("_") and self.exists(s.getPath().getName()))
 
     def exists(self, table: str) -> bool:
-        fs, p = self._fs(self._pointer(table))
-        return fs.exists(p)
-
-    def snapshot(self, table: str) -> str:
-        fs, p = self._fs(self._pointer(table))
+        return bool(self._pointers(table))
+
+    def parts(self, table: str) -> list[str]:
+        """Directories of the current snapshot."""
+        pointers = self._pointers(table)
+        if not pointers:
+            raise FileNotFoundError(f"no table {table} in {self.path}")
+        fs, p = self._fs(f"{self.path}/{table}/{pointers[-1]}")
         stream = fs.open(p)
         try:
-            return bytes(b & 255 for b in stream.readNBytes(200)).decode()
+            size = fs.getFileStatus(p).getLen()
+            return bytes(b & 255 for b in stream.readNBytes(size)).decode().split()
         finally:
             stream.close()
 
-    def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{table}/{self.snapshot(table)}")
-
-    def write(self, table: str, df: DataFrame) -> None:
-        """A new snapshot becomes the table."""
-        name = f"s-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{table}/{name}")
-        fs, p = self._fs(self._pointer(table))
-        stream = fs.create(p, True)
+    def _point(self, table: str, parts: list[str], after: str | None) -> None:
+        """The parts become the table. The new pointer is written aside and renamed to the next number,
+        so a torn write is never read; if another load took that number first, this one fails."""
+        number = int(after.split("-")[1]) + 1 if after else 0
+        fs, aside = self._fs(f"{self.path}/{table}/_pending-{uuid.uuid4().hex}")
+        stream = fs.create(aside, False)
         try:
-            stream.write(bytearray(name.encode()))
+            stream.write(bytearray("\n".join(parts).encode()))
         finally:
             stream.close()
+        _, final = self._fs(f"{self.path}/{table}/current-{number:012d}")
+        if fs.exists(final) or not fs.rename(aside, final):
+            fs.delete(aside, False)
+            raise RuntimeError(f"another load has changed {table}")
+        if after:
+            for name in self._pointers(table)[:-2]:  # the one before stays for readers that have just listed it
+                fs.delete(self._fs(f"{self.path}/{table}/{name}")[1], False)
+
+    def _part(self, table: str, df: DataFrame) -> str:
+        name = f"p-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{table}/{name}")
+        return name
+
+    def read(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{table}/{p}" for p in self.parts(table)])
+
+    def write(self, table: str, df: DataFrame) -> None:
+        """A new snapshot of one part becomes the table."""
+        after = (self._pointers(table) or [None])[-1]
+        self._point(table, [self._part(table, df)], after)
 
     def append(self, table: str, df: DataFrame) -> None:
-        """Rows added to the current snapshot; nothing is rewritten."""
-        df.write.mode("append").parquet(f"{self.path}/{table}/{self.snapshot(table)}")
+        """A snapshot with one more part becomes the table; nothing is rewritten."""
+        after, parts = self._pointers(table)[-1], self.parts(table)
+        self._point(table, [*parts, self._part(table, df)], after)
 
     def clone_schema(self, table: str, source: Store) -> None:
         """An empty table with the source's columns, unless there is one."""
@@ -73,16 +112,31 @@ class Store:
         fs.delete(p, True)
 
     def vacuum(self, table: str) -> None:
-        """Remove snapshots that are no longer current."""
-        keep = self.snapshot(table)
+        """Remove parts and pointers of snapshots that are no longer current, and what failed loads left."""
+        keep = {*self.parts(table), self._pointers(table)[-1]}
         fs, p = self._fs(f"{self.path}/{table}")
         for s in fs.listStatus(p):
-            if s.isDirectory() and s.getPath().getName() != keep:
+            if s.getPath().getName() not in keep:
                 fs.delete(s.getPath(), True)
 
     def count(self, table: str) -> int:
         return self.read(table).count() if self.exists(table) else 0
 
+    def size(self, table: str) -> int:
+        """Bytes of the current snapshot's files."""
+        return sum(fs.getContentSummary(p).getLength() for fs, p in (self._fs(f"{self.path}/{table}/{x}") for x in self.parts(table)))
+
+    def analyze(self, table: str) -> DataFrame:
+        """(column_name, nulls, distinct_values, min, max) of the table, estimated for distinct values, from one pass."""
+        from pyspark.sql import functions as F
+
+        df = self.read(table)
+        one = lambda c: F.struct(
+            F.lit(c).alias("column_name"), F.count_if(F.col(c).isNull()).alias("nulls"), F.approx_count_distinct(c).alias("distinct_values"),
+            F.min(c).cast("string").alias("min"), F.max(c).cast("string").alias("max"),
+        )
+        return df.agg(F.array(*[one(c) for c in df.columns]).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+
 
 def jdbc_options(dsn: str, table: str, fetch: int = 10_000) -> dict[str, str]:
     """Spark JDBC options of a ``postgresql://user:password@host:port/database`` string."""
@@ -90,3 +144,15 @@ def jdbc_options(dsn: str, table: str, fetch: int = 10_000) -> dict[str, str]:
     login, _, place = rest.rpartition("@")
     user, _, password = login.partition(":")
     return {"url": f"jdbc:postgresql://{place}", "user": user, "password": password, "dbtable": table, "fetchsize": str(fetch), "batchsize": str(fetch)}
+
+
+def read_jdbc(spark: SparkSession, dsn: str, table: str, key: str | None = None, low: int = 0, high: int = 0, partitions: int = 1) -> DataFrame:
+    """A database's table; with a numeric key, read in ranges of it by as many connections. Filters reach the database."""
+    options = jdbc_options(dsn, table)
+    if key:
+        options |= {"partitionColumn": key, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(partitions)}
+    return spark.read.format("jdbc").options(**options).load()
+
+
+def write_jdbc(df: DataFrame, dsn: str, table: str, mode: str = "append") -> None:
+    df.write.format("jdbc").options(**jdbc_options(dsn, table)).mode(mode).save()

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import strategies
 from millrace.sources.store import Store
 
 
@@ -14,11 +13,25 @@ def latest(changes: DataFrame, keys: list[str], version: str) -> DataFrame:
     return changes.groupBy(*keys).agg(F.max_by(F.struct(*changes.columns), version).alias("row")).select("row.*")
 
 
+def merged(target: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """The target with the newest row of each key: a late change with an older version replaces nothing,
+    one with an equal version does. Keys with a null never match: such rows are added."""
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    new = latest(changes.where(~null), keys, version)
+    touched = new.select(*keys)
+    old = target.join(touched, keys, "left_semi").select(*target.columns)
+    both = old.withColumn("__new", F.lit(0)).unionByName(new.select(*target.columns).withColumn("__new", F.lit(1)))
+    newest = both.groupBy(*keys).agg(F.max_by(F.struct(*target.columns), F.struct(version, "__new")).alias("row")).select("row.*")
+    rest = target.join(touched, keys, "left_anti").select(*target.columns)
+    return rest.unionByName(newest).unionByName(changes.where(null).select(*target.columns))
+
+
 def start(changes: DataFrame, store: Store, table: str, keys: list[str], version: str, checkpoint: str):
-    """Each batch's newest rows are merged into the table; a repeated batch changes nothing."""
+    """Each batch's newest rows are merged into the table; a repeated batch of whole keys changes nothing."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        new = latest(batch, keys, version)
-        store.write(table, strategies.upsert(store.read(table), new, keys) if store.exists(table) else new)
+        store.write(table, merged(store.read(table) if store.exists(table) else batch.limit(0), batch, keys, version))
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

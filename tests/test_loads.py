@@ -1,9 +1,15 @@
 """Strategies, constraints, load order and runs on small tables with awkward rows."""
 
+import json
+import signal
+from datetime import datetime
+from decimal import Decimal
+
 import pytest
 
 from millrace.operators import constraints, strategies
 from millrace.plans import graph, runner
+from millrace.sources import delimited
 from millrace.sources.store import Store
 from millrace.streaming import upsert
 
@@ -113,7 +119,106 @@ def test_failed_table_is_reported_and_left_as_it_was(spark, stores):
     load(spark, stores, "full")
     report = load(spark, stores, "append", keys=keys)
     assert report.tables["users"]["status"] == "failed" and not report.ok
-    assert stores[1].count("users") == 3 and stores[1].count("orders") == 4
+    assert stores[1].count("users") == 3 and stores[1].count("orders") == 2  # its child is not loaded
+
+
+def test_children_of_a_failed_parent_are_skipped(spark, stores):
+    load(spark, stores, "full")
+    report = load(spark, stores, "append", keys={"users": ["id"]})
+    assert report.tables["users"]["status"] == "failed" and report.tables["orders"]["status"] == "skipped" and not report.ok
+    assert stores[1].count("orders") == 2
+
+
+def test_null_keys_are_validated(spark, stores):
+    stores[0].write("users", table(spark, [(1, "a"), (None, "n"), (None, "m")]))
+    report = load(spark, stores, "upsert", keys={"users": ["id"]}, tables=("users",))
+    assert report.validation == [{"table": "users", "source": 3, "target": 3}] and stores[1].count("users") == 3
+
+
+def test_constraints_are_reported(spark, stores):
+    stores[0].write("users", table(spark, [(1, "a"), (1, "a"), (3, None)]))
+    report = load(spark, stores, "full", keys={"users": ["id"]}, unique=(("users", ["v"]),), checks=(("users", "id < 3"),), not_null={"users": ["id", "v"]})
+    assert report.violations == {"users primary key": 1, "users unique v": 1, "orders.user_id": 0, "users check id < 3": 1, "users.id not null": 0, "users.v not null": 1}
+    assert not report.ok
+
+
+def test_marks_are_kept_in_the_target(spark, stores):
+    first = load(spark, stores, "incremental", incremental_column="id", tables=("users",))
+    assert first.marks == {"users": "3"} and stores[1].count("users") == 3
+    stores[0].write("users", table(spark, [(2, "b"), (3, "c"), (4, "d")]))
+    second = load(spark, stores, "incremental", incremental_column="id", tables=("users",))
+    assert second.marks == {"users": "4"} and stores[1].count("users") == 4 and "_marks" not in stores[1].tables()
+    again = load(spark, stores, "incremental", incremental_column="id", tables=("users",), marks={"users": "3"})
+    assert again.validation == [{"table": "users", "source": 5, "target": 5}]
+
+
+def test_a_torn_load_leaves_the_table_as_it_was(spark, stores):
+    a = stores[0]
+    fs, p = a._fs(f"{a.path}/users/_pending-x")
+    fs.create(p).close()  # a pointer that was begun
+    assert a.count("users") == 3
+    bad = a.read("users").selectExpr("id", "raise_error(v) AS v")
+    with pytest.raises(Exception):
+        a.append("users", bad)
+    assert a.count("users") == 3 and len(a.parts("users")) == 1
+    old = a.read("users")
+    a.append("users", table(spark, [(9, "z")]))
+    assert old.count() == 3 and a.count("users") == 4 and len(a.parts("users")) == 2
+    after = a._pointers("users")[-2]
+    with pytest.raises(RuntimeError):  # another load came first
+        a._point("users", [], after)
+    a.vacuum("users")
+    assert a.count("users") == 4 and not fs.exists(p)
+    a.drop("users")
+    assert a.tables() == ["orders"]
+
+
+def test_clean_backup_and_stop(spark, stores, tmp_path):
+    load(spark, stores, "full")
+    assert load(spark, stores, "append", clean=True).ok and stores[1].count("users") == 3
+    copy = Store(spark, str(tmp_path / "copy"))
+    assert runner.backup(stores[1], copy) == ["orders", "users"] and copy.count("users") == 3
+    left = []
+    with pytest.raises(KeyboardInterrupt), runner.stoppable(spark, "tag", lambda: left.append(1)):
+        signal.raise_signal(signal.SIGTERM)
+    assert left == [1]
+
+
+def test_config_retry_and_command(spark, stores, tmp_path, capsys):
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps({"source": stores[0].path, "target": stores[1].path, "mode": "full", "tables": "users , orders", "threads": 2}))
+    config = runner.Config.load(str(path), threads=3, dry_run=None)
+    assert config.tables == ("users", "orders") and config.threads == 3 and not config.dry_run
+    with pytest.raises(ValueError):
+        runner.Config("a", "b", "other")
+    assert runner.main([str(path), "--dry-run"]) == 0 and stores[1].tables() == []
+    assert json.loads(capsys.readouterr().out)["tables"]["users"]["status"] == "planned"
+    assert runner.main([str(path)]) == 0 and stores[1].count("users") == 3
+    tries = []
+
+    def action():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError
+        return "done"
+
+    assert runner.retry(action, delay=0) == "done" and len(tries) == 3
+    with pytest.raises(OSError):
+        runner.retry(lambda: (_ for _ in ()).throw(OSError()), attempts=2, delay=0)
+    assert runner.progress(1, 4, 8) == "[##......] 25% (1/4)" and "100%" in runner.progress(0, 0)
+    assert runner.throughput(10, 3) == 3 and runner.throughput(1, 0) is None
+
+
+def test_csv_keeps_nulls_and_empty_strings(spark, tmp_path):
+    schema = "i int, s string, b boolean, d decimal(10,2), t timestamp_ntz, x binary"
+    when = datetime(2024, 1, 15, 8, 30, 15)
+    rows = [(1, "", True, Decimal("1.50"), when, b"ab"), (2, None, None, None, None, None), (None, 'a "b", c\nd', False, Decimal("0.00"), when, b""), (4, ",", True, None, None, None), (5, "\n", None, None, None, None)]
+    df = table(spark, rows, schema)
+    delimited.export(df, str(tmp_path / "csv"))
+    back = delimited.load(spark, str(tmp_path / "csv"), schema)
+    assert got(back) == got(df) and back.schema.simpleString() == df.schema.simpleString()
+    (tmp_path / "copy.csv").write_text('7,plain,t,2.00,2024-01-15 08:30:15,\\x6162\n8,"",,,,\n')
+    assert got(delimited.load(spark, str(tmp_path / "copy.csv"), schema)) == sorted([(7, "plain", True, Decimal("2.00"), when, b"ab"), (8, "", None, None, None, None)], key=repr)
 
 
 def test_dry_run_writes_nothing(spark, stores):
@@ -138,3 +243,6 @@ def test_stream_of_changes(spark, stores, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         upsert.start(changes, stores[1], "t", ["id"], "at", str(tmp_path / "cp")).awaitTermination(60)
     assert got(stores[1].read("t")) == [(1, "y", 2), (2, "z", 1)]
+    table(spark, [(1, "late", 1), (2, "newer", 3), (3, "w", 1), (None, "n", 1)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    upsert.start(changes, stores[1], "t", ["id"], "at", str(tmp_path / "cp")).awaitTermination(60)
+    assert got(stores[1].read("t")) == sorted([(1, "y", 2), (2, "newer", 3), (3, "w", 1), (None, "n", 1)], key=repr)

@@ -39,3 +39,19 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+ORDERED = {  # columns that a report is ordered by, and whether downwards
+    "top_products": [("total_revenue", True), ("product_name", False)], "daily_revenue": [("sale_date", True)],
+    "product_categories": [("product_name", False), ("category_name", False)],
+    "product_categories_primary_first": [("product_name", False), ("is_primary", True), ("category_name", False)], "list_tables": [("table_name", False)],
+}
+
+
+@pytest.mark.parametrize("name", sorted(ORDERED))
+def test_reports_keep_their_order(spark, name):
+    rows = core.QUERIES[name](spark, SF).collect()
+    for column, down in reversed(ORDERED[name]):  # sorting is stable, so least significant first
+        rows_sorted = sorted(rows if column == ORDERED[name][-1][0] else rows_sorted, key=lambda r: r[column], reverse=down)  # noqa: F821
+    key = lambda r: tuple(r[c] for c, _ in ORDERED[name])
+    assert [key(r) for r in rows] == [key(r) for r in rows_sorted]
