@@ -4,9 +4,11 @@
 an 8-bit grey-scale PNG member of a ZIP archive (members stored, directory entries of equal size, no
 archive beyond ``archiveBytes``). Its reader plans partitions by cutting the archives into byte
 ranges: a range owns the members that begin in it, found by binary search in the archive's
-directory. Neighbouring members are fetched together and streamed as Arrow batches; a member that
-arrives damaged is fetched again by its own offset, as often as ``retries`` says, while the others
-go on. Files are opened through pyarrow's file systems, so any store it knows will do.
+directory. Where there are more ranges than ``partitions`` says, each task takes several, one after
+another, so that the plan stays small over any number of archives. Neighbouring members are fetched
+together and streamed as Arrow batches; a member that arrives damaged is fetched again by its own
+offset, as often as ``retries`` says, while the others go on. Files are opened through pyarrow's
+file systems, so any store it knows will do.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -89,7 +91,11 @@ def feature(samples: np.ndarray) -> str:
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1) if path.startswith("file:/") else f"file://{path}")
+    """The file system of a path and the path within it. ``s3a`` is what Spark calls ``s3``."""
+    scheme, sep, rest = path.partition("://")
+    if sep:
+        return pafs.FileSystem.from_uri(f"s3://{rest}" if scheme == "s3a" else path)
+    return pafs.FileSystem.from_uri(f"file://{path.removeprefix('file:')}")
 
 
 class _Archive:
@@ -157,6 +163,7 @@ class _Range(InputPartition):
     past: int
     members: int
     directory: int
+    then: tuple = ()  # ranges that the same task reads after this one
 
 
 class _Reader(DataSourceReader):
@@ -164,23 +171,34 @@ class _Reader(DataSourceReader):
 
     def __init__(self, options: dict):
         self.folder, self.step = options["path"], int(options.get("splitbytes", 32 << 20))
-        self.retries = int(options.get("retries", 3))
+        self.most, self.retries = int(options.get("partitions", 50_000)), int(options.get("retries", 3))
 
     def partitions(self) -> list[InputPartition]:
         fs, base = _open(self.folder)
-        out = []
+        archives = []
         for info in fs.get_file_info(pafs.FileSelector(base)):
             if info.base_name.startswith(_MANIFEST):
                 with fs.open_input_stream(info.path) as f:
-                    for a in map(json.loads, f.read().splitlines()):
-                        out += [_Range(a["name"], s, min(s + self.step, a["directory"]), a["members"], a["directory"]) for s in range(0, a["directory"], self.step)]
-        return out or [_Range("", 0, 0, 0, 0)]
+                    archives += map(json.loads, f.read().splitlines())
+        share = max(self.step, -(-sum(a["directory"] for a in archives) // self.most))
+        out, held = [], share
+        for a in archives:
+            for s in range(0, a["directory"], share):
+                r = _Range(a["name"], s, min(s + share, a["directory"]), a["members"], a["directory"])
+                if share == self.step or held + r.past - s > share:
+                    out.append([])
+                    held = 0
+                out[-1].append(r)
+                held += r.past - s
+        return [replace(first, then=tuple(more)) for first, *more in out] or [_Range("", 0, 0, 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        p = partition
-        if not p.members:
-            return
-        fs, base = _open(self.folder)
+        if partition.members:
+            fs, base = _open(self.folder)
+            for p in (partition, *partition.then):
+                yield from self._range(fs, base, p)
+
+    def _range(self, fs, base: str, p: _Range) -> Iterator[pa.RecordBatch]:
         path = f"{base}/{p.name}"
         with fs.open_input_file(path) as f:
             entry = lambda k, n=1: f.read_at(n * _ENTRY_SIZE, p.directory + k * _ENTRY_SIZE)
@@ -235,7 +253,7 @@ class _Reader(DataSourceReader):
 
 
 class MediaArchives(DataSource):
-    """Options: path; archiveBytes (writing); splitBytes, retries (reading)."""
+    """Options: path; archiveBytes (writing); splitBytes, partitions (at most about twice that many), retries (reading)."""
 
     @classmethod
     def name(cls) -> str:

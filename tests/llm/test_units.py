@@ -145,6 +145,25 @@ def test_members_are_retried_by_offset(tmp_path):
         reader.member(fs, str(tmp_path / info["name"]), 54, 1, 0)
 
 
+def test_many_archives_make_few_partitions(tmp_path):
+    writer = media._Writer({"path": str(tmp_path), "archivebytes": 2000})
+    ids = list(range(300))
+    rows = pa.record_batch([pa.array(ids, pa.int64()), pa.array([b"%d" % k * 50 for k in ids], pa.binary())], ["doc_id", "media"])
+    writer.commit([writer.write(iter([rows])), None])
+    for most in (1, 4, 50_000):
+        reader = media._Reader({"path": str(tmp_path), "splitbytes": 500, "partitions": most})
+        parts = reader.partitions()
+        assert len(parts) <= 2 * most
+        got = [x for p in parts for b in reader.read(p) for x in b["doc_id"].to_pylist()]
+        assert sorted(got) == ids
+    assert len(parts) > 100
+
+
+def test_paths_of_stores(tmp_path):
+    for path in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        assert media._open(path)[1] == str(tmp_path)
+
+
 def brute_sum(word, vocab, p, k):
     """Sum over all segmentations, by places."""
     out = [1.0] + [0.0] * len(word)
