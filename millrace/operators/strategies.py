@@ -35,6 +35,14 @@ def check_keys(df: DataFrame, keys: list[str], what: str = "source") -> None:
         raise KeyConflict(f"{what} repeats keys of {', '.join(keys)}")
 
 
+def check_absent(target: DataFrame, source: DataFrame, keys: list[str]) -> None:
+    """Error if a key of the source is repeated or already in the target. The target's keys are only
+    looked up, not grouped."""
+    check_keys(source, keys)
+    if target.select(*keys).join(source.select(*keys), keys, "left_semi").limit(1).count():
+        raise KeyConflict(f"target has keys of the source: {', '.join(keys)}")
+
+
 def full(target: DataFrame, source: DataFrame) -> DataFrame:
     return source.select(*target.columns)
 

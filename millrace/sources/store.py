@@ -3,15 +3,22 @@
 A snapshot is a list of parts, directories of Parquet files that are never written again. A load
 writes a new part and then moves the pointer to a snapshot that holds it, so a failed load leaves
 the table as it was and a reader sees a load whole or not at all. An append adds a part; nothing is
-rewritten. All access goes through Spark and Hadoop file systems, so any store they know will do.
+rewritten. What is written with keys is a part for each range of them, and a merge rewrites only the
+parts in which one of its keys occurs. All access goes through Spark and Hadoop file systems, so any
+store they know will do.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Directories of key ranges within what one load wrote.
+SLICE = "__slice"
 
 
 def staging(spark: SparkSession, name: str) -> str:
@@ -81,23 +88,59 @@ class Store:
             for name in self._pointers(table)[:-2]:  # the one before stays for readers that have just listed it
                 fs.delete(self._fs(f"{self.path}/{table}/{name}")[1], False)
 
-    def _part(self, table: str, df: DataFrame) -> str:
+    def _part(self, table: str, df: DataFrame, keys: Sequence[str] = ()) -> list[str]:
+        """Parts with these rows: one, or with keys one for each range of them, as many as Spark makes
+        of a shuffle's partitions for their bytes."""
         name = f"p-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{table}/{name}")
-        return name
+        path = f"{self.path}/{table}/{name}"
+        if keys:
+            df.repartitionByRange(*keys).withColumn(SLICE, F.spark_partition_id()).write.partitionBy(SLICE).parquet(path)
+            fs, p = self._fs(path)
+            slices = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
+            if slices:
+                return [f"{name}/{s}" for s in slices]
+            df = df.limit(0)  # no rows, so no slice that holds the columns
+        df.write.mode("append").parquet(path)
+        return [name]
+
+    def _typed(self, table: str, df: DataFrame) -> DataFrame:
+        """Rows with the columns and types of the table; a value beyond its type is an error."""
+        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.read(table).schema])
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.path}/{table}/{p}" for p in self.parts(table)])
 
-    def write(self, table: str, df: DataFrame) -> None:
-        """A new snapshot of one part becomes the table."""
+    def write(self, table: str, df: DataFrame, keys: Sequence[str] = ()) -> None:
+        """A new snapshot of these rows becomes the table."""
         after = (self._pointers(table) or [None])[-1]
-        self._point(table, [self._part(table, df)], after)
+        self._point(table, self._part(table, df, keys), after)
 
-    def append(self, table: str, df: DataFrame) -> None:
-        """A snapshot with one more part becomes the table; nothing is rewritten."""
+    def append(self, table: str, df: DataFrame, keys: Sequence[str] = ()) -> None:
+        """A snapshot with these rows added becomes the table; nothing is rewritten."""
+        after, parts = self._pointers(table)[-1], self.parts(table)
+        self._point(table, [*parts, *self._part(table, self._typed(table, df), keys)], after)
+
+    def _touched(self, table: str, changes: DataFrame, keys: Sequence[str]) -> set[str]:
+        """Parts in which a key of the changes occurs. Only keys are read, and of those only row groups
+        that reach into the range of the changes' first key."""
+        first = keys[0]
+        low, high = changes.dropna(subset=list(keys)).agg(F.min(first), F.max(first)).first()
+        if low is None:
+            return set()
+        part = F.regexp_extract("_metadata.file_path", f"/(p-[0-9a-f]+(/{SLICE}=[0-9]+)?)/[^/]+$", 1).alias("__part")
+        there = self.read(table).where(F.col(first).between(F.lit(low), F.lit(high))).select(*keys, part)
+        found = there.join(changes.select(*keys), list(keys), "left_semi").select("__part").distinct()
+        return {r[0] for r in found.collect()}  # some of the names that the pointer lists
+
+    def merge(self, table: str, changes: DataFrame, keys: Sequence[str], combine: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """The table becomes ``combine(its rows, changes)``, where rows whose key is not among the changes
+        have to stay. Only parts in which such a key occurs are read whole and written anew."""
         after, parts = self._pointers(table)[-1], self.parts(table)
-        self._point(table, [*parts, self._part(table, df)], after)
+        changes = self._typed(table, changes)
+        touched = self._touched(table, changes, keys)
+        paths = [f"{self.path}/{table}/{p}" for p in parts if p in touched]
+        old = self.spark.read.parquet(*paths) if paths else self.read(table).limit(0)
+        self._point(table, [*(p for p in parts if p not in touched), *self._part(table, combine(old, changes), keys)], after)
 
     def clone_schema(self, table: str, source: Store) -> None:
         """An empty table with the source's columns, unless there is one."""
@@ -114,9 +157,15 @@ class Store:
     def vacuum(self, table: str) -> None:
         """Remove parts and pointers of snapshots that are no longer current, and what failed loads left."""
         keep = {*self.parts(table), self._pointers(table)[-1]}
+        sliced = {k.partition("/")[0] for k in keep if "/" in k}
         fs, p = self._fs(f"{self.path}/{table}")
         for s in fs.listStatus(p):
-            if s.getPath().getName() not in keep:
+            name = s.getPath().getName()
+            if name in sliced:
+                for x in fs.listStatus(s.getPath()):
+                    if f"{name}/{x.getPath().getName()}" not in keep:
+                        fs.delete(x.getPath(), True)
+            elif name not in keep:
                 fs.delete(s.getPath(), True)
 
     def count(self, table: str) -> int:
@@ -128,8 +177,6 @@ class Store:
 
     def analyze(self, table: str) -> DataFrame:
         """(column_name, nulls, distinct_values, min, max) of the table, estimated for distinct values, from one pass."""
-        from pyspark.sql import functions as F
-
         df = self.read(table)
         one = lambda c: F.struct(
             F.lit(c).alias("column_name"), F.count_if(F.col(c).isNull()).alias("nulls"), F.approx_count_distinct(c).alias("distinct_values"),

@@ -29,9 +29,12 @@ def merged(target: DataFrame, changes: DataFrame, keys: list[str], version: str)
 
 
 def start(changes: DataFrame, store: Store, table: str, keys: list[str], version: str, checkpoint: str):
-    """Each batch's newest rows are merged into the table; a repeated batch of whole keys changes nothing."""
+    """Each batch's newest rows are merged into the table, of which only parts with one of its keys are
+    rewritten; a repeated batch of whole keys changes nothing."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        store.write(table, merged(store.read(table) if store.exists(table) else batch.limit(0), batch, keys, version))
+        if not store.exists(table):
+            store.write(table, batch.limit(0))
+        store.merge(table, batch, keys, lambda old, new: merged(old, new, keys, version))
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

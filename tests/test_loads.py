@@ -54,6 +54,10 @@ def test_repeated_keys_are_an_error(spark):
     with pytest.raises(strategies.KeyConflict):
         strategies.apply("append", table(spark, OLD), table(spark, [(1, "z")]), ["id"])
     strategies.check_keys(table(spark, [(None, "a"), (None, "b")]), ["id"])  # nulls never match
+    strategies.check_absent(table(spark, OLD), table(spark, [(3, "c"), (None, "m"), (None, "n")]), ["id"])
+    for rows in ([(1, "z")], [(3, "a"), (3, "b")]):
+        with pytest.raises(strategies.KeyConflict):
+            strategies.check_absent(table(spark, OLD), table(spark, rows), ["id"])
 
 
 def test_incremental_is_strict_and_drops_null_marks(spark):
@@ -173,6 +177,42 @@ def test_a_torn_load_leaves_the_table_as_it_was(spark, stores):
     assert a.tables() == ["orders"]
 
 
+def test_a_merge_rewrites_only_parts_with_its_keys(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else rows this few share a part
+    try:
+        store, up = Store(spark, str(tmp_path / "s")), lambda old, new: strategies.upsert(old, new, ["id"])
+        store.write("t", table(spark, [(n, str(n)) for n in range(200)] + [(None, "n")]), ["id"])
+        before = store.parts("t")
+        assert len(before) > 3
+        old, changes = store.read("t"), table(spark, [("new", 7), ("more", 500), ("null", None)], "v string, id long")
+        want = got(strategies.upsert(old, changes.select(changes.id.cast("int").alias("id"), "v"), ["id"]))
+        store.merge("t", changes, ["id"], up)
+        assert got(store.read("t")) == want and dict(store.read("t").dtypes) == {"id": "int", "v": "string"}
+        assert len(set(before) - set(store.parts("t"))) == 1  # the part that held 7
+        assert old.count() == 201  # a reader that began before the load
+        store.vacuum("t")
+        assert got(store.read("t")) == want
+        now = store.parts("t")
+        for rows in ([], [(None, "x")], [(900, "absent")]):
+            store.merge("t", table(spark, rows), ["id"], up)
+            assert set(now) <= set(store.parts("t"))  # nothing is rewritten
+        assert store.count("t") == len(want) + 2
+        store.append("t", spark.createDataFrame([(901, "y")], "id long, v string"), ["id"])
+        store.merge("t", table(spark, [(901, "Y")]), ["id"], up)
+        assert (901, "Y") in got(store.read("t")) and (901, "y") not in got(store.read("t"))
+        with pytest.raises(Exception):  # beyond the column's type
+            store.append("t", spark.createDataFrame([(1 << 40, "z")], "id long, v string"))
+        store.write("two", spark.createDataFrame([(a, b, 0) for a in range(20) for b in "xy"], "a int, b string, c int"), ["b", "a"])
+        whole = lambda old, new: strategies.upsert(old, new, ["b", "a"])
+        store.merge("two", spark.createDataFrame([("x", 3, 1), ("z", 3, 1), (None, 3, 1)], "b string, a int, c int"), ["b", "a"], whole)
+        assert store.count("two") == 42 and store.read("two").where("c = 1").count() == 3
+        store.write("none", table(spark, []), ["id"])
+        store.merge("none", table(spark, [(1, "a")]), ["id"], up)
+        assert got(store.read("none")) == [(1, "a")]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_clean_backup_and_stop(spark, stores, tmp_path):
     load(spark, stores, "full")
     assert load(spark, stores, "append", clean=True).ok and stores[1].count("users") == 3
