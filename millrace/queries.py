@@ -132,7 +132,9 @@ def _with_gaps(spark, sf_dir):
 
 # Counts and validation
 
-_COUNTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+_COUNTED = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 
 
 def _counts(spark, sf_dir, keep=lambda name, df: df):
@@ -239,7 +241,14 @@ def delete_conflicting(spark, sf_dir):
     return strategies.delete_conflicting(orders, orders.where("o_orderstatus = 'P'"), ["o_orderkey"])
 
 
-@query("SELECT * FROM (VALUES ('o_orderkey', 1, 'bigint'), ('o_custkey', 2, 'bigint'), ('o_orderstatus', 3, 'string'), ('o_totalprice', 4, 'double'), ('o_orderdate', 5, 'timestamp_ntz'), ('o_orderpriority', 6, 'string')) v(column_name, ordinal_position, data_type)")
+_TYPE_SQL = "CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END"
+
+
+def _described(name: str) -> str:
+    return f"SELECT column_name, CAST(row_number() OVER () AS INTEGER) AS ordinal_position, {_TYPE_SQL} AS data_type FROM (DESCRIBE {name})"
+
+
+@query(_described("orders"))
 def empty_clone(spark, sf_dir):
     clone = t(spark, sf_dir, "orders").limit(0)
     return spark.createDataFrame([(c, n, k) for n, (c, k) in enumerate(clone.dtypes, 1)], "column_name string, ordinal_position int, data_type string")
@@ -301,7 +310,14 @@ def constraint_list(spark, sf_dir):
     return introspection.constraint_list(catalog.meta_constraints(spark, _KEYS))
 
 
-@query("SELECT * FROM (VALUES ('c_custkey', 1, 'bigint'), ('c_name', 2, 'string'), ('c_nationkey', 3, 'int'), ('c_acctbal', 4, 'double'), ('c_mktsegment', 5, 'string')) v(column_name, ordinal_position, data_type)")
+@query("SELECT table_name, string_agg(column_name, ', ' ORDER BY ordinal_position) AS columns FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS table_name, * FROM ({_described(n)})" for n in _COUNTED) + ") GROUP BY 1")
+def table_columns_of_data(spark, sf_dir):
+    """The same look-up over the catalog of the tables themselves."""
+    found = [("public", name, c, n, k) for name in _COUNTED for n, (c, k) in enumerate(t(spark, sf_dir, name).dtypes, 1)]
+    return introspection.table_columns(spark.createDataFrame(found, catalog.COLUMNS_SCHEMA))
+
+
+@query(_described("customer"))
 def clone_schema(spark, sf_dir):
     fields = t(spark, sf_dir, "customer").schema.fields
     return spark.createDataFrame([(f.name, n, f.dataType.simpleString()) for n, f in enumerate(fields, 1)], "column_name string, ordinal_position int, data_type string")
@@ -389,20 +405,24 @@ _KEYED = "(SELECT o_orderkey AS id FROM orders)"
 @query(f"SELECT id, length(repeat({_md5('x')} || {_md5('y')}, 32)) AS n_chars, md5(repeat({_md5('x')} || {_md5('y')}, 32)) AS large_md5, md5({_JSON}) AS json_md5, lower(hex(unhex({_md5('b')} || {_md5('c')}))) AS binary_hex FROM {_KEYED}")
 def generate_rows_by_key(spark, sf_dir):
     """A generated row for each order, so the job grows with the data."""
-    g = datagen.generate_for(t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")))
+    g = datagen.generate_for(_ids(spark, sf_dir))
     large = F.md5(F.col("large_data").cast("binary")).alias("large_md5")
     return g.select("id", F.length("large_data").cast("long").alias("n_chars"), large, F.md5(F.col("json_data").cast("binary")).alias("json_md5"), F.lower(F.hex("binary_data")).alias("binary_hex"))
 
 
-@query(f"SELECT id, {_JSON} AS json_data FROM {_IDS}")
+def _ids(spark, sf_dir):
+    return t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+
+
+@query(f"SELECT id, {_JSON} AS json_data FROM {_KEYED}")
 def json_build(spark, sf_dir):
-    return spark.range(1, _GENERATED + 1).select("id", datagen.json_column().alias("json_data"))
+    return _ids(spark, sf_dir).select("id", datagen.json_column().alias("json_data"))
 
 
-@query(f"SELECT id, to_json({_ARRAY})::VARCHAR AS array_data FROM {_IDS}")
+@query(f"SELECT id, to_json({_ARRAY})::VARCHAR AS array_data FROM {_KEYED}")
 def json_array_build(spark, sf_dir):
     array = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.md5(F.concat(F.col("id").cast("string"), F.lit("a"), i.cast("string")).cast("binary")))
-    return spark.range(1, _GENERATED + 1).select("id", F.to_json(array).alias("array_data"))
+    return _ids(spark, sf_dir).select("id", F.to_json(array).alias("array_data"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity / 2 AS INTEGER) AS half FROM lineitem")
@@ -414,9 +434,10 @@ _SCALED = "CAST(floor((n + {half}) / {unit}::DOUBLE) AS BIGINT)::VARCHAR"
 _PRETTY = "CASE WHEN abs(n) < 10240 THEN n::VARCHAR || ' bytes' " + " ".join(f"WHEN abs(n) < {20479 << (10 * k - 1)} THEN {_SCALED.format(half=1 << (10 * k - 1), unit=1 << (10 * k))} || ' {u}'" for k, u in ((1, "kB"), (2, "MB"), (3, "GB"))) + f" ELSE {_SCALED.format(half=1 << 39, unit=1 << 40)} || ' TB' END"
 
 
-@query(f"SELECT id, {_PRETTY} AS size FROM (SELECT id, id * id * id * 1021 AS n FROM {_IDS})")
+@query(f"SELECT id, {_PRETTY} AS size FROM (SELECT id, (id % 100000) * (id % 100000) * (id % 100000) * 1021 AS n FROM {_KEYED})")
 def size_pretty(spark, sf_dir):
-    return spark.range(1, _GENERATED + 1).select("id", scalars.size_pretty(F.col("id") * F.col("id") * F.col("id") * 1021).alias("size"))
+    part = F.col("id") % 100_000  # of any key; sizes from bytes to many TB
+    return _ids(spark, sf_dir).select("id", scalars.size_pretty(part * part * part * 1021).alias("size"))
 
 
 @query("SELECT c_custkey, regexp_replace('postgresql://' || c_mktsegment || ':' || c_name || '@host:5432/db', ':[^:]*@', ':***@') AS dsn FROM customer")
@@ -425,9 +446,9 @@ def mask_dsn(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey", scalars.mask_dsn(dsn).alias("dsn"))
 
 
-@query(f"SELECT id, CASE WHEN s >= 3600 THEN (s // 3600)::VARCHAR || 'h ' || (s % 3600 // 60)::VARCHAR || 'm ' || (s % 60)::VARCHAR || 's' WHEN s >= 60 THEN (s // 60)::VARCHAR || 'm ' || (s % 60)::VARCHAR || 's' ELSE s::VARCHAR || 's' END AS duration FROM (SELECT id, id * 7 AS s FROM {_IDS})")
+@query(f"SELECT id, CASE WHEN s >= 3600 THEN (s // 3600)::VARCHAR || 'h ' || (s % 3600 // 60)::VARCHAR || 'm ' || (s % 60)::VARCHAR || 's' WHEN s >= 60 THEN (s // 60)::VARCHAR || 'm ' || (s % 60)::VARCHAR || 's' ELSE s::VARCHAR || 's' END AS duration FROM (SELECT id, id * 7 AS s FROM {_KEYED})")
 def format_duration(spark, sf_dir):
-    return spark.range(1, _GENERATED + 1).select("id", scalars.format_duration(F.col("id") * 7).alias("duration"))
+    return _ids(spark, sf_dir).select("id", scalars.format_duration(F.col("id") * 7).alias("duration"))
 
 
 @query("SELECT * FROM (SELECT n_name AS line FROM nation ORDER BY n_nationkey LIMIT 10) UNION ALL SELECT '... and ' || (COUNT(*) - 10)::VARCHAR || ' more' FROM nation")
