@@ -3,8 +3,9 @@
 A text is normalised (case, copyright lines, punctuation, white space and line breaks, equivalent
 spellings) and the SHA-256 of the whole is looked up among the digests of known licence texts by a
 hash join. The same is done, as a second scope, for each of its lines and the digests of one-line
-notices. The catalogue is a table of fixed size and is broadcast; documents are neither shuffled nor
-sorted.
+notices. Known digests are counted and broadcast if there are at most ``BROADCAST_ROWS``, as in the
+catalogue; then documents are neither shuffled nor sorted. More of them meet the documents' digests in
+a shuffled join.
 """
 
 from __future__ import annotations
@@ -101,6 +102,9 @@ COPYRIGHT_LINE = (
 BREAKS = "\r\x0b\x0c\x85\u2028\u2029"  # where regular expressions differ on what a line is
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t‘’“”–—"
 
+#: Known digests, of some hundred bytes each, up to which they are broadcast.
+BROADCAST_ROWS = 50_000
+
 
 def _spelled(t: Column) -> Column:
     for old, new in EQUIVALENT:
@@ -139,8 +143,8 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     are that notice or one-line text. A document without a match, or with null, empty or blank text,
     has no row. Repeated rows of a document are scanned each and their counts added up; null ids are
     one document. Texts of any length are read whole, other columns are ignored, and an empty table
-    gives an empty result. ``known`` (digest, license_id) holds a row for each known text, and is
-    broadcast if the optimiser finds it small, as the catalogue is.
+    gives an empty result. ``known`` (digest, license_id) is counted up to BROADCAST_ROWS to
+    choose the join; of a digest that it repeats the least license_id is taken.
     """
     text = canonical(F.col("text").cast("string"))
     d = docs.where("text is not null").select(F.col("doc_id").cast("long"), text.alias("t"))
@@ -148,7 +152,10 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     lines = F.filter(F.split("t", "\n"), lambda x: F.trim(x) != "")
     units = F.array_append(F.transform(lines, lambda x: unit("line", F.trim(x))), unit("document", whole(F.col("t"))))
     each = d.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.scope", "u.digest")
-    hits = each.join(known.groupBy("digest").agg(F.min("license_id").alias("license_id")), "digest")
+    known = known.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    hits = each.join(known, "digest")
     return hits.groupBy("doc_id", "license_id", "scope").agg(F.count("*").alias("n"))
 
 

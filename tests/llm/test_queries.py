@@ -183,7 +183,7 @@ def test_media(spark, docs, none, tmp_path):
     assert media.read(spark, path + "0").count() == 0
 
 
-def test_licenses(spark, docs, none):
+def test_licenses(spark, docs, none, monkeypatch):
     mit = licenses._MIT
     extra = [(100, "MIT Licence\nCopyright (c) 2020 Somebody\n\n" + mit.upper().replace('"', "“")), (101, "x y z.\n  Released under the MIT license!\nReleased under the MIT License"), (102, mit + " changed")]
     d = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", 0, "x", 1, 2, 3) for i, t in extra], SCHEMA))
@@ -193,7 +193,11 @@ def test_licenses(spark, docs, none):
     documents = d.select("doc_id", "text").toPandas()  # noqa: F841
     assert sorted(c.sql(licenses.ORACLE_SQL).fetchall()) == got
     assert licenses.scan(none, licenses.catalogue(spark)).count() == 0
-    assert not re.search("Python|Arrow", licenses.scan(d, licenses.catalogue(spark))._jdf.queryExecution().toString())
+    plan = lambda: licenses.scan(d, licenses.catalogue(spark))._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow", plan()) and "BroadcastHashJoin" in plan()
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", 3)  # more known digests than are broadcast
+    assert "rightHint=(strategy=broadcast)" not in plan()
+    assert sorted(tuple(r) for r in licenses.scan(d.unionByName(d), licenses.catalogue(spark)).collect()) == [(i, x, y, 2 * n) for i, x, y, n in got]
 
 
 PUBLISHED = pathlib.Path("/usr/share/common-licenses")
