@@ -327,12 +327,14 @@ def test_queries_of_the_operators(spark):
         "op3_simhash": "doc_id fingerprint component_id", "op4_tokens": "doc_id start n_tokens ids_crc32", "op5_quality": "doc_id held_out score predicted",
         "op6_sentencepiece": "doc_id n_tokens ids_sha256 decoded_sha256", "op7_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
         "op8_embeddings": "vec_id n_links component_id kept", "op9_suffixes": "doc_id n_bytes n_removed n_spans kept_sha256", "op10_langid": "doc_id held_out lang_pred score",
+        "op11_warc": "page_id payload_bytes payload_digest record_type refers_to", "op12_whitening": "vec_id component n deviation whitened explained identity_error",
+        "op13_divergence": "lang source part item value rank",
     }
     assert set(columns) == set(queries.QUERIES)
     got = {name: f(spark, SF).collect() for name, f in queries.QUERIES.items()}
     for name, rows in got.items():
         assert rows[0].__fields__[: len(columns[name].split())] == columns[name].split(), name
-        if name not in ("op2_licenses", "op7_packing", "op8_embeddings"):
+        if name not in ("op2_licenses", "op7_packing", "op8_embeddings", "op11_warc", "op12_whitening", "op13_divergence"):
             assert sorted(r.doc_id for r in rows) == sorted(docs), name
     for r in got["op5_quality"]:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1
