@@ -1,6 +1,6 @@
 """Load strategies as functions of target and source: what the target is after the load.
 
-Columns bind by name. A key that a load would leave doubled is an error, as in a database that
+Columns bind by name, and a source with other columns than the target's is an error. A key that a load would leave doubled is an error, as in a database that
 enforces it; checks are one combined aggregate over the keys alone.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.structure import same_columns
+
 
 class KeyConflict(ValueError):
     """A load would repeat a key."""
@@ -44,11 +46,13 @@ def check_absent(target: DataFrame, source: DataFrame, keys: list[str]) -> None:
 
 
 def full(target: DataFrame, source: DataFrame) -> DataFrame:
+    same_columns(target, source)
     return source.select(*target.columns)
 
 
 def append(target: DataFrame, source: DataFrame, keys: list[str] | None = None, check: bool = False) -> DataFrame:
     """Both as a bag."""
+    same_columns(target, source)
     out = target.unionByName(source)
     if check and keys:
         check_keys(out, keys, "target with source")
@@ -70,6 +74,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str] | None, check:
     """
     if not keys:
         return append(target, source)
+    same_columns(target, source)
     if check:
         check_keys(source, keys)
     if set(keys) == set(target.columns):

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import scalars
+from millrace.functions import scalars, variants
 from millrace.operators import constraints, introspection, retail, strategies
-from millrace.plans import graph, runner
-from millrace.sources import catalog, datagen, delimited
-from millrace.sources.store import staging
+from millrace.plans import backup, graph, loads, runner
+from millrace.sources import catalog_source, datagen, delimited, structure
+from millrace.sources.databases import Database
+from millrace.sources.store import Store, staging
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,6 +125,18 @@ def csv_round_trip(spark, sf_dir):
     return delimited.load(spark, path, df.schema)
 
 
+@query("""
+SELECT CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE replace(o_orderpriority, '-', '"' || chr(10)) END AS v FROM orders
+""")
+def csv_one_column(spark, sf_dir):
+    """A table of one column, whose nulls are empty lines, with line breaks and quotes in its texts."""
+    path, key = staging(spark, "csv"), F.col("o_orderkey") % 5
+    text = F.replace("o_orderpriority", F.lit("-"), F.lit('"\n'))
+    df = t(spark, sf_dir, "orders").select(F.when(key == 1, F.lit("")).when(key != 0, text).alias("v"))
+    delimited.export(df, path)
+    return delimited.load(spark, path, df.schema)
+
+
 def _with_gaps(spark, sf_dir):
     """Orders with nulls, empty strings and quotes."""
     priority = F.when(F.col("o_orderkey") % 3 == 0, F.lit("")).otherwise(F.replace("o_orderpriority", F.lit("-"), F.lit('"')))
@@ -241,101 +254,303 @@ def delete_conflicting(spark, sf_dir):
     return strategies.delete_conflicting(orders, orders.where("o_orderstatus = 'P'"), ["o_orderkey"])
 
 
-_TYPE_SQL = "CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END"
+ORDERS = {
+    "o_orderkey": {"key": 1}, "o_orderstatus": {"not_null": True, "default": "'O'", "length": 1}, "o_orderpriority": {"length": 15, "comment": "1 is most urgent"},
+    "o_orderdate": {"default": "current_timestamp()"},
+}
+
+
+def _store(spark, name: str) -> Store:
+    return Store(spark, staging(spark, name))
+
+
+def _orders(spark, sf_dir) -> DataFrame:
+    return structure.declare(t(spark, sf_dir, "orders"), ORDERS)
+
+
+_CHANGED_SQL = """
+SELECT o_orderkey + CASE WHEN o_orderkey % 10 = 0 THEN 1000000000 ELSE 0 END AS o_orderkey, o_custkey, 'X' AS o_orderstatus, o_totalprice, o_orderdate,
+    o_orderpriority
+FROM orders WHERE o_orderkey % 5 = 0
+"""
+
+
+def _changes(spark, sf_dir) -> DataFrame:
+    """A fifth of the orders: half of these with a new status, half under keys that are not there yet."""
+    key = F.col("o_orderkey") + F.when(F.col("o_orderkey") % 10 == 0, 1_000_000_000).otherwise(0)
+    df = t(spark, sf_dir, "orders").where("o_orderkey % 5 = 0")
+    return df.withColumns({"o_orderkey": key.cast("long"), "o_orderstatus": F.lit("X")})
+
+
+@query(f"SELECT * FROM ({_CHANGED_SQL}) UNION ALL SELECT * FROM orders WHERE o_orderkey % 10 <> 5")
+def store_upsert(spark, sf_dir):
+    """An upsert written to a store: staged, checked, parts with its keys rewritten."""
+    store = _store(spark, "upsert")
+    store.write("orders", _orders(spark, sf_dir), ["o_orderkey"])
+    loads.load(store, "orders", _changes(spark, sf_dir), "upsert", ["o_orderkey"])
+    return store.read("orders")
+
+
+@query("""
+WITH c AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE o_orderkey % 10 = 0) AS fresh, COUNT(*) FILTER (WHERE o_orderkey % 10 = 5) AS met,
+    COUNT(*) FILTER (WHERE o_orderkey % 5 = 0) AS taken FROM orders)
+SELECT 'full' AS mode, n AS taken, n AS inserted, CAST(0 AS BIGINT) AS updated, n AS total, true AS same FROM c
+UNION ALL SELECT 'upsert', taken, fresh, met, n + fresh, true FROM c
+""")
+def run_counts(spark, sf_dir):
+    """What two runs report of the rows that they took, inserted and updated, counted while they wrote."""
+    source, target, rows = _store(spark, "source"), staging(spark, "target"), []
+    source.write("orders", _orders(spark, sf_dir))
+    for mode in ("full", "upsert"):
+        report = runner.run(spark, runner.Config(source.path, target, mode))
+        got = report.tables["orders"]
+        rows.append((mode, got["rows"], got["inserted"], got["updated"], Store(spark, target).count("orders"), report.values["orders"]))
+        source.write("orders", structure.declare(_changes(spark, sf_dir), ORDERS))
+    return spark.createDataFrame(rows, "mode string, taken long, inserted long, updated long, total long, same boolean")
+
+
+@query(f"""
+WITH c AS ({_CHANGED_SQL}), o AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM c
+    UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 <> 5)
+SELECT * FROM o WHERE o_orderstatus <> 'F' AND o_orderkey > 100
+""")
+def jdbc_orders(spark, sf_dir):
+    """Orders in a database, an upsert run from a store into it, and a filtered read in ranges of the key."""
+    db = _database(spark)
+    db.create("orders", _orders(spark, sf_dir).schema)
+    db.load("orders", t(spark, sf_dir, "orders"), "append")
+    source = _store(spark, "changes")
+    source.write("orders", structure.declare(_changes(spark, sf_dir), ORDERS))
+    runner.run(spark, runner.Config(source.path, db.url, "upsert", strict=True))
+    return db.read("orders").where("o_orderstatus <> 'F' AND o_orderkey > 100").select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+def _database(spark) -> Database:
+    """A database in memory, emptied. It lives in the driver's JVM, so only a local session can share it."""
+    db = Database(spark, "jdbc:derby:memory:millrace;create=true")
+    for name in db.tables():
+        db.drop(name)
+    return db
+
+
+@query("SELECT * FROM orders WHERE o_orderkey % 2 = 0")
+def backup_restore(spark, sf_dir):
+    """A table loaded, backed up, loaded again, backed up by what is new, and restored to the first snapshot."""
+    store, copy = _store(spark, "live"), _store(spark, "backup")
+    store.write("orders", _even(spark, sf_dir))
+    backup.backup(store, copy)
+    store.append("orders", _odd(spark, sf_dir))
+    backup.backup(store, copy)
+    backup.restore(copy, store, "orders", 0)
+    return store.read("orders")
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'O' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def load_with_defaults(spark, sf_dir):
+    """Orders of which half come without a status and take the default of a cloned table."""
+    source, target = _store(spark, "source"), _store(spark, "target")
+    source.write("orders", _orders(spark, sf_dir).limit(0))
+    target.clone_schema("orders", source)
+    target.append("orders", _even(spark, sf_dir).drop("o_orderstatus", "o_orderdate"))
+    target.append("orders", _odd(spark, sf_dir))
+    return target.read("orders").drop("o_orderdate")
+
+
+@query("""
+WITH c AS (SELECT COUNT(*) FILTER (WHERE o_orderkey % 2 = 0) AS even, COUNT(*) FILTER (WHERE o_orderkey % 2 = 1) AS odd FROM orders)
+SELECT CAST(0 AS BIGINT) AS load, even AS ids, CAST(1 AS BIGINT) AS low, even AS high FROM c WHERE even > 0
+UNION ALL SELECT 1, odd, even + 1, even + odd FROM c WHERE odd > 0
+""")
+def sequence_ids(spark, sf_dir):
+    """Two loads whose rows are numbered by the target's sequence: how many ids, from which to which."""
+    store, rows = _store(spark, "sequence"), t(spark, sf_dir, "orders")
+    shape = structure.declare(rows.withColumn("id", F.lit(0).cast("long")), {"id": {"key": 1, "sequence": "orders_id_seq"}})
+    store.create("orders", shape.schema)
+    for part in (_even(spark, sf_dir), _odd(spark, sf_dir)):
+        loads.load(store, "orders", part, "append", ["id"])
+    load = (F.col("o_orderkey") % 2).alias("load")
+    return store.read("orders").groupBy(load).agg(F.countDistinct("id").alias("ids"), F.min("id").alias("low"), F.max("id").alias("high"))
+
+
+_VARIANT_IN = """'{"type": "' || event_type || '",  "k": 0, "props": ' || props || ', "k": ' || event_id || ', "ids": [1, ' || user_id || ']}'"""
+_VARIANT_OUT = """'{"k": ' || event_id || ', "ids": [1,' || user_id || '], "type": "' || event_type || '", "props": ' || replace(props, ' ', '') || '}'"""
+
+
+@query(f"SELECT event_id, event_id AS k, user_id AS second, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS inner_k, {_VARIANT_OUT} AS document FROM events")
+def json_variant(spark, sf_dir):
+    """JSON with a repeated key and loose blanks as VARIANT, stored, read back, looked into and printed."""
+    store = _store(spark, "variant")
+    events = t(spark, sf_dir, "events").select("event_id", F.expr(_VARIANT_IN).alias("document"))
+    store.write("events", variants.parsed(events, "document"))
+    found = {"k": ("$.k", "long"), "second": ("$.ids[1]", "long"), "inner_k": ("$.props.k", "long")}
+    got = {n: variants.get("document", *where) for n, where in found.items()}
+    return store.read("events").select("event_id", *[c.alias(n) for n, c in got.items()], variants.jsonb_text("document").alias("document"))
+
+
+# Catalog: names and types from the tables' own footers, keys found in the data
+
+_TYPE_SQL = """
+CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>'
+    ELSE lower(column_type) END
+"""
 
 
 def _described(name: str) -> str:
     return f"SELECT column_name, CAST(row_number() OVER () AS INTEGER) AS ordinal_position, {_TYPE_SQL} AS data_type FROM (DESCRIBE {name})"
 
 
-@query(_described("orders"))
-def empty_clone(spark, sf_dir):
-    clone = t(spark, sf_dir, "orders").limit(0)
-    return spark.createDataFrame([(c, n, k) for n, (c, k) in enumerate(clone.dtypes, 1)], "column_name string, ordinal_position int, data_type string")
+_COLUMNS_SQL = "(" + " UNION ALL ".join(f"SELECT '{n}' AS table_name, * FROM ({_described(n)})" for n in _COUNTED) + ")"
+# First and second column of each table, and columns named as another table's first, for the SQL.
+_FIRST = {
+    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name"), "customer": ("c_custkey", "c_name"), "supplier": ("s_suppkey", "s_name"),
+    "part": ("p_partkey", "p_name"), "orders": ("o_orderkey", "o_custkey"), "lineitem": ("l_orderkey", "l_partkey"), "events": ("event_id", "ts"),
+    "documents": ("doc_id", "text"), "embeddings": ("vec_id", "embedding"), "pages": ("page_id", "url"), "benchmark": ("item_id", "text"),
+    "labels": ("doc_id", "quality"), "conversations": ("conv_id", "turn"),
+}
+_NAMED = [
+    ("nation", "n_regionkey", "region"), ("customer", "c_nationkey", "nation"), ("supplier", "s_nationkey", "nation"), ("orders", "o_custkey", "customer"),
+    ("lineitem", "l_orderkey", "orders"), ("lineitem", "l_partkey", "part"), ("lineitem", "l_suppkey", "supplier"), ("labels", "doc_id", "documents"),
+    ("documents", "doc_id", "labels"),
+]
+
 
+def _key_sql(table: str) -> str:
+    a, b = _FIRST[table]
+    two = f"COUNT(*) = COUNT(DISTINCT ({a}, {b})) AND COUNT(*) = COUNT({a}) AND COUNT(*) = COUNT({b})"
+    return f"SELECT '{table}' AS table_name, CASE WHEN COUNT(*) = COUNT(DISTINCT {a}) THEN ['{a}'] WHEN {two} THEN ['{a}', '{b}'] END AS columns FROM {table}"
 
-# Catalog
 
+def _parent_sql(child: str, column: str, parent: str) -> str:
+    key = _FIRST[parent][0]
+    orphans = f"SELECT 1 FROM {child} c WHERE {column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{key} = c.{column})"
+    return f"SELECT '{child}' AS table_name, '{column}' AS column_name, '{parent}' AS ref_table, '{key}' AS ref_column WHERE NOT EXISTS ({orphans})"
 
-def _values(rows: list[tuple], names: str) -> str:
-    def one(v) -> str:
-        if v is None:
-            return "NULL"
-        if isinstance(v, list):
-            return f"[{', '.join(map(one, v))}]"
-        return str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
 
-    return f"(VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) v({names})"
+_KEYS_CTE = f"""
+k AS (SELECT * FROM ({" UNION ALL ".join(map(_key_sql, _FIRST))}) WHERE columns IS NOT NULL),
+f AS (SELECT f.* FROM ({" UNION ALL ".join(_parent_sql(*x) for x in _NAMED)}) f JOIN k ON k.table_name = f.ref_table AND k.columns = [f.ref_column])
+"""
 
 
-_ALL = {**catalog.RETAIL, **{k: v for k, v in catalog.SHOP.items() if k not in catalog.RETAIL}}
-_KEYS = catalog.RETAIL_CONSTRAINTS + [r for r in catalog.SHOP_CONSTRAINTS if r[0] not in catalog.RETAIL]
-_TABLES_SQL = _values([("public", n, "BASE TABLE") for n in _ALL], "table_schema, table_name, table_type")
-_COLUMNS_SQL = _values(catalog.column_rows(_ALL), "table_schema, table_name, column_name, ordinal_position, data_type")
-_KEYS_SQL = _values(_KEYS, "table_name, conname, contype, columns, ref_table, on_delete")
+def _columns(spark, sf_dir):
+    return catalog_source.read(spark, sf_dir, "columns", *_COUNTED)
 
 
-@query(f"SELECT table_name FROM {_TABLES_SQL} WHERE table_schema = 'public' AND table_type = 'BASE TABLE' ORDER BY 1")
+def _declared(spark, sf_dir, kind: str) -> DataFrame:
+    """A catalog table of a store with empty clones of the tables, whose keys are those that hold in the data."""
+    store, tables = _store(spark, "catalog"), {n: t(spark, sf_dir, n) for n in _COUNTED}
+    for name, entries in introspection.discover(tables).items():
+        store.create(name, structure.declare(tables[name], entries).schema)
+    return catalog_source.read(spark, store.path, kind)
+
+
+@query(f"SELECT DISTINCT table_name FROM {_COLUMNS_SQL} ORDER BY 1")
 def list_tables(spark, sf_dir):
-    return introspection.list_tables(catalog.meta_tables(spark, _ALL))
+    return introspection.list_tables(catalog_source.read(spark, sf_dir, "tables", *_COUNTED))
+
 
+_LISTED = f"SELECT table_name, string_agg(column_name, ', ' ORDER BY ordinal_position) AS columns FROM {_COLUMNS_SQL} GROUP BY 1"
 
-@query(f"SELECT table_name, string_agg(column_name, ', ' ORDER BY ordinal_position) AS columns FROM {_COLUMNS_SQL} GROUP BY 1")
+
+@query(_LISTED)
 def table_columns(spark, sf_dir):
-    return introspection.table_columns(catalog.meta_columns(spark, _ALL))
+    return introspection.table_columns(_columns(spark, sf_dir))
+
 
+@query(_LISTED)
+def table_columns_of_data(spark, sf_dir):
+    """The same look-up over a store that the tables' structure has been cloned into."""
+    store = _store(spark, "clones")
+    for name in _COUNTED:
+        store.create(name, t(spark, sf_dir, name).schema)
+    return introspection.table_columns(catalog_source.read(spark, store.path, "columns"))
 
-@query(f"SELECT table_name, array_to_string(columns, ', ') AS key_columns FROM {_KEYS_SQL} WHERE contype = 'p'")
+
+@query(f"WITH {_KEYS_CTE} SELECT table_name, array_to_string(columns, ', ') AS key_columns FROM k")
 def primary_key_columns(spark, sf_dir):
-    return introspection.primary_key_columns(catalog.meta_constraints(spark, _KEYS))
+    return introspection.primary_key_columns(_columns(spark, sf_dir), _declared(spark, sf_dir, "constraints"))
 
 
-@query(f"WITH k AS (SELECT table_name, unnest(columns) AS column_name FROM {_KEYS_SQL} WHERE contype = 'p') SELECT table_name, string_agg(column_name || ' = EXCLUDED.' || column_name, ', ' ORDER BY ordinal_position) AS assignments FROM {_COLUMNS_SQL} ANTI JOIN k USING (table_name, column_name) GROUP BY 1")
+@query(f"""
+WITH {_KEYS_CTE}, u AS (SELECT table_name, unnest(columns) AS column_name FROM k)
+SELECT table_name, string_agg(column_name || ' = EXCLUDED.' || column_name, ', ' ORDER BY ordinal_position) AS assignments
+FROM {_COLUMNS_SQL} ANTI JOIN u USING (table_name, column_name) GROUP BY 1
+""")
 def update_columns(spark, sf_dir):
-    return introspection.update_columns(catalog.meta_columns(spark, _ALL), catalog.meta_constraints(spark, _KEYS))
+    return introspection.update_columns(_columns(spark, sf_dir), _declared(spark, sf_dir, "constraints"))
 
 
-@query(f"SELECT DISTINCT ref_table FROM {_KEYS_SQL} WHERE contype = 'f' AND ref_table <> table_name")
+@query(f"WITH {_KEYS_CTE} SELECT DISTINCT ref_table FROM f")
 def referenced_tables(spark, sf_dir):
-    return introspection.referenced_tables(catalog.meta_constraints(spark, _KEYS))
+    return introspection.referenced_tables(_declared(spark, sf_dir, "constraints"))
+
+
+_CHANGES = ("ts", "o_orderdate", "l_shipdate")
 
 
-@query(f"SELECT table_name, arg_min(column_name, CASE column_name WHEN 'updated_at' THEN 1 WHEN 'modified_at' THEN 2 WHEN 'last_updated' THEN 3 ELSE 4 END) AS column_name FROM {_COLUMNS_SQL} WHERE column_name IN ('updated_at', 'modified_at', 'last_updated', 'created_at') AND data_type IN ('timestamp_ntz', 'timestamp', 'date') GROUP BY 1")
+@query(f"""
+SELECT table_name, arg_min(column_name, list_position({list(_CHANGES)}, column_name)) AS column_name FROM {_COLUMNS_SQL}
+WHERE column_name IN {_CHANGES} AND data_type IN ('timestamp_ntz', 'timestamp', 'date') GROUP BY 1
+""")
 def detect_timestamp_column(spark, sf_dir):
-    return introspection.detect_timestamp_column(catalog.meta_columns(spark, _ALL))
+    return introspection.detect_timestamp_column(_columns(spark, sf_dir), _CHANGES)
 
 
-@query(f"SELECT table_name, conname, contype, CASE contype WHEN 'p' THEN 'PRIMARY KEY' WHEN 'u' THEN 'UNIQUE' ELSE 'FOREIGN KEY' END || ' (' || array_to_string(columns, ', ') || ')' || CASE WHEN contype = 'f' THEN ' REFERENCES ' || ref_table || COALESCE(' ON DELETE ' || on_delete, '') ELSE '' END AS definition FROM {_KEYS_SQL} WHERE contype <> 'c'")
+@query(f"""
+WITH {_KEYS_CTE}
+SELECT table_name, table_name || '_pkey' AS conname, 'p' AS contype, 'PRIMARY KEY (' || array_to_string(columns, ', ') || ')' AS definition FROM k
+UNION ALL SELECT table_name, table_name || '_' || column_name || '_fkey', 'f',
+    'FOREIGN KEY (' || column_name || ') REFERENCES ' || ref_table || '(' || ref_column || ')' FROM f
+""")
 def constraint_list(spark, sf_dir):
-    return introspection.constraint_list(catalog.meta_constraints(spark, _KEYS))
+    return introspection.constraint_list(_declared(spark, sf_dir, "constraints"))
 
 
-@query("SELECT table_name, string_agg(column_name, ', ' ORDER BY ordinal_position) AS columns FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS table_name, * FROM ({_described(n)})" for n in _COUNTED) + ") GROUP BY 1")
-def table_columns_of_data(spark, sf_dir):
-    """The same look-up over the catalog of the tables themselves."""
-    found = [("public", name, c, n, k) for name in _COUNTED for n, (c, k) in enumerate(t(spark, sf_dir, name).dtypes, 1)]
-    return introspection.table_columns(spark.createDataFrame(found, catalog.COLUMNS_SCHEMA))
+@query(_described("orders"))
+def empty_clone(spark, sf_dir):
+    source, clone = _store(spark, "source"), _store(spark, "clone")
+    source.write("orders", t(spark, sf_dir, "orders"))
+    clone.clone_schema("orders", source)
+    return catalog_source.read(spark, clone.path, "columns", "orders").select("column_name", "ordinal_position", "data_type")
 
 
 @query(_described("customer"))
 def clone_schema(spark, sf_dir):
-    fields = t(spark, sf_dir, "customer").schema.fields
-    return spark.createDataFrame([(f.name, n, f.dataType.simpleString()) for n, f in enumerate(fields, 1)], "column_name string, ordinal_position int, data_type string")
-
-
-_EDGES = [("nation", "region"), ("customer", "nation"), ("supplier", "nation"), ("orders", "customer"), ("lineitem", "orders"), ("lineitem", "part"), ("lineitem", "supplier")]
-_EDGE_SQL = _values(_EDGES, "child, parent")
-
-
-@query(f"WITH RECURSIVE e AS (SELECT * FROM {_EDGE_SQL}), n AS (SELECT child AS name FROM e UNION SELECT parent FROM e), w AS (SELECT name, 0 AS level FROM n UNION ALL SELECT e.child, w.level + 1 FROM w JOIN e ON e.parent = w.name) SELECT name AS table_name, MAX(level) AS level FROM w GROUP BY 1")
+    """Columns of one of the tables, whose footer alone is opened."""
+    return catalog_source.read(spark, sf_dir, "columns", "customer").select("column_name", "ordinal_position", "data_type")
+
+
+@query(f"""
+SELECT column_name, ordinal_position, data_type, column_name NOT IN ('o_orderkey', 'o_orderstatus') AS is_nullable,
+    CASE column_name WHEN 'o_orderstatus' THEN '''O''' WHEN 'o_orderdate' THEN 'current_timestamp()' END AS column_default,
+    CAST(CASE column_name WHEN 'o_orderstatus' THEN 1 WHEN 'o_orderpriority' THEN 15 END AS INTEGER) AS max_length
+FROM ({_described("orders")})
+""")
+def clone_structure(spark, sf_dir):
+    """A clone of a table that was loaded, with its defaults, lengths and columns without nulls."""
+    source, clone = _store(spark, "source"), _store(spark, "clone")
+    source.write("orders", _orders(spark, sf_dir))
+    clone.clone_schema("orders", source)
+    return catalog_source.read(spark, clone.path, "columns").drop("table_schema", "table_name")
+
+
+@query(f"""
+WITH RECURSIVE {_KEYS_CTE}, e AS (SELECT DISTINCT table_name AS child, ref_table AS parent FROM f),
+w AS (SELECT DISTINCT table_name AS name, 0 AS level FROM {_COLUMNS_SQL} UNION SELECT e.child, w.level + 1 FROM w JOIN e ON e.parent = w.name)
+SELECT name AS table_name, CAST(MAX(level) AS INTEGER) AS level FROM w GROUP BY 1
+""")
 def load_order(spark, sf_dir):
-    names = sorted({x for e in _EDGES for x in e})
-    return spark.createDataFrame(list(graph.levels(names, _EDGES).items()), "table_name string, level int")
+    found = introspection.edges(_declared(spark, sf_dir, "constraints"))
+    return spark.createDataFrame(list(graph.levels(sorted(_COUNTED), found).items()), "table_name string, level int")
 
 
-@query(f"WITH RECURSIVE e AS (SELECT * FROM {_EDGE_SQL}), w AS (SELECT 'nation' AS name UNION SELECT e.child FROM w JOIN e ON e.parent = w.name) SELECT name AS table_name FROM w")
+@query(f"""
+WITH RECURSIVE {_KEYS_CTE}, w AS (SELECT 'nation' AS name UNION SELECT f.table_name FROM w JOIN f ON f.ref_table = w.name)
+SELECT name AS table_name FROM w
+""")
 def cascade_closure(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in graph.cascade(["nation"], _EDGES)], "table_name string")
+    found = introspection.edges(_declared(spark, sf_dir, "constraints"))
+    return spark.createDataFrame([(x,) for x in graph.cascade(["nation"], found)], "table_name string")
 
 
 # Constraints
@@ -380,22 +595,19 @@ def delete_cascade(spark, sf_dir):
 
 # Generator and scalar functions
 
-_GENERATED = 2000
-
-
 def _md5(salt: str) -> str:
     return f"md5(id::VARCHAR || '{salt}')"
 
 
 _VERSION = "CAST(CAST('0x' || substr(md5(id::VARCHAR || 'v'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * 10 AS INTEGER)"
-_IDS = f"(SELECT range AS id FROM range(1, {_GENERATED + 1}))"
+_IDS = "(SELECT unnest(range(1, (SELECT COUNT(*) + 1 FROM part))) AS id)"
 _ARRAY = "[md5(id::VARCHAR || 'a' || i::VARCHAR) FOR i IN range(1, 11)]"
 _JSON = "to_json({'id': id, " + ", ".join(f"'data{n}': {_md5(f'd{n}')}" for n in range(1, 6)) + f", 'array_data': {_ARRAY}, 'metadata': {{'created': '2024-01-01', 'updated': '2024-01-01', 'version': {_VERSION}}}}})::VARCHAR"
 
 
 @query(f"SELECT id, length(repeat({_md5('x')} || {_md5('y')}, 32)) AS n_chars, md5(repeat({_md5('x')} || {_md5('y')}, 32)) AS large_md5, {_JSON} AS json_data, lower(hex(unhex({_md5('b')} || {_md5('c')}))) AS binary_hex FROM {_IDS}")
 def generate_rows(spark, sf_dir):
-    g = datagen.generate(spark, _GENERATED)
+    g = datagen.generate(spark, t(spark, sf_dir, "part").count())
     return g.select("id", F.length("large_data").cast("long").alias("n_chars"), F.md5(F.col("large_data").cast("binary")).alias("large_md5"), "json_data", F.lower(F.hex("binary_data")).alias("binary_hex"))
 
 
@@ -458,13 +670,19 @@ def dry_run_summary(spark, sf_dir):
     return first.unionByName(nation.agg(F.concat(F.lit("... and "), (F.count("*") - 10).cast("string"), F.lit(" more")).alias("line")))
 
 
-# An extension: the hierarchy walked, which the data model allows for.
+# An extension: a hierarchy walked from its roots, suppliers under the one with a third of their number
 
 
-@query(f"WITH RECURSIVE c AS (SELECT * FROM {_values([(n, n // 3 if n > 1 else None) for n in range(1, 21)], 'category_id, parent_id')}), w AS (SELECT category_id, category_id AS root, 0 AS depth FROM c WHERE parent_id IS NULL OR parent_id = 0 UNION ALL SELECT c.category_id, w.root, w.depth + 1 FROM w JOIN c ON c.parent_id = w.category_id) SELECT * FROM w")
+@query("""
+WITH RECURSIVE c AS (SELECT s_suppkey AS category_id, CASE WHEN s_suppkey > 0 THEN s_suppkey // 3 END AS parent_id FROM supplier),
+w AS (SELECT category_id, category_id AS root, 0 AS depth FROM c WHERE parent_id IS NULL
+    UNION ALL SELECT c.category_id, w.root, w.depth + 1 FROM w JOIN c ON c.parent_id = w.category_id)
+SELECT * FROM w
+""")
 def category_tree(spark, sf_dir):
-    spark.createDataFrame([(n, n // 3 if n > 1 else None) for n in range(1, 21)], "category_id int, parent_id int").createOrReplaceTempView("millrace_categories")
+    parent = F.when(F.col("s_suppkey") > 0, F.floor(F.col("s_suppkey") / 3))
+    t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("category_id"), parent.alias("parent_id")).createOrReplaceTempView("millrace_categories")
     return spark.sql(
-        "WITH RECURSIVE w AS (SELECT category_id, category_id AS root, 0 AS depth FROM millrace_categories WHERE parent_id IS NULL OR parent_id = 0 "
+        "WITH RECURSIVE w AS (SELECT category_id, category_id AS root, 0 AS depth FROM millrace_categories WHERE parent_id IS NULL "
         "UNION ALL SELECT c.category_id, w.root, w.depth + 1 FROM w JOIN millrace_categories c ON c.parent_id = w.category_id) SELECT * FROM w"
     )

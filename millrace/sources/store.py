@@ -10,26 +10,54 @@ store they know will do.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
+
+from . import structure
 
 #: Directories of key ranges within what one load wrote.
 SLICE = "__slice"
 
 
+_made: list[str] = []
+
+
 def staging(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; only a local
-    session without one gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, or the
+    checkpoint folder set on the context; only a local session without one gets a temporary folder."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
-        if spark.sparkContext.master.partition("[")[0] != "local":
+        if sc.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="millrace-")
-    return f"{base.rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Remove what this process has left in staging folders; results that still read it are lost."""
+    for path in list(_made):
+        remove(spark, path)
+
+
+def checksum(df: DataFrame):
+    """A column that adds up to the same number for the same rows in any order, of all columns that can be hashed."""
+    hashed = [structure.col(f.name) for f in df.schema if not isinstance(f.dataType, MapType | VariantType)]
+    return F.coalesce(F.sum(F.xxhash64(*hashed).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)")) if hashed else F.lit(0).cast("decimal(30,0)")
 
 
 class Store:
@@ -62,75 +90,111 @@ class Store:
         pointers = self._pointers(table)
         if not pointers:
             raise FileNotFoundError(f"no table {table} in {self.path}")
-        fs, p = self._fs(f"{self.path}/{table}/{pointers[-1]}")
+        return self._text(f"{self.path}/{table}/{pointers[-1]}").split()
+
+    def _text(self, path: str) -> str:
+        """A small file."""
+        fs, p = self._fs(path)
         stream = fs.open(p)
         try:
-            size = fs.getFileStatus(p).getLen()
-            return bytes(b & 255 for b in stream.readNBytes(size)).decode().split()
+            return bytes(b & 255 for b in stream.readNBytes(fs.getFileStatus(p).getLen())).decode()
         finally:
             stream.close()
 
-    def _point(self, table: str, parts: list[str], after: str | None) -> None:
-        """The parts become the table. The new pointer is written aside and renamed to the next number,
-        so a torn write is never read; if another load took that number first, this one fails."""
-        number = int(after.split("-")[1]) + 1 if after else 0
-        fs, aside = self._fs(f"{self.path}/{table}/_pending-{uuid.uuid4().hex}")
-        stream = fs.create(aside, False)
+    def _publish(self, text: str, aside: str, final: str) -> bool:
+        """A small file under its final name, unless that is taken: of several callers one succeeds, and
+        no reader sees half of it. Written aside and renamed, which HDFS refuses where the name is
+        taken; a local file system would replace, so there the name is a link. On a store that
+        replaces on rename (object stores) two loads at a time are not kept apart."""
+        fs, a = self._fs(aside)
+        stream = fs.create(a, False)
         try:
-            stream.write(bytearray("\n".join(parts).encode()))
+            stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        _, final = self._fs(f"{self.path}/{table}/current-{number:012d}")
-        if fs.exists(final) or not fs.rename(aside, final):
-            fs.delete(aside, False)
-            raise RuntimeError(f"another load has changed {table}")
+        _, f = self._fs(final)
+        done = False
+        if fs.getUri().getScheme() == "file":
+            try:
+                os.link(a.toUri().getPath(), f.toUri().getPath())
+                done = True
+            except FileExistsError:
+                pass
+        elif not fs.exists(f) and fs.rename(a, f):
+            return True
+        fs.delete(a, False)
+        return done
+
+    def _point(self, table: str, parts: list[str], after: str | None) -> None:
+        """The parts become the table under the pointer's next number; if another load took that first,
+        this one fails."""
+        self._snapshot(table, parts, int(after.split("-")[1]) + 1 if after else 0)
         if after:
+            fs, _ = self._fs(f"{self.path}/{table}")
             for name in self._pointers(table)[:-2]:  # the one before stays for readers that have just listed it
                 fs.delete(self._fs(f"{self.path}/{table}/{name}")[1], False)
 
-    def _part(self, table: str, df: DataFrame, keys: Sequence[str] = ()) -> list[str]:
+    def _snapshot(self, table: str, parts: list[str], number: int) -> None:
+        if not self._publish("\n".join(parts), f"{self.path}/{table}/_pending-{uuid.uuid4().hex}", f"{self.path}/{table}/current-{number:012d}"):
+            raise RuntimeError(f"another load has changed {table}")
+
+    def _part(self, table: str, df: DataFrame, keys: Sequence[str] = (), seen: Observation | None = None) -> list[str]:
         """Parts with these rows: one, or with keys one for each range of them, as many as Spark makes
-        of a shuffle's partitions for their bytes."""
+        of a shuffle's partitions for their bytes. ``seen`` gets rows and checksum of what is written."""
         name = f"p-{uuid.uuid4().hex}"
         path = f"{self.path}/{table}/{name}"
         if keys:
-            df.repartitionByRange(*keys).withColumn(SLICE, F.spark_partition_id()).write.partitionBy(SLICE).parquet(path)
+            df = df.repartitionByRange(*[structure.col(k) for k in keys])
+        watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), checksum(df).alias("checksum")) if seen else df
+        if keys:
+            watched.withColumn(SLICE, F.spark_partition_id()).write.partitionBy(SLICE).parquet(path)
             fs, p = self._fs(path)
             slices = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
             if slices:
                 return [f"{name}/{s}" for s in slices]
-            df = df.limit(0)  # no rows, so no slice that holds the columns
-        df.write.mode("append").parquet(path)
+            watched = df.limit(0)  # no rows, so no slice that holds the columns
+        watched.write.mode("append").parquet(path)
         return [name]
 
-    def _typed(self, table: str, df: DataFrame) -> DataFrame:
-        """Rows with the columns and types of the table; a value beyond its type is an error."""
-        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.read(table).schema])
+    def _typed(self, table: str, df: DataFrame, add: bool = False) -> DataFrame:
+        return structure.conform(df, self.read(table).schema, add)
+
+    def _at(self, table: str, parts: Sequence[str]) -> list[str]:
+        return [f"{self.path}/{table}/{p}" for p in parts]
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.path}/{table}/{p}" for p in self.parts(table)])
+        """The rows, with the columns of the part written last; a column that was added since a part
+        was written is null there."""
+        paths = self._at(table, self.parts(table))
+        return self.spark.read.schema(self.spark.read.parquet(paths[-1]).schema).parquet(*paths)
 
     def write(self, table: str, df: DataFrame, keys: Sequence[str] = ()) -> None:
         """A new snapshot of these rows becomes the table."""
         after = (self._pointers(table) or [None])[-1]
         self._point(table, self._part(table, df, keys), after)
 
-    def append(self, table: str, df: DataFrame, keys: Sequence[str] = ()) -> None:
-        """A snapshot with these rows added becomes the table; nothing is rewritten."""
+    def append(self, table: str, df: DataFrame, keys: Sequence[str] = (), add: bool = False) -> None:
+        """A snapshot with these rows added becomes the table; nothing is rewritten. Columns that the
+        table lacks are an error, or are added to it."""
         after, parts = self._pointers(table)[-1], self.parts(table)
-        self._point(table, [*parts, *self._part(table, self._typed(table, df), keys)], after)
+        self._point(table, [*parts, *self._part(table, self._typed(table, df, add), keys)], after)
 
-    def _touched(self, table: str, changes: DataFrame, keys: Sequence[str]) -> set[str]:
-        """Parts in which a key of the changes occurs. Only keys are read, and of those only row groups
-        that reach into the range of the changes' first key."""
+    def _touched(self, table: str, changes: DataFrame, keys: Sequence[str]) -> dict[str, int]:
+        """Parts in which a key of the changes occurs, and how many of their rows have one. Only keys are
+        read, and of those only row groups that reach into the range of the changes' first key."""
         first = keys[0]
         low, high = changes.dropna(subset=list(keys)).agg(F.min(first), F.max(first)).first()
         if low is None:
-            return set()
+            return {}
         part = F.regexp_extract("_metadata.file_path", f"/(p-[0-9a-f]+(/{SLICE}=[0-9]+)?)/[^/]+$", 1).alias("__part")
         there = self.read(table).where(F.col(first).between(F.lit(low), F.lit(high))).select(*keys, part)
-        found = there.join(changes.select(*keys), list(keys), "left_semi").select("__part").distinct()
-        return {r[0] for r in found.collect()}  # some of the names that the pointer lists
+        found = there.join(changes.select(*keys), list(keys), "left_semi").groupBy("__part").count()
+        return {r[0]: r[1] for r in found.collect()}  # some of the names that the pointer lists
+
+    def _of_parts(self, table: str, parts: Sequence[str]) -> DataFrame:
+        """Rows of some parts, with the table's columns."""
+        whole = self.read(table)
+        return self.spark.read.schema(whole.schema).parquet(*self._at(table, parts)) if parts else whole.limit(0)
 
     def merge(self, table: str, changes: DataFrame, keys: Sequence[str], combine: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         """The table becomes ``combine(its rows, changes)``, where rows whose key is not among the changes
@@ -138,15 +202,26 @@ class Store:
         after, parts = self._pointers(table)[-1], self.parts(table)
         changes = self._typed(table, changes)
         touched = self._touched(table, changes, keys)
-        paths = [f"{self.path}/{table}/{p}" for p in parts if p in touched]
-        old = self.spark.read.parquet(*paths) if paths else self.read(table).limit(0)
+        old = self._of_parts(table, [p for p in parts if p in touched])
         self._point(table, [*(p for p in parts if p not in touched), *self._part(table, combine(old, changes), keys)], after)
 
+    def keys(self, table: str) -> list[str]:
+        """Columns of the primary key that the table declares."""
+        return structure.keys(self.read(table).schema)
+
+    def references(self, table: str) -> list[tuple[str, str, str]]:
+        """(column, parent, parent's column) of the foreign keys that the table declares."""
+        return sorted((f.name, *f.metadata["references"].rpartition(".")[::2]) for f in self.read(table).schema if "references" in f.metadata)
+
     def clone_schema(self, table: str, source: Store) -> None:
-        """An empty table with the source's columns, unless there is one."""
+        """An empty table with the source's columns and what they promise, unless there is one."""
         if not self.exists(table):
             self.write(table, source.read(table).limit(0))
 
+    def create(self, table: str, shape) -> None:
+        """An empty table with this structure."""
+        self.write(table, self.spark.createDataFrame([], shape))
+
     def truncate(self, table: str) -> None:
         self.write(table, self.read(table).limit(0))
 
@@ -183,23 +258,3 @@ class Store:
             F.min(c).cast("string").alias("min"), F.max(c).cast("string").alias("max"),
         )
         return df.agg(F.array(*[one(c) for c in df.columns]).alias("s")).select(F.explode("s").alias("s")).select("s.*")
-
-
-def jdbc_options(dsn: str, table: str, fetch: int = 10_000) -> dict[str, str]:
-    """Spark JDBC options of a ``postgresql://user:password@host:port/database`` string."""
-    rest = dsn.split("://", 1)[1]
-    login, _, place = rest.rpartition("@")
-    user, _, password = login.partition(":")
-    return {"url": f"jdbc:postgresql://{place}", "user": user, "password": password, "dbtable": table, "fetchsize": str(fetch), "batchsize": str(fetch)}
-
-
-def read_jdbc(spark: SparkSession, dsn: str, table: str, key: str | None = None, low: int = 0, high: int = 0, partitions: int = 1) -> DataFrame:
-    """A database's table; with a numeric key, read in ranges of it by as many connections. Filters reach the database."""
-    options = jdbc_options(dsn, table)
-    if key:
-        options |= {"partitionColumn": key, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(partitions)}
-    return spark.read.format("jdbc").options(**options).load()
-
-
-def write_jdbc(df: DataFrame, dsn: str, table: str, mode: str = "append") -> None:
-    df.write.format("jdbc").options(**jdbc_options(dsn, table)).mode(mode).save()
