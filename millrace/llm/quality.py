@@ -1,15 +1,19 @@
 """Quality classification by attention-based multiple-instance learning.
 
 A document is a bag of passages of about ``PASSAGE_BYTES`` bytes, cut at white space; a text of more
-than ``BLOCK_BYTES`` bytes is cut there as well. Each passage is encoded from its bytes and words; the
-encoding passes a hidden layer, gated attention weights softmax(w . (tanh(V h) * sigmoid(U h))) are
-learnt from document labels alone, and the weighted sum of the passages is scored. All of it is
-vectorised over the passages of many documents, and the softmax sums are carried from block to block,
-so that a text of any length has passages of one size and bounded memory.
+than ``BLOCK_BYTES`` bytes is cut there as well. Each passage is encoded from its bytes and words, and
+from its hashed letter trigrams, also those across words, so that what the letters spell counts as well
+as how the text looks. The encoding passes a hidden layer, gated attention weights
+softmax(w . (tanh(V h) * sigmoid(U h))) are learnt from document labels alone, and the weighted sum of
+the passages is scored. All of it is vectorised over the passages of many documents, and the softmax
+sums are carried from block to block, so that a text of any length has passages of one size and
+bounded memory. Training takes documents in small batches; what it holds of a passage is a byte for
+each hashed trigram.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +26,7 @@ from .common import keeps_nothing, remainder, table, text_bytes
 PASSAGE_BYTES = 400
 BLOCK_BYTES = 1_000_000
 #: Passages of a document that are learnt from, evenly spread over it.
-MAX_TRAIN_PASSAGES = 256
+MAX_TRAIN_PASSAGES = 32
 THRESHOLD = 0.3
 
 _KINDS = ["lower", "upper", "digit", "space", "newline", "bar", "shout", "symbol", "stop", "comma", "bracket", "quote", "other", "high"]
@@ -42,18 +46,54 @@ def _kinds() -> np.ndarray:
 _KIND = _kinds()
 _RANDOM = np.random.default_rng(7).integers(1, 2**63, 256).astype(np.uint64) | np.uint64(1)
 _PLACE = np.random.default_rng(8).integers(1, 2**63, 64).astype(np.uint64) | np.uint64(1)
-N_FEATURES = len(_KINDS) + 10
+#: Features of a passage's look, and hashed trigrams.
+N_LOOKS, N_GRAMS = len(_KINDS) + 10, 1024
+N_FEATURES = N_LOOKS + N_GRAMS
+
+
+def _classes() -> np.ndarray:
+    """A byte as one of 32 letters: a to z without case, white space, digits, punctuation, three of other bytes."""
+    out = np.full(256, 28, np.uint32)
+    for k in range(26):
+        out[[97 + k, 65 + k]] = k
+    out[list(b" \t\r\n\x0b\x0c")], out[48:58], out[128:] = 26, 27, 29 + np.arange(128) % 3
+    return out
+
+
+_CLASS = _classes()
+_GRAM = ((np.arange(1 << 15, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64)  # of three letters, a bucket
+
+
+def _grams(b: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Passages x hashed trigrams, how often each occurs, at most 255."""
+    n = len(cuts) - 1
+    c = _CLASS[b]
+    k = (c[:-2] << 10) | (c[1:-1] << 5) | c[2:]
+    own = np.repeat(np.arange(n), np.diff(cuts))[: len(k)]
+    return np.minimum(np.bincount(own * N_GRAMS + _GRAM[k], minlength=n * N_GRAMS), 255).astype(np.uint8).reshape(n, N_GRAMS)
+
+
+def dense(looks: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Features of passages: looks, and square roots of the trigrams' shares, less of those of short
+    passages; they weigh half of what the looks do."""
+    total = grams.sum(1, dtype=np.int64)[:, None] + 100
+    return np.concatenate([looks, np.sqrt(grams / total.astype(np.float32)) / 2], axis=1, dtype=np.float32)
 
 
 def encode(text: bytes) -> np.ndarray:
     """Passages x features of one block of text (one row of zeros if it is blank)."""
+    return dense(*encoded(text))
+
+
+def encoded(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The same as looks and trigram counts."""
     b = np.frombuffer(text, np.uint8)
     kind = _KIND[b]
     blank = (kind == 3) | (kind == 4)
     edge = np.diff(np.r_[True, blank, True].astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
-        return np.zeros((1, N_FEATURES))
+        return np.zeros((1, N_LOOKS), np.float32), np.zeros((1, N_GRAMS), np.uint8)
     own = starts // PASSAGE_BYTES  # the passage of each word
     own = np.cumsum(np.r_[0, np.diff(own) > 0])
     n = int(own[-1]) + 1
@@ -78,7 +118,7 @@ def encode(text: bytes) -> np.ndarray:
         np.bincount(own, bits, n) / words, np.bincount(own, last == 7, n) / words, np.bincount(own, last == 6, n) / words,
         np.bincount(own, sizes == 1, n) / words, np.bincount(own, lead == 1, n) / words, np.minimum(np.bincount(own, bits * bits, n) / words - (np.bincount(own, bits, n) / words) ** 2, 4),
     ]
-    return np.column_stack([hist / lengths[:, None], *f])
+    return np.column_stack([hist / lengths[:, None], *f]).astype(np.float32), _grams(b, cuts)
 
 
 def blocks(text: bytes) -> Iterator[bytes]:
@@ -87,6 +127,11 @@ def blocks(text: bytes) -> Iterator[bytes]:
         yield text[s : s + BLOCK_BYTES] if len(text) > BLOCK_BYTES else text
 
 
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Features by mean and spread of those learnt from; what lies far outside of these is held at a bound."""
+    return np.clip((x - mean) / scale, -20, 20)
+
+
 class Model:
     """Gated attention over passages; weights are a few thousand numbers whatever the corpus."""
 
@@ -129,7 +174,7 @@ class Model:
         top, total, z = np.full(n, -np.inf), np.zeros(n), np.zeros((n, size))
 
         def add(own: list[int], bags: list[np.ndarray]) -> None:
-            x = (np.concatenate(bags) - self.mean) / self.scale
+            x = standard(np.concatenate(bags), self.mean, self.scale)
             doc = np.repeat(own, [len(b) for b in bags])
             h, _, _, s = self.encoded(self.w, x)
             new = top.copy()
@@ -148,7 +193,7 @@ class Model:
             own.append(k)
             bags.append(bag)
             held += len(bag)
-            if held >= 10_000:
+            if held >= 4000:
                 add(own, bags)
                 own, bags, held = [], [], 0
         if own:
@@ -172,37 +217,78 @@ def gradient(w: dict, x: np.ndarray, own: np.ndarray, y: np.ndarray) -> dict:
     }
 
 
-def fit(bags: list[np.ndarray], labels: list[int], hidden: int = 24, attention: int = 12, epochs: int = 250, rate: float = 0.02, decay: float = 1e-4) -> Model:
-    """Full-batch Adam on the documents' cross-entropy. With no labels, or all alike, a constant."""
-    y = np.array(labels, float)
+class Bag:
+    """A document's passages, small: looks and trigram counts."""
+
+    def __init__(self, looks: np.ndarray, grams: np.ndarray):
+        self.looks, self.grams = looks, grams
+
+    def __len__(self) -> int:
+        return len(self.looks)
+
+    def dense(self) -> np.ndarray:
+        return dense(self.looks, self.grams)
+
+    def packed(self) -> bytes:
+        return self.looks.tobytes() + self.grams.tobytes()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Bag:
+        n = len(data) // (4 * N_LOOKS + N_GRAMS)
+        at = n * 4 * N_LOOKS
+        return cls(np.frombuffer(data[:at], np.float32).reshape(n, N_LOOKS), np.frombuffer(data[at:], np.uint8).reshape(n, N_GRAMS))
+
+
+def _rows(bag) -> np.ndarray:
+    return bag.dense() if isinstance(bag, Bag) else bag.astype(np.float32)
+
+
+def fit(bags: list, labels: list[int], hidden: int = 24, attention: int = 12, epochs: int = 12, steps: int = 300, batch: int = 64, rate: float = 0.01, decay: float = 1e-4) -> Model:
+    """Adam on the documents' cross-entropy in float32, in batches of documents, as often as ``epochs``
+    says but at least for ``steps`` batches. bags: a Bag or an array of passages x features for each
+    document; their order does not matter. With no labels, or all alike, a constant."""
+    y = np.array(labels, np.float32)
     prior = float((y.sum() + 0.5) / (len(y) + 1))
     if not len(y) or y.min() == y.max():
         return Model(None, None, None, prior)
-    x = np.concatenate(bags)
-    mean, scale = x.mean(0), x.std(0) + 1e-6
-    x, n = (x - mean) / scale, len(bags)
-    own = np.repeat(np.arange(n), [len(z) for z in bags])
-    r = np.random.default_rng(0)
-    w = {
-        "W": r.normal(0, 0.3, (x.shape[1], hidden)), "b": np.zeros(hidden), "V": r.normal(0, 0.3, (hidden, attention)), "U": r.normal(0, 0.3, (hidden, attention)),
-        "a": r.normal(0, 0.3, attention), "c": r.normal(0, 0.3, hidden), "d": np.zeros(1),
-    }
+    order = sorted(range(len(bags)), key=lambda k: (labels[k], hashlib.sha1(_rows(bags[k]).tobytes()).digest()))
+    bags, y = [bags[k] for k in order], y[order]
+    count, total, squares = 0, 0.0, 0.0
+    for b in bags:
+        x = _rows(b).astype(np.float64)
+        count, total, squares = count + len(x), total + x.sum(0), squares + (x * x).sum(0)
+    mean = total / count
+    spread = np.sqrt(np.maximum(squares / count - mean * mean, 0))
+    floor = np.r_[np.full(min(N_LOOKS, len(mean)), 1e-3), np.full(max(0, len(mean) - N_LOOKS), 2e-2)]
+    scale = np.where(spread > 1e-5, spread + floor, np.inf)  # what never varied says nothing
+    mean, scale, r = mean.astype(np.float32), scale.astype(np.float32), np.random.default_rng(0)
+    shapes = {"W": (len(mean), hidden), "b": (hidden,), "V": (hidden, attention), "U": (hidden, attention), "a": (attention,), "c": (hidden,), "d": (1,)}
+    w = {k: (r.normal(0, len(mean) ** -0.5 if k == "W" else 0.0 if k in "bd" else 0.3, shape)).astype(np.float32) for k, shape in shapes.items()}
     m, v = {k: np.zeros_like(q) for k, q in w.items()}, {k: np.zeros_like(q) for k, q in w.items()}
-    for step in range(1, epochs + 1):
-        grad = gradient(w, x, own, y)
-        for k in w:
-            q = grad[k] + decay * w[k]
-            m[k], v[k] = 0.9 * m[k] + 0.1 * q, 0.999 * v[k] + 0.001 * q * q
-            w[k] = w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+    step, epoch = 0, 0
+    while epoch < epochs or step < steps:
+        epoch += 1
+        deal = r.permutation(len(bags))
+        for at in range(0, len(deal), batch):
+            step += 1
+            chosen = deal[at : at + batch]
+            few = [_rows(bags[k]) for k in chosen]
+            x = standard(np.concatenate(few), mean, scale)
+            grad = gradient(w, x, np.repeat(np.arange(len(few)), [len(f) for f in few]), y[chosen])
+            for k in w:
+                q = (grad[k] + decay * w[k]).astype(np.float32)
+                m[k], v[k] = 0.9 * m[k] + 0.1 * q, 0.999 * v[k] + 0.001 * q * q
+                w[k] = w[k] - rate * (m[k] / np.float32(1 - 0.9**step)) / (np.sqrt(v[k] / np.float32(1 - 0.999**step)) + np.float32(1e-8))
     return Model(mean, scale, w, prior)
 
 
-def _learnt(text: bytes) -> np.ndarray:
+def _learnt(text: bytes) -> Bag:
     """The passages of a text that are learnt from."""
-    bag = np.concatenate([encode(b) for b in blocks(text)])
-    if len(bag) > MAX_TRAIN_PASSAGES:
-        bag = bag[np.linspace(0, len(bag) - 1, MAX_TRAIN_PASSAGES).astype(int)]
-    return bag.astype(np.float32)
+    looks, grams = (np.concatenate(x) for x in zip(*map(encoded, blocks(text))))
+    if len(looks) > MAX_TRAIN_PASSAGES:
+        at = np.linspace(0, len(looks) - 1, MAX_TRAIN_PASSAGES).astype(int)
+        looks, grams = looks[at], grams[at]
+    return Bag(looks, grams)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 3000, folds: int = 5, held: int = 0) -> Model:
@@ -224,14 +310,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 3000, folds:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keeps_nothing("quality")
         for b in batches:
-            bags = [_learnt(t).tobytes() for t in text_bytes(b.column(0))]
+            bags = [_learnt(t).packed() for t in text_bytes(b.column(0))]
             yield pa.record_batch([b.column(1), pa.array(bags, pa.binary())], ["quality", "bag"])
 
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(few, "doc_id")
     d = d.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).where("text is not null")
     got = d.select("text", "quality").mapInArrow(run, "quality int, bag binary").collect()
-    got.sort(key=lambda r: (r[0], bytes(r[1])))
-    return fit([np.frombuffer(r[1], np.float32).reshape(-1, N_FEATURES).astype(float) for r in got], [r[0] for r in got])
+    return fit([Bag.unpacked(r[1]) for r in got], [r[0] for r in got])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -11,8 +11,9 @@
    binary search over the hashes finds the common extension, and the next byte decides. Neighbours
    that agree on ``LENGTH`` bytes are verified byte by byte; all but the earliest are repeats.
    Of contexts with the same bytes only the first is sorted, the others repeat it.
-   The windows of an anchor with more than ``cap`` contexts are dealt out by a hash of their bytes
-   before that same sort, so that no task holds them all.
+   The windows of an anchor with more than ``cap`` contexts, which differ between map tasks or are
+   very many, are not sorted: of each window's bytes the earliest place is found by an aggregate
+   that map tasks begin, and all its other places are repeats. No task gets them all.
 3. The repeats of each document are merged and cut out.
 
 Work and data moved are linear in the text: about one row of four numbers for 35 bytes, and the
@@ -25,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -337,24 +337,25 @@ def windows(bucket: np.ndarray, left: np.ndarray, right: np.ndarray, size: np.nd
     return ctx[order], (start[ctx] + inside)[order], group[order]
 
 
-_CTX = "key long, sub long, rid long, at long, bytes binary"
+_CTX = "key long, rid long, at long, bytes binary"
 
 
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by key, sub, rid, at: the windows among them that occurred before."""
+    """Contexts sorted by key, rid, at: the windows among them that occurred before. A key has no more
+    than ``cap`` contexts."""
 
     def close(rows):
         known: set = set()
-        new = [(k := (key, sub, packed & 0x3FFF, value)) not in known and not known.add(k) for key, sub, _, packed, value in rows]
+        new = [(k := (key, packed & 0x3FFF, value)) not in known and not known.add(k) for key, _, packed, value in rows]
         new = np.array(new)
-        key, sub, rid, packed = (np.array(x, np.int64) for x in list(zip(*rows))[:4])
+        key, rid, packed = (np.array(x, np.int64) for x in list(zip(*rows))[:3])
         at, left, right = _unpack(packed)
         whole = rid[~new], (at - left)[~new], (at + right + LENGTH)[~new]  # bytes equal to an earlier context's
         rows = [row for row, n in zip(rows, new.tolist()) if n]
-        key, sub, rid, at, left, right = (x[new] for x in (key, sub, rid, at, left, right))
-        data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-        size = np.array([len(r[4]) for r in rows])
-        bucket = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])])
+        key, rid, at, left, right = (x[new] for x in (key, rid, at, left, right))
+        data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
+        size = np.array([len(r[3]) for r in rows])
+        bucket = np.cumsum(np.r_[False, key[1:] != key[:-1]])
         ctx, place, group = windows(bucket, left, right, size)
         start = np.cumsum(size) - size
         again = Suffixes(data).repeats(place, group)
@@ -366,8 +367,8 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keeps_nothing("suffixes")
     rows: list = []
     for b in batches:
-        for row in zip(*(b.column(k).to_pylist() for k in range(5))):
-            if len(rows) >= 4000 and row[:2] != rows[-1][:2]:
+        for row in zip(*(b.column(k).to_pylist() for k in range(4))):
+            if len(rows) >= 4000 and row[0] != rows[-1][0]:
                 yield close(rows)
                 rows = []
             rows.append(row)
@@ -375,35 +376,60 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close(rows)
 
 
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(text, rid, list of (key, at)): of each text its bytes, rid, keys, packed places, and where the
+    contexts begin and end."""
+    keeps_nothing("suffixes")
+    for b in batches:
+        for k in range(b.num_rows):
+            asked = b.column(2)[k].values
+            packed = asked.field(1).to_numpy()
+            at, left, right = _unpack(packed)
+            yield (b.column(0)[k].as_py() or "").encode(), b.column(1)[k].as_py(), asked.field(0).to_pylist(), packed.tolist(), (at - left).tolist(), (at + right + LENGTH).tolist()
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, rid, list of (key, at, hot)) to a row for each context with its bytes, or for each
-    window of a hot one."""
+    """A row for each context that is asked for, with its bytes."""
 
     def batch(out: list) -> pa.RecordBatch:
-        columns = list(zip(*out)) or [[]] * 5
+        columns = list(zip(*out)) or [[]] * 4
         out.clear()
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.binary()])], ["key", "sub", "rid", "at", "bytes"])
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.binary()])], ["key", "rid", "at", "bytes"])
 
-    keeps_nothing("suffixes")
     out: list = []
-    for b in batches:
-        for k in range(b.num_rows):
-            text, rid, asked = b.column(0)[k].as_py(), b.column(1)[k].as_py(), b.column(2)[k].values
-            text = (text or "").encode()
-            at, left, right = _unpack(asked.field(1).to_numpy())
-            begin, end = (at - left).tolist(), (at + right + LENGTH).tolist()
-            for key, packed, hot, m, s, e in zip(asked.field(0).to_pylist(), asked.field(1).to_pylist(), asked.field(2).to_pylist(), at.tolist(), begin, end):
-                if hot:
-                    for w in range(s, e - LENGTH + 1):
-                        value = text[w : w + LENGTH]
-                        out.append((key, xxhash.xxh64_intdigest(value) >> 1 | 1, rid, _pack(m, m - w, w - m), value))
-                else:
-                    out.append((key, 0, rid, packed, text[s:e]))
-                if len(out) >= 20_000:
-                    yield batch(out)
+    for text, rid, keys, packed, begin, end in _asked(batches):
+        for key, x, s, e in zip(keys, packed, begin, end):
+            out.append((key, rid, x, text[s:e]))
+            if len(out) >= 20_000:
+                yield batch(out)
     yield batch(out)
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each window of the contexts that are asked for, with its bytes."""
+
+    def batch(out: list) -> pa.RecordBatch:
+        columns = list(zip(*out)) or [[]] * 3
+        out.clear()
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["rid", "x", "bytes"])
+
+    out: list = []
+    for text, rid, _, _, begin, end in _asked(batches):
+        for s, e in zip(begin, end):
+            out += [(rid, w, text[w : w + LENGTH]) for w in range(s, e - LENGTH + 1)]
+            if len(out) >= 20_000:
+                yield batch(out)
+    yield batch(out)
+
+
+def _crowded_repeats(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """Spans of windows that occurred before, for anchors with many contexts: places (rid, c)."""
+    asked = places.groupBy("rid").agg(F.collect_list("c").alias("asked"))  # a document's own
+    found = saved(docs.join(asked, "rid").select("text", "rid", "asked").mapInArrow(_windows, "rid long, x long, bytes binary"), "windows")
+    first = found.groupBy("bytes").agg(F.min(F.struct("rid", "x")).alias("f")).select("f.*")
+    return found.select("rid", "x").join(first, ["rid", "x"], "left_anti").select("rid", "x", (F.col("x") + LENGTH).alias("y"))
+
+
 def repeats(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """docs: (text, __row). Byte spans (rid, x, y) to remove; they may overlap."""
     docs = docs.withColumnRenamed("__row", "rid")
@@ -413,11 +439,14 @@ def repeats(docs: DataFrame, cap: int = CAP) -> DataFrame:
     whole, open_ = got.where("key is null").select("rid", "x", "y"), got.where("key is not null")
     crowded = open_.groupBy("key").count().where(F.col("count") > cap).select("key", F.lit(True).alias("hot"))
     crowded = saved(crowded, "crowded")
-    open_ = open_.join(crowded, "key", "left").select("rid", F.struct("key", "x", F.coalesce("hot", F.lit(False)).alias("hot")).alias("c"))
-    asked = open_.groupBy("rid").agg(F.collect_list("c").alias("asked"))  # a document's own
+    open_ = open_.join(crowded, "key", "left").select("rid", "hot", F.struct("key", "x").alias("c"))
+    asked = open_.where("hot is null").groupBy("rid").agg(F.collect_list("c").alias("asked"))  # a document's own
     ctx = docs.join(asked, "rid").select("text", "rid", "asked").mapInArrow(_contexts, _CTX)
-    dealt = ctx.repartition("key", "sub").sortWithinPartitions("key", "sub", "rid", "at")
-    return whole.unionByName(saved(dealt.mapInArrow(_sorted_out, "rid long, x long, y long"), "sorted"))
+    dealt = ctx.repartition("key").sortWithinPartitions("key", "rid", "at")
+    out = whole.unionByName(saved(dealt.mapInArrow(_sorted_out, "rid long, x long, y long"), "sorted"))
+    if crowded.isEmpty():
+        return out
+    return out.unionByName(saved(_crowded_repeats(docs, open_.where("hot").select("rid", "c")), "crowded"))
 
 
 def kept_bytes(text: bytes, starts: list[int], ends: list[int]) -> tuple[bytes, int, int]:

@@ -262,6 +262,31 @@ def test_attention_and_its_gradient_against_plain_loops():
             assert got[k][at] == pytest.approx(slope, abs=1e-7)
 
 
+def test_letters_that_spell_nothing_are_told_from_words():
+    """Labels of its own: the same words, and with their letters mixed; looks are the same, trigrams are not."""
+    r = random.Random(4)
+    part = [a + b for a in "bdklmnrst" for b in "aeiou"]
+    words = ["".join(r.choice(part) for _ in range(r.randint(1, 4))) + r.choice(["", "n", "s"]) for _ in range(400)]
+    text = lambda: " ".join(r.choice(words) for _ in range(r.randint(20, 200)))
+    mixed = lambda t: " ".join("".join(r.sample(w, len(w))) for w in t.split(" "))
+    good = [text() for _ in range(150)]
+    model = quality.fit([quality._learnt(t.encode()) for g in good for t in (g, mixed(g))], [1, 0] * len(good))
+    held = [text() for _ in range(40)]
+    score = lambda t: model.score([quality.encode(t.encode())])[0]
+    assert sum(score(t) >= 0.5 for t in held) >= 38 and sum(score(mixed(t)) < 0.5 for t in held) >= 38
+
+
+def test_training_is_bounded_and_bags_are_small():
+    r = np.random.default_rng(2)
+    bag = quality._learnt(b"some words of text, " * 3000)
+    again = quality.Bag.unpacked(bag.packed())
+    assert (again.dense() == bag.dense()).all() and len(bag.packed()) == quality.MAX_TRAIN_PASSAGES * (4 * quality.N_LOOKS + quality.N_GRAMS)
+    bags = [quality.Bag(r.random((4, quality.N_LOOKS)).astype(np.float32), r.integers(0, 3, (4, quality.N_GRAMS)).astype(np.uint8)) for _ in range(50)]
+    labels = [k % 2 for k in range(50)]
+    model, turned = quality.fit(bags, labels), quality.fit(bags[::-1], labels[::-1])
+    assert all((model.w[k] == turned.w[k]).all() for k in model.w) and model.w["W"].dtype == np.float32  # order does not matter
+
+
 def test_long_texts_have_passages_of_one_size():
     text = b"word of text, " * 200_000
     bags = [quality.encode(b) for b in quality.blocks(text)]
@@ -349,14 +374,22 @@ def local_repeats(rows, cap=10**9):
         else:
             asked.setdefault(r["rid"], []).append(r)
     many = {k for k, n in Counter(r["key"] for x in asked.values() for r in x).items() if n > cap}
-    kind = pa.list_(pa.struct([("key", pa.int64()), ("x", pa.int64()), ("hot", pa.bool_())]))
-    text = dict(rows)
-    wanted = [[{"key": r["key"], "x": r["x"], "hot": r["key"] in many} for r in x] for x in asked.values()]
-    batch = pa.record_batch([pa.array([text[i].decode("latin-1") for i in asked]), pa.array(list(asked), pa.int64()), pa.array(wanted, kind)], ["text", "rid", "asked"])
-    ctx = pa.Table.from_batches(list(suffixes._contexts([batch]))).sort_by([(c, "ascending") for c in ("key", "sub", "rid", "at")])
+    kind, text = pa.list_(pa.struct([("key", pa.int64()), ("x", pa.int64())])), dict(rows)
+
+    def batch(hot):
+        wanted = {i: [{"key": r["key"], "x": r["x"]} for r in x if (r["key"] in many) == hot] for i, x in asked.items()}
+        wanted = {i: x for i, x in wanted.items() if x}
+        texts = pa.array([text[i].decode("latin-1") for i in wanted], pa.string())
+        return pa.record_batch([texts, pa.array(list(wanted), pa.int64()), pa.array(list(wanted.values()), kind)], ["text", "rid", "asked"])
+
+    ctx = pa.Table.from_batches(list(suffixes._contexts([batch(False)]))).sort_by([(c, "ascending") for c in ("key", "rid", "at")])
     for b in suffixes._sorted_out(ctx.to_batches(max_chunksize=50)):
         for r in b.to_pylist():
             gone[r["rid"]][r["x"] : r["y"]] = True
+    places = sorted((r["bytes"], r["rid"], r["x"]) for b in suffixes._windows([batch(True)]) for r in b.to_pylist())
+    for (before, _, _), (value, i, x) in zip(places, places[1:]):
+        if before == value:
+            gone[i][x : x + 100] = True
     return gone
 
 
