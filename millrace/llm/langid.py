@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import for_worker, remainder, table
@@ -248,13 +248,17 @@ class Scorer:
 def train(docs: DataFrame, tokenizer_path: str, max_train_docs: int = 1500, max_train_chars: int = MAX_TRAIN_CHARS, folds: int = 4, held: int = 2) -> dict:
     """Learn from documents (doc_id, text, lang) outside the held-out fold.
 
-    At most ``max_train_docs`` ids are used, those with the smallest hash among documents of at most
-    ``max_train_chars`` characters, and one row of each, the least by text and language. That bounds
-    what the driver gathers whatever the size of the corpus; scoring covers every row. Null ids, texts
-    and languages teach nothing.
+    At most ``max_train_docs`` ids are used, as many of each language if it has them, those with the
+    smallest hash among documents of at most ``max_train_chars`` characters, and one row of each, the
+    least by text and language. That bounds what the driver gathers whatever the size of the corpus,
+    and a language is learnt however few of the documents are in it; scoring covers every row. Null
+    ids, texts and languages teach nothing.
     """
     d = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= max_train_chars) & (remainder("doc_id", folds) != held))
-    ids = [r[0] for r in d.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs).collect()]
+    share = -(-max_train_docs // max(d.agg(F.countDistinct("lang")).first()[0], 1))
+    of_lang = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # tasks keep the first ones before the shuffle
+    few = d.select("lang", "doc_id").distinct().withColumn("n", F.row_number().over(of_lang)).where(F.col("n") <= share)
+    ids = sorted({r[0] for r in few.orderBy("n", F.xxhash64("doc_id"), "doc_id").limit(max_train_docs).select("doc_id").collect()})
     counts: dict[str, Counter] = {}
     if ids:
         one = d.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("d"))

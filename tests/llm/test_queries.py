@@ -258,6 +258,15 @@ def test_langid(spark, none):
     assert empty.count() == 0
 
 
+def test_a_rare_language_is_learnt(spark):
+    rows = [(k, "krix vrolt stram", "aa") for k in range(3000)] + [(k, "oelia maioue leanu", "bb") for k in range(9000, 9012)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(d, P.path("piece_bpe_32k.model"), max_train_docs=8)
+    assert model["langs"] == ["aa", "bb"]
+    got = langid.identify(d, model).groupBy("lang", "lang_pred").count().collect()
+    assert {(r.lang, r.lang_pred) for r in got} == {("aa", "aa"), ("bb", "bb")}
+
+
 def brute_links(rows, cosine=0.95):
     """By rows: (vec_id, links, component, kept) in the order of rows."""
     sound = {n: np.array(v, float) / np.linalg.norm(v) for n, (_, v) in enumerate(rows) if v and None not in v and np.isfinite(v).all() and any(v)}
