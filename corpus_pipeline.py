@@ -25,7 +25,11 @@ def _columns(df: DataFrame) -> DataFrame:
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from labelled ones, does not reject; a null text is scored as empty."""
+    """Documents that the classifier, learnt from labelled ones, does not reject.
+
+    A null text is scored as empty, a text of any length by all its passages; repeated rows and rows
+    without an id are decided on each, and of an empty table nothing is left.
+    """
     docs = _columns(docs)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return _columns(quality.score(docs, model).where(F.col("quality_score") >= quality.THRESHOLD))
@@ -34,7 +38,9 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def filter_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised: with a letter, and a posterior of at least one half.
 
-    The posterior is over the languages learnt, so it is near 1 for any longer text.
+    The posterior is over the languages learnt, so it is near 1 for any longer text. Null, empty and
+    letterless texts go; a null lang teaches nothing and is no reason to go. Repeated rows and rows
+    without an id are decided on each, and of an empty table nothing is left.
     """
     import public_tokenizers
 
@@ -59,7 +65,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without byte strings that occurred before; documents of which nothing is left go.
 
-    Characters that a cut runs through are dropped with it. n_chars is counted anew.
+    Characters that a cut runs through are dropped with it. n_chars is counted anew. A text that had
+    nothing to cut stays, null and empty ones too; of repeated rows the first keeps its text and the
+    others, from 100 bytes on, go; rows without an id come before all others. An empty table stays empty.
     """
     docs = _columns(docs)
     return suffixes.cut_texts(docs).where((F.col("text") != "") | (F.col("n_removed") == 0)).select(

@@ -24,20 +24,23 @@ def table_columns(columns: DataFrame, schema: str = "public") -> DataFrame:
     return c.groupBy("table_name").agg(F.expr("listagg(column_name, ', ') WITHIN GROUP (ORDER BY ordinal_position)").alias("columns"))
 
 
-def key_columns(columns: DataFrame, constraints: DataFrame, schema: str = "public") -> DataFrame:
+def key_columns(columns: DataFrame, constraints: DataFrame, tables: DataFrame | None = None, schema: str = "public") -> DataFrame:
     """(table_name, pos, column_name) of primary keys, positions from 1.
 
-    A constraint meets the columns of its table whose number is any of its key's; the place in the
-    key comes from the key unnested with its order.
+    A constraint meets its table, if ``tables`` are given only a base table, and the columns of the
+    table whose number is any of its key's; the place in the key comes from the key unnested with its
+    order.
     """
     p = constraints.where((F.col("contype") == "p") & (F.col("table_schema") == schema)).select("table_schema", "table_name", "conkey")
+    if tables is not None:
+        p = p.join(tables.where("table_type = 'BASE TABLE'").select("table_schema", "table_name"), ["table_schema", "table_name"])
     met = columns.join(p, (columns["table_schema"] == p["table_schema"]) & (columns["table_name"] == p["table_name"]) & F.array_contains(p["conkey"], columns["ordinal_position"]))
     met = met.select(p["table_name"], "column_name", "ordinal_position", F.posexplode("conkey").alias("pos", "attnum"))
     return met.where("attnum = ordinal_position").select("table_name", (F.col("pos") + 1).alias("pos"), "column_name")
 
 
-def primary_key_columns(columns: DataFrame, constraints: DataFrame) -> DataFrame:
-    return key_columns(columns, constraints).groupBy("table_name").agg(F.expr("listagg(column_name, ', ') WITHIN GROUP (ORDER BY pos)").alias("key_columns"))
+def primary_key_columns(columns: DataFrame, constraints: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    return key_columns(columns, constraints, tables).groupBy("table_name").agg(F.expr("listagg(column_name, ', ') WITHIN GROUP (ORDER BY pos)").alias("key_columns"))
 
 
 def update_columns(columns: DataFrame, constraints: DataFrame) -> DataFrame:

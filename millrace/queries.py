@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField
 
 from millrace.functions import scalars, variants
 from millrace.operators import constraints, introspection, retail, strategies
@@ -60,23 +61,35 @@ def where_filter(spark, sf_dir):
     return strategies.where_filter(t(spark, sf_dir, "orders"), {"orders": "o_orderstatus = 'F'"}.get("orders"))
 
 
-@query(f"SELECT p_name AS product_name, {_sum('l_quantity')} AS total_quantity, {_sum('l_extendedprice')} AS total_revenue FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name ORDER BY total_revenue DESC, product_name")
+@query(f"""
+SELECT p_name AS product_name, {_sum('l_quantity')} AS total_quantity, {_sum('l_extendedprice')} AS total_revenue FROM lineitem
+JOIN part ON l_partkey = p_partkey GROUP BY p_name ORDER BY total_revenue DESC, product_name
+""")
 def top_products(spark, sf_dir):
     return retail.best_sellers(t(spark, sf_dir, "lineitem"), t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "p_name", scalars.exact_sum("l_quantity"), scalars.exact_sum("l_extendedprice"))
 
 
-@query(f"SELECT c_name || ' ' || c_mktsegment AS seller_name, COUNT(o_orderkey) AS receipts_count, {_sum('o_totalprice')} AS total_sales FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey, seller_name ORDER BY total_sales DESC, c_custkey")
+@query(f"""
+SELECT c_name || ' ' || c_mktsegment AS seller_name, COUNT(o_orderkey) AS receipts_count, {_sum('o_totalprice')} AS total_sales FROM orders
+JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey, seller_name ORDER BY total_sales DESC, c_custkey
+""")
 def sales_by_seller(spark, sf_dir):
     name = F.concat("c_name", F.lit(" "), "c_mktsegment")
     return retail.sales_by_seller(t(spark, sf_dir, "orders"), t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "c_custkey", name, "o_orderkey", scalars.exact_sum("o_totalprice"))
 
 
-@query("SELECT p_name AS product_name, l_quantity AS current_stock, p_size AS min_stock_level FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity <= p_size")
+@query("""
+SELECT p_name AS product_name, l_quantity AS current_stock, p_size AS min_stock_level FROM lineitem JOIN part ON l_partkey = p_partkey
+WHERE l_quantity <= p_size
+""")
 def low_stock(spark, sf_dir):
     return retail.low_stock(t(spark, sf_dir, "lineitem"), t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "p_name", "l_quantity", "p_size")
 
 
-@query(f"SELECT CAST(o_orderdate AS DATE) AS sale_date, COUNT(*) AS receipts_count, {_sum('o_totalprice')} AS daily_revenue FROM orders GROUP BY 1 ORDER BY 1 DESC NULLS FIRST")
+@query(f"""
+SELECT CAST(o_orderdate AS DATE) AS sale_date, COUNT(*) AS receipts_count, {_sum('o_totalprice')} AS daily_revenue FROM orders GROUP BY 1
+ORDER BY 1 DESC NULLS FIRST
+""")
 def daily_revenue(spark, sf_dir):
     return retail.daily_revenue(t(spark, sf_dir, "orders"), "o_orderdate", scalars.exact_sum("o_totalprice"))
 
@@ -102,7 +115,12 @@ def product_categories_primary_first(spark, sf_dir):
 _PRETTY_SQL = "(CASE WHEN {n} < 10240 THEN {n}::VARCHAR || ' bytes' WHEN {n} < 10484992 THEN (({n} + 512) // 1024)::VARCHAR || ' kB' WHEN {n} < 10736893952 THEN (({n} + 524288) // 1048576)::VARCHAR || ' MB' ELSE (({n} + 536870912) // 1073741824)::VARCHAR || ' GB' END)"
 
 
-@query(f"WITH d AS (SELECT COUNT(*) AS n, CAST(SUM(COALESCE(octet_length(encode(text)), 0)) AS BIGINT) AS b FROM documents), o AS (SELECT CAST(SUM(COALESCE(octet_length(encode(text)), 0)) AS BIGINT) AS c FROM benchmark) SELECT 'TOTAL ROWS: ' || n::VARCHAR AS row_count, 'TABLE SIZE: ' || {_PRETTY_SQL.format(n='b')} AS table_size, 'DB SIZE: ' || {_PRETTY_SQL.format(n='(b + c)')} AS db_size FROM d, o")
+@query(f"""
+WITH d AS (SELECT COUNT(*) AS n, CAST(SUM(COALESCE(octet_length(encode(text)), 0)) AS BIGINT) AS b
+FROM documents), o AS (SELECT CAST(SUM(COALESCE(octet_length(encode(text)), 0)) AS BIGINT) AS c
+FROM benchmark) SELECT 'TOTAL ROWS: ' || n::VARCHAR AS row_count, 'TABLE SIZE: ' || {_PRETTY_SQL.format(n='b')} AS table_size, 'DB SIZE: ' || {_PRETTY_SQL.format(n='(b + c)')} AS db_size
+FROM d, o
+""")
 def volume_report(spark, sf_dir):
     size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long")
     rows = t(spark, sf_dir, "documents").agg(F.count("*").alias("n"), size.alias("b"))
@@ -113,12 +131,18 @@ def volume_report(spark, sf_dir):
 # CSV: what an export writes for each row, text in quotes and null as nothing
 
 
-@query("SELECT o_orderkey::VARCHAR || ',' || CASE WHEN o_orderstatus = 'P' THEN '' ELSE '\"' || o_orderstatus || '\"' END || ',' || '\"' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE replace(o_orderpriority, '-', '\"\"') END || '\"' AS value FROM orders WHERE o_orderkey % 2 = 0")
+@query("""
+SELECT o_orderkey::VARCHAR || ',' || CASE WHEN o_orderstatus = 'P' THEN '' ELSE '\"' || o_orderstatus || '\"' END || ',' || '\"' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE replace(o_orderpriority, '-', '\"\"') END || '\"' AS value
+FROM orders WHERE o_orderkey % 2 = 0
+""")
 def csv_export(spark, sf_dir):
     return delimited.lines(_with_gaps(spark, sf_dir).where("o_orderkey % 2 = 0"))
 
 
-@query("SELECT o_orderkey, NULLIF(o_orderstatus, 'P') AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE replace(o_orderpriority, '-', '\"') END AS o_orderpriority FROM orders")
+@query("""
+SELECT o_orderkey, NULLIF(o_orderstatus, 'P') AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE replace(o_orderpriority, '-', '\"') END AS o_orderpriority
+FROM orders
+""")
 def csv_round_trip(spark, sf_dir):
     path, df = staging(spark, "csv"), _with_gaps(spark, sf_dir)
     delimited.export(df, path)
@@ -177,7 +201,10 @@ def validate_counts(spark, sf_dir):
     return runner.validate_counts(_counts(spark, sf_dir), _counts(spark, sf_dir, _loaded).where("table_name <> 'events'"))
 
 
-@query(f"SELECT CAST(SUM(source_rows) AS BIGINT) AS source_total, CAST(SUM(target_rows) AS BIGINT) AS target_total, COUNT(*) FILTER (WHERE NOT matches) AS mismatches FROM ({_VALID_SQL})")
+@query(f"""
+SELECT CAST(SUM(source_rows) AS BIGINT) AS source_total, CAST(SUM(target_rows) AS BIGINT) AS target_total, COUNT(*) FILTER (WHERE NOT matches) AS mismatches
+FROM ({_VALID_SQL})
+""")
 def validate_totals(spark, sf_dir):
     return runner.validate_totals(validate_counts(spark, sf_dir))
 
@@ -218,7 +245,10 @@ def _changed(df: DataFrame) -> DataFrame:
     return df.withColumn("o_orderstatus", F.lit("X"))
 
 
-@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 4 < 2 THEN o_orderstatus ELSE 'X' END AS o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+@query("""
+SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 4 < 2 THEN o_orderstatus ELSE 'X' END AS o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
+FROM orders
+""")
 def load_upsert(spark, sf_dir):
     orders = t(spark, sf_dir, "orders")
     return strategies.upsert(orders.where("o_orderkey % 4 < 3"), _changed(orders.where("o_orderkey % 4 >= 2")), ["o_orderkey"])
@@ -356,6 +386,24 @@ def load_with_defaults(spark, sf_dir):
     return target.read("orders").drop("o_orderdate")
 
 
+@query("SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 'old' ELSE 'new' END AS origin, CAST(CASE WHEN o_orderkey % 2 = 1 THEN 1 END AS INTEGER) AS batch FROM orders")
+def alter_table(spark, sf_dir):
+    """Columns added to a loaded table: its rows have the default, later ones what they bring."""
+    store = _store(spark, "alter")
+    store.write("orders", _even(spark, sf_dir))
+    store.alter("orders", {}, [StructField("origin", StringType(), True, {"default": "'old'"}), StructField("batch", IntegerType())])
+    store.alter("orders", {"origin": {"default": "'new'"}})
+    store.append("orders", _odd(spark, sf_dir).withColumn("batch", F.lit(1)))
+    return store.read("orders")
+
+
+@query("SELECT * FROM orders WHERE 1 = 1 UNION ALL SELECT * FROM orders WHERE 1 = 0")
+def where_constant(spark, sf_dir):
+    """The filters of a load that takes everything and of one that takes nothing."""
+    orders = t(spark, sf_dir, "orders")
+    return strategies.where_filter(orders, "1 = 1").unionByName(strategies.where_filter(orders, "1 = 0"))
+
+
 @query("""
 WITH c AS (SELECT COUNT(*) FILTER (WHERE o_orderkey % 2 = 0) AS even, COUNT(*) FILTER (WHERE o_orderkey % 2 = 1) AS odd FROM orders)
 SELECT CAST(0 AS BIGINT) AS load, even AS ids, CAST(1 AS BIGINT) AS low, even AS high FROM c WHERE even > 0
@@ -468,7 +516,8 @@ def table_columns_of_data(spark, sf_dir):
 
 @query(f"WITH {_KEYS_CTE} SELECT table_name, array_to_string(columns, ', ') AS key_columns FROM k")
 def primary_key_columns(spark, sf_dir):
-    return introspection.primary_key_columns(_columns(spark, sf_dir), _declared(spark, sf_dir, "constraints"))
+    tables = catalog_source.read(spark, sf_dir, "tables", *_COUNTED)
+    return introspection.primary_key_columns(_columns(spark, sf_dir), _declared(spark, sf_dir, "constraints"), tables)
 
 
 @query(f"""
@@ -576,7 +625,10 @@ def check_values(spark, sf_dir):
     return constraints.check(t(spark, sf_dir, "orders"), "o_orderstatus IN ('F', 'O')")
 
 
-@query("SELECT 'o_orderkey' AS column_name, COUNT(*) FILTER (WHERE o_orderkey IS NULL) AS nulls FROM orders UNION ALL SELECT 'o_orderstatus', COUNT(*) FILTER (WHERE NULLIF(o_orderstatus, 'P') IS NULL) FROM orders")
+@query("""
+SELECT 'o_orderkey' AS column_name, COUNT(*) FILTER (WHERE o_orderkey IS NULL) AS nulls FROM orders
+UNION ALL SELECT 'o_orderstatus', COUNT(*) FILTER (WHERE NULLIF(o_orderstatus, 'P') IS NULL) FROM orders
+""")
 def check_not_null(spark, sf_dir):
     return constraints.not_null(t(spark, sf_dir, "orders").withColumn("o_orderstatus", F.expr("nullif(o_orderstatus, 'P')")), ["o_orderkey", "o_orderstatus"])
 
@@ -605,7 +657,10 @@ _ARRAY = "[md5(id::VARCHAR || 'a' || i::VARCHAR) FOR i IN range(1, 11)]"
 _JSON = "to_json({'id': id, " + ", ".join(f"'data{n}': {_md5(f'd{n}')}" for n in range(1, 6)) + f", 'array_data': {_ARRAY}, 'metadata': {{'created': '2024-01-01', 'updated': '2024-01-01', 'version': {_VERSION}}}}})::VARCHAR"
 
 
-@query(f"SELECT id, length(repeat({_md5('x')} || {_md5('y')}, 32)) AS n_chars, md5(repeat({_md5('x')} || {_md5('y')}, 32)) AS large_md5, {_JSON} AS json_data, lower(hex(unhex({_md5('b')} || {_md5('c')}))) AS binary_hex FROM {_IDS}")
+@query(f"""
+SELECT id, length(repeat({_md5('x')} || {_md5('y')}, 32)) AS n_chars, md5(repeat({_md5('x')} || {_md5('y')}, 32)) AS large_md5, {_JSON} AS json_data, lower(hex(unhex({_md5('b')} || {_md5('c')}))) AS binary_hex
+FROM {_IDS}
+""")
 def generate_rows(spark, sf_dir):
     g = datagen.generate(spark, t(spark, sf_dir, "part").count())
     return g.select("id", F.length("large_data").cast("long").alias("n_chars"), F.md5(F.col("large_data").cast("binary")).alias("large_md5"), "json_data", F.lower(F.hex("binary_data")).alias("binary_hex"))
@@ -614,7 +669,10 @@ def generate_rows(spark, sf_dir):
 _KEYED = "(SELECT o_orderkey AS id FROM orders)"
 
 
-@query(f"SELECT id, length(repeat({_md5('x')} || {_md5('y')}, 32)) AS n_chars, md5(repeat({_md5('x')} || {_md5('y')}, 32)) AS large_md5, md5({_JSON}) AS json_md5, lower(hex(unhex({_md5('b')} || {_md5('c')}))) AS binary_hex FROM {_KEYED}")
+@query(f"""
+SELECT id, length(repeat({_md5('x')} || {_md5('y')}, 32)) AS n_chars, md5(repeat({_md5('x')} || {_md5('y')}, 32)) AS large_md5, md5({_JSON}) AS json_md5, lower(hex(unhex({_md5('b')} || {_md5('c')}))) AS binary_hex
+FROM {_KEYED}
+""")
 def generate_rows_by_key(spark, sf_dir):
     """A generated row for each order, so the job grows with the data."""
     g = datagen.generate_for(_ids(spark, sf_dir))
@@ -658,7 +716,10 @@ def mask_dsn(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey", scalars.mask_dsn(dsn).alias("dsn"))
 
 
-@query(f"SELECT id, CASE WHEN s >= 3600 THEN (s // 3600)::VARCHAR || 'h ' || (s % 3600 // 60)::VARCHAR || 'm ' || (s % 60)::VARCHAR || 's' WHEN s >= 60 THEN (s // 60)::VARCHAR || 'm ' || (s % 60)::VARCHAR || 's' ELSE s::VARCHAR || 's' END AS duration FROM (SELECT id, id * 7 AS s FROM {_KEYED})")
+@query(f"""
+SELECT id, CASE WHEN s >= 3600 THEN (s // 3600)::VARCHAR || 'h ' || (s % 3600 // 60)::VARCHAR || 'm ' || (s % 60)::VARCHAR || 's' WHEN s >= 60 THEN (s // 60)::VARCHAR || 'm ' || (s % 60)::VARCHAR || 's' ELSE s::VARCHAR || 's' END AS duration
+FROM (SELECT id, id * 7 AS s FROM {_KEYED})
+""")
 def format_duration(spark, sf_dir):
     return _ids(spark, sf_dir).select("id", scalars.format_duration(F.col("id") * 7).alias("duration"))
 

@@ -1,8 +1,9 @@
-"""Schemas and catalog rows of the retail and shop databases."""
+"""Structure of the retail and shop databases."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+from pyspark.sql.types import StructField, StructType
 
 # Columns of the two databases, as Spark DDL.
 RETAIL = {
@@ -48,27 +49,53 @@ RETAIL_CONSTRAINTS = [
     ("product_categories", "product_categories_product_id_fkey", "f", ["product_id"], "products", "CASCADE"),
     ("product_categories", "product_categories_category_id_fkey", "f", ["category_id"], "categories", "CASCADE"),
 ]
-TABLES_SCHEMA = "table_schema string, table_name string, table_type string"
-COLUMNS_SCHEMA = "table_schema string, table_name string, column_name string, ordinal_position int, data_type string"
-CONSTRAINTS_SCHEMA = "table_name string, conname string, contype string, columns array<string>, ref_table string, on_delete string"
-
-
-def column_rows(schemas: dict[str, str]) -> list[tuple]:
-    return [("public", t, c.split()[0], n, c.split()[1]) for t, ddl in schemas.items() for n, c in enumerate(ddl.replace("(10,2)", "").replace("(8,3)", "").split(", "), 1)]
+# Most characters of texts, and defaults, by table.
+RETAIL_LENGTHS = {
+    "sellers": {"first_name": 50, "last_name": 50, "employee_id": 20, "position": 50},
+    "products": {"product_name": 100, "barcode": 50, "category": 50, "unit": 20},
+    "receipts": {"receipt_number": 20, "payment_method": 20, "store_number": 10},
+    "categories": {"category_name": 50},
+}
+SHOP_LENGTHS = {"users": {"email": 100, "name": 100, "status": 20}, "products": {"name": 200, "category": 50}, "orders": {"status": 20}}
+NOW = "localtimestamp()"
+RETAIL_DEFAULTS = {
+    "sellers": {"is_active": "true"}, "products": {"in_stock": "true", "created_at": NOW}, "receipts": {"created_at": NOW, "store_number": "'005'"},
+    "inventory": {"last_updated": NOW}, "categories": {"created_at": NOW}, "product_categories": {"is_primary": "false", "assigned_at": NOW},
+}
+SHOP_DEFAULTS = {
+    "users": {"created_at": NOW, "updated_at": NOW, "status": "'active'"}, "products": {"created_at": NOW},
+    "orders": {"quantity": "1", "status": "'pending'", "created_at": NOW},
+}
 
 
-def meta_tables(spark: SparkSession, schemas: dict[str, str]) -> DataFrame:
-    return spark.createDataFrame([("public", t, "BASE TABLE") for t in schemas], TABLES_SCHEMA)
+def structures(spark: SparkSession, schemas: dict[str, str], constraints: list[tuple], lengths: dict, defaults: dict) -> dict[str, StructType]:
+    """For each table its columns with what they promise, as ``structure`` has it. A column that is a
+    number of its own comes from the table's sequence where a load leaves it out."""
+    entries: dict = {t: {} for t in schemas}
+    for table, _, kind, columns, parent, on_delete in constraints:
+        for n, c in enumerate(columns, 1):
+            of = {"key": n} if kind == "p" else {"unique": True} if kind == "u" else {"references": f"{parent}.{_key(constraints, parent)}"}
+            entries[table].setdefault(c, {}).update(of | ({"cascade": True} if on_delete == "CASCADE" else {}))
+        if kind == "p" and len(columns) == 1:
+            entries[table][columns[0]]["sequence"] = f"{table}_{columns[0]}_seq"
+    out = {}
+    for table, ddl in schemas.items():
+        fields = []
+        for f in spark.createDataFrame([], ddl).schema:
+            more = {"not_null": True} if not f.nullable else {}
+            more |= {k: v[table][f.name] for k, v in (("length", lengths), ("default", defaults)) if f.name in v.get(table, {})}
+            fields.append(StructField(f.name, f.dataType, True, {**more, **entries[table].get(f.name, {})}))
+        out[table] = StructType(fields)
+    return out
 
 
-def meta_columns(spark: SparkSession, schemas: dict[str, str]) -> DataFrame:
-    return spark.createDataFrame(column_rows(schemas), COLUMNS_SCHEMA)
+def _key(constraints: list[tuple], table: str) -> str:
+    return next(columns[0] for t, _, kind, columns, *_ in constraints if t == table and kind == "p")
 
 
-def meta_constraints(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, CONSTRAINTS_SCHEMA)
+def retail(spark: SparkSession) -> dict[str, StructType]:
+    return structures(spark, RETAIL, RETAIL_CONSTRAINTS, RETAIL_LENGTHS, RETAIL_DEFAULTS)
 
 
-def edges(rows: list[tuple]) -> list[tuple[str, str]]:
-    """(child, parent) of foreign keys between different tables."""
-    return sorted({(r[0], r[4]) for r in rows if r[2] == "f" and r[0] != r[4]})
+def shop(spark: SparkSession) -> dict[str, StructType]:
+    return structures(spark, SHOP, SHOP_CONSTRAINTS, SHOP_LENGTHS, SHOP_DEFAULTS)

@@ -7,9 +7,9 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DecimalType, TimestampNTZType
+from pyspark.sql.types import DateType, DecimalType, StructType, TimestampNTZType
 
-from .catalog import RETAIL, SHOP
+from . import catalog, structure
 
 # The rows as they are inserted, without serial numbers and defaults.
 SELLERS = """Иван|Петров|EMP001|Кассир|2022-01-15|true
@@ -104,20 +104,20 @@ Office Chair|199.99|furniture"""
 ORDERS = """1|1|1|1299.99|completed
 1|2|2|71.00|completed
 2|3|1|199.99|shipped"""
-# For each table its rows, whether they are numbered, the columns that they give, and defaults of others ("now": the time of the load).
+# For each table its rows, whether they are numbered, and the columns that they give; the others have defaults.
 _RETAIL = {
-    "sellers": (SELLERS, True, "first_name last_name employee_id position hire_date is_active", {}),
-    "products": (PRODUCTS, True, "product_name barcode category price unit in_stock", {"created_at": "now"}),
-    "receipts": (RECEIPTS, True, "receipt_number seller_id total_amount payment_method created_at", {"store_number": "005"}),
-    "receipt_items": (RECEIPT_ITEMS, True, "receipt_id product_id quantity unit_price total_price", {}),
-    "inventory": (INVENTORY, True, "product_id current_stock min_stock_level", {"last_updated": "now"}),
-    "categories": (CATEGORIES, True, "category_name parent_category_id description", {"created_at": "now"}),
-    "product_categories": (PRODUCT_CATEGORIES, False, "product_id category_id is_primary", {"assigned_at": "now"}),
+    "sellers": (SELLERS, True, "first_name last_name employee_id position hire_date is_active"),
+    "products": (PRODUCTS, True, "product_name barcode category price unit in_stock"),
+    "receipts": (RECEIPTS, True, "receipt_number seller_id total_amount payment_method created_at"),
+    "receipt_items": (RECEIPT_ITEMS, True, "receipt_id product_id quantity unit_price total_price"),
+    "inventory": (INVENTORY, True, "product_id current_stock min_stock_level"),
+    "categories": (CATEGORIES, True, "category_name parent_category_id description"),
+    "product_categories": (PRODUCT_CATEGORIES, False, "product_id category_id is_primary"),
 }
 _SHOP = {
-    "users": (USERS, True, "email name created_at updated_at", {"status": "active"}),
-    "products": (SHOP_PRODUCTS, True, "name price category", {"created_at": "now"}),
-    "orders": (ORDERS, True, "user_id product_id quantity amount status", {"created_at": "now"}),
+    "users": (USERS, True, "email name created_at updated_at"),
+    "products": (SHOP_PRODUCTS, True, "name price category"),
+    "orders": (ORDERS, True, "user_id product_id quantity amount status"),
 }
 
 
@@ -134,27 +134,27 @@ def _value(text: str, kind):
     return {"boolean": lambda: text == "true", "int": lambda: int(text)}.get(kind.simpleString(), lambda: text)()
 
 
-def _tables(spark: SparkSession, seeds: dict, schemas: dict[str, str], now: datetime | None) -> dict[str, DataFrame]:
+def _tables(spark: SparkSession, seeds: dict, shapes: dict[str, StructType], now: datetime | None) -> dict[str, DataFrame]:
     out = {}
-    for name, (lines, serial, columns, defaults) in seeds.items():
-        schema = spark.createDataFrame([], schemas[name]).schema
-        given = ([schema.fieldNames()[0]] if serial else []) + columns.split()
+    for name, (lines, serial, columns) in seeds.items():
+        shape = shapes[name]
+        given = ([shape.fieldNames()[0]] if serial else []) + columns.split()
         rows = []
         for n, line in enumerate(lines.split("\n"), 1):
             fields = ([str(n)] if serial else []) + line.split("|")
-            rows.append(tuple(_value(x, schema[c].dataType) for c, x in zip(given, fields, strict=True)))
-        df = spark.createDataFrame(rows, type(schema)([schema[c] for c in given]))
-        time = F.lit(now).cast("timestamp_ntz") if now else F.localtimestamp()
-        df = df.withColumns({c: time if v == "now" else F.lit(v) for c, v in defaults.items()})
-        out[name] = df.select(*schema.fieldNames())
+            rows.append(tuple(_value(x, shape[c].dataType) for c, x in zip(given, fields, strict=True)))
+        df = spark.createDataFrame(rows, StructType([shape[c] for c in given]))
+        if now:
+            df = df.withColumns({f.name: F.lit(now).cast("timestamp_ntz") for f in shape if f.metadata.get("default") == catalog.NOW and f.name not in given})
+        out[name] = structure.conform(df, shape)
     return out
 
 
 def retail(spark: SparkSession, now: datetime | None = None) -> dict[str, DataFrame]:
-    """The seven retail tables; ``now`` stands for the time of the load."""
-    return _tables(spark, _RETAIL, RETAIL, now)
+    """The seven retail tables with their structure; ``now`` stands for the time of the load."""
+    return _tables(spark, _RETAIL, catalog.retail(spark), now)
 
 
 def shop(spark: SparkSession, now: datetime | None = None) -> dict[str, DataFrame]:
-    """The three shop tables."""
-    return _tables(spark, _SHOP, SHOP, now)
+    """The three shop tables with their structure."""
+    return _tables(spark, _SHOP, catalog.shop(spark), now)

@@ -13,16 +13,19 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, VariantType
+from pyspark.sql.types import MapType, StructField, StructType, VariantType
 
 from . import structure
 
 #: Directories of key ranges within what one load wrote.
 SLICE = "__slice"
+#: Keys that are looked up one by one, through the Bloom filters and page indexes of the files; more are looked up by their range.
+LOOKED_UP = 200
 
 
 _made: list[str] = []
@@ -138,22 +141,25 @@ class Store:
         if not self._publish("\n".join(parts), f"{self.path}/{table}/_pending-{uuid.uuid4().hex}", f"{self.path}/{table}/current-{number:012d}"):
             raise RuntimeError(f"another load has changed {table}")
 
-    def _part(self, table: str, df: DataFrame, keys: Sequence[str] = (), seen: Observation | None = None) -> list[str]:
+    def _part(self, table: str, df: DataFrame, keys: Sequence[str] = (), seen: Observation | None = None, filtered: Sequence[str] = ()) -> list[str]:
         """Parts with these rows: one, or with keys one for each range of them, as many as Spark makes
-        of a shuffle's partitions for their bytes. ``seen`` gets rows and checksum of what is written."""
+        of a shuffle's partitions for their bytes. ``seen`` gets rows and checksum of what is written.
+        Files have Bloom filters on the keys, on those ``filtered``, or on the key that the table declares."""
         name = f"p-{uuid.uuid4().hex}"
         path = f"{self.path}/{table}/{name}"
         if keys:
             df = df.repartitionByRange(*[structure.col(k) for k in keys])
+        blooms = {f"parquet.bloom.filter.enabled#{k}": "true" for k in keys or filtered or structure.keys(df.schema)}
+        blooms |= {"parquet.bloom.filter.adaptive.enabled": "true"} if blooms else {}
         watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), checksum(df).alias("checksum")) if seen else df
         if keys:
-            watched.withColumn(SLICE, F.spark_partition_id()).write.partitionBy(SLICE).parquet(path)
+            watched.withColumn(SLICE, F.spark_partition_id()).write.options(**blooms).partitionBy(SLICE).parquet(path)
             fs, p = self._fs(path)
             slices = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
             if slices:
                 return [f"{name}/{s}" for s in slices]
             watched = df.limit(0)  # no rows, so no slice that holds the columns
-        watched.write.mode("append").parquet(path)
+        watched.write.options(**blooms).mode("append").parquet(path)
         return [name]
 
     def _typed(self, table: str, df: DataFrame, add: bool = False) -> DataFrame:
@@ -179,17 +185,38 @@ class Store:
         after, parts = self._pointers(table)[-1], self.parts(table)
         self._point(table, [*parts, *self._part(table, self._typed(table, df, add), keys)], after)
 
+    def near(self, table: str, changes: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+        """Rows of the table among which all are that have a key of the changes; None: there are none.
+
+        A few keys are looked up by value: files, row groups and pages whose statistics or Bloom filter
+        exclude them all are not read. Of more, only what reaches into the range of the first key.
+        """
+        first, whole = keys[0], self.read(table)
+        few = [r[0] for r in changes.select(first).limit(LOOKED_UP + 1).collect()]
+        if len(few) <= LOOKED_UP:
+            few = {v for v in few if v is not None}
+            return whole.where(F.col(first).isin(*few)) if few else None
+        low, high = changes.dropna(subset=list(keys)).agg(F.min(first), F.max(first)).first()
+        return None if low is None else whole.where(F.col(first).between(F.lit(low), F.lit(high)))
+
+    @contextmanager
+    def _values_pushed(self) -> Iterator[None]:
+        """Lists of values reach the files as they are, not as their range."""
+        name = "spark.sql.parquet.pushdown.inFilterThreshold"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, str(max(int(before), LOOKED_UP)))
+        yield
+
     def _touched(self, table: str, changes: DataFrame, keys: Sequence[str]) -> dict[str, int]:
         """Parts in which a key of the changes occurs, and how many of their rows have one. Only keys are
-        read, and of those only row groups that reach into the range of the changes' first key."""
-        first = keys[0]
-        low, high = changes.dropna(subset=list(keys)).agg(F.min(first), F.max(first)).first()
-        if low is None:
+        read, of what is ``near``."""
+        near = self.near(table, changes, keys)
+        if near is None:
             return {}
         part = F.regexp_extract("_metadata.file_path", f"/(p-[0-9a-f]+(/{SLICE}=[0-9]+)?)/[^/]+$", 1).alias("__part")
-        there = self.read(table).where(F.col(first).between(F.lit(low), F.lit(high))).select(*keys, part)
-        found = there.join(changes.select(*keys), list(keys), "left_semi").groupBy("__part").count()
-        return {r[0]: r[1] for r in found.collect()}  # some of the names that the pointer lists
+        found = near.select(*keys, part).join(changes.select(*keys), list(keys), "left_semi").groupBy("__part").count()
+        with self._values_pushed():
+            return {r[0]: r[1] for r in found.collect()}  # some of the names that the pointer lists
 
     def _of_parts(self, table: str, parts: Sequence[str]) -> DataFrame:
         """Rows of some parts, with the table's columns."""
@@ -203,7 +230,20 @@ class Store:
         changes = self._typed(table, changes)
         touched = self._touched(table, changes, keys)
         old = self._of_parts(table, [p for p in parts if p in touched])
-        self._point(table, [*(p for p in parts if p not in touched), *self._part(table, combine(old, changes), keys)], after)
+        new = structure.declare(combine(old, changes), {f.name: f.metadata for f in old.schema})
+        self._point(table, [*(p for p in parts if p not in touched), *self._part(table, new, keys)], after)
+
+    def alter(self, table: str, entries: dict[str, dict], add: Sequence[StructField] = ()) -> None:
+        """Columns promise something else (an entry of None is taken back), and columns are added; no
+        row is rewritten or checked. Rows that are there have an added column's default, which has to
+        be constant, or null."""
+        after, parts, shape = self._pointers(table)[-1], self.parts(table), self.read(table).schema
+        if unknown := set(entries) - set(shape.names):
+            raise structure.ColumnMismatch(f"there is no column {', '.join(sorted(unknown))}")
+        changed = [StructField(f.name, f.dataType, True, {k: v for k, v in {**f.metadata, **entries.get(f.name, {})}.items() if v is not None}) for f in shape]
+        more = [StructField(f.name, f.dataType, True, {**f.metadata, **({"EXISTS_DEFAULT": f.metadata["default"]} if "default" in f.metadata else {})}) for f in add]
+        empty = self.spark.createDataFrame([], StructType(changed + more))
+        self._point(table, [*parts, *self._part(table, empty)], after)
 
     def keys(self, table: str) -> list[str]:
         """Columns of the primary key that the table declares."""

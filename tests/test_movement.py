@@ -352,6 +352,39 @@ def test_loads_by_whole_keys_and_what_a_failed_one_leaves(spark, tmp_path):
     assert {p.name for p in (tmp_path / "s" / "t").iterdir() if p.name.startswith("p-")} == before
 
 
+def rows_read(spark, action):
+    """Rows that the stages of an action have read from files."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    none = sc._gateway.new_array(jvm.double, 0)
+    stages = lambda: store.stageList(None, False, False, none, jvm.java.util.ArrayList())
+    known = {stages().apply(k).stageId() for k in range(stages().size())}
+    out = action()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    now = stages()
+    return out, sum(now.apply(k).inputRecords() for k in range(now.size()) if now.apply(k).stageId() not in known)
+
+
+def test_a_few_keys_are_looked_up_without_reading_the_others(spark, tmp_path):
+    """Parts whose ranges all overlap: statistics exclude none of them, Bloom filters nearly all."""
+    store, n = Store(spark, str(tmp_path / "s")), 20_000
+    shape = structure.declare(spark.range(0), {"id": {"key": 1}})
+    store.write("t", shape)
+    for k in range(6):
+        store.append("t", spark.range(n).select((F.col("id") * 12 + 2 * k).alias("id")).coalesce(1))
+    changes = spark.createDataFrame([(12 * 77 + 4,), (12 * 15_000 + 4,), (7,), (None,)], "id long").coalesce(1)
+    touched, read = rows_read(spark, lambda: store._touched("t", changes, ["id"]))
+    assert list(touched.values()) == [2] and list(touched) == store.parts("t")[3:4]
+    assert n <= read < 2 * n  # of 6 n rows
+    many = spark.range(3, 12 * n, 12 * n // 300).toDF("id")
+    (touched, read) = rows_read(spark, lambda: store._touched("t", many, ["id"]))
+    assert sum(touched.values()) == 0 or read >= 5 * n
+    loaded, read = rows_read(spark, lambda: loads.load(store, "t", spark.createDataFrame([(5,)], "id long"), "append", ["id"]))
+    assert loaded.rows == 1 and read < n
+    with pytest.raises(strategies.KeyConflict):
+        loads.load(store, "t", spark.createDataFrame([(12 * 77 + 4,)], "id long"), "append", ["id"])
+
+
 # Structure
 
 
@@ -379,6 +412,48 @@ def test_a_clone_refuses_nulls_and_fills_defaults(spark, tmp_path):
         structure.declare(target.read("t"), {"none": {}})
 
 
+def test_the_reference_tables_declare_what_they_promise(spark, tmp_path):
+    from millrace.sources import catalog, seeds
+
+    store = Store(spark, str(tmp_path / "s"))
+    for t, df in (seeds.shop(spark) | {"categories": seeds.retail(spark)["categories"]}).items():
+        store.write(t, df)
+    assert store.keys("orders") == ["id"] and store.references("orders") == [("product_id", "products", "id"), ("user_id", "users", "id")]
+    assert store.references("categories") == [("parent_category_id", "categories", "category_id")]
+    found = catalog_source.read(spark, store.path, "columns", "orders").where("column_name = 'status'").first()
+    assert (found.column_default, found.max_length, found.is_nullable) == ("'pending'", 20, True)
+    Sequence(store, "users_id_seq").take(3)  # for the rows that are there
+    new = table(spark, [("dan@example.com",)], "email string").withColumn("name", F.lit("Dan"))
+    loads.load(store, "users", new, "append", ["id"])
+    row = store.read("users").where("name = 'Dan'").first()
+    assert (row.id, row.status) == (4, "active") and row.created_at is not None
+    with pytest.raises(Exception):  # longer than the column
+        store.append("users", table(spark, [(5, "x" * 101)], "id int, email string").withColumn("name", F.lit("x")))
+    assert catalog.retail(spark)["product_categories"]["category_id"].metadata["cascade"] is True
+
+
+def test_alter_and_merge_keep_structure(spark, tmp_path):
+    from pyspark.sql.types import IntegerType, StringType, StructField
+
+    store = Store(spark, str(tmp_path / "s"))
+    store.write("t", structure.declare(table(spark, [(1, "a")]), SHOP))
+    store.alter("t", {"v": {"not_null": None, "comment": "was needed"}}, [StructField("w", IntegerType(), True, {"default": "7"}), StructField("x", StringType())])
+    assert got(store.read("t")) == [(1, "a", 7, None)]
+    store.alter("t", {"w": {"default": "8"}})
+    store.append("t", table(spark, [(2, None)]).withColumn("x", F.lit("y")))
+    assert got(store.read("t")) == sorted([(1, "a", 7, None), (2, None, 8, "y")], key=repr)
+    up = lambda old, new: strategies.upsert(old, new, ["id"]).groupBy("id").agg(*[F.first(c).alias(c) for c in ("v", "w", "x")])
+    store.merge("t", table(spark, [(1, "b", 1, "z")], "id int, v string, w int, x string"), ["id"], up)
+    assert got(store.read("t")) == sorted([(1, "b", 1, "z"), (2, None, 8, "y")], key=repr)
+    assert store.keys("t") == ["id"] and store.read("t").schema["v"].metadata == {"length": 5, "default": "'new'", "comment": "was needed"}
+    with pytest.raises(ColumnMismatch):
+        store.alter("t", {"none": {}})
+    target = Store(spark, str(tmp_path / "b"))
+    store.create("n", structure.declare(table(spark, []), {"id": {"sequence": "n_seq"}}).schema)
+    Sequence(store, "n_seq").take(41)
+    assert runner.run(spark, runner.Config(store.path, target.path, "full")).ok and Sequence(target, "n_seq").last() == 41
+
+
 # Backups
 
 
@@ -417,3 +492,15 @@ def test_of_two_loads_at_a_time_one_fails(spark, tmp_path):
     for x in threads:
         x.join()
     assert len(failed) == 3 and store.count("t") == 1
+
+
+@pytest.mark.parametrize("mode", MODES)
+def test_loads_of_nothing(spark, tmp_path, mode):
+    source, target = Store(spark, str(tmp_path / "a")), Store(spark, str(tmp_path / "b"))
+    source.write("t", table(spark, [(1, "a")]))
+    source.write("none", table(spark, []))
+    target.write("t", table(spark, [(5, "e")]))
+    config = runner.Config(source.path, target.path, mode, keys={"t": ["id"], "none": ["id", "v"]}, where={"t": "1 = 0"})
+    report = runner.run(spark, config)
+    assert report.ok and [report.tables[t]["rows"] for t in ("t", "none")] == [0, 0] and report.values == {"t": True, "none": True}
+    assert got(target.read("t")) == ([] if mode == "full" else [(5, "e")]) and target.count("none") == 0
