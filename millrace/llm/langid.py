@@ -255,10 +255,10 @@ def train(docs: DataFrame, tokenizer_path: str, max_train_docs: int = 1500, max_
     ids, texts and languages teach nothing.
     """
     d = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= max_train_chars) & (remainder("doc_id", folds) != held))
-    langs = d.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids"))
+    langs = d.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("ids"), "lang").limit(max_train_docs)
     share = -(-max_train_docs // max(langs.count(), 1))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    few = d.join(langs, "lang").where(place * F.col("ids") < 4 * share).select("lang", "doc_id", place.alias("place")).distinct()
+    few = d.join(F.broadcast(langs), "lang").where(place * F.col("ids") < 4 * share).select("lang", "doc_id", place.alias("place")).distinct()
     of_lang = Window.partitionBy("lang").orderBy("place", "doc_id")  # about four times as many as are taken
     few = few.withColumn("n", F.row_number().over(of_lang)).where(F.col("n") <= share)
     ids = sorted({r[0] for r in few.orderBy("n", "place", "doc_id").limit(max_train_docs).select("doc_id").collect()})
