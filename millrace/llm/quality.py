@@ -66,11 +66,14 @@ _GRAM = ((np.arange(1 << 15, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >
 
 def _grams(b: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Passages x hashed trigrams, how often each occurs, at most 255."""
-    n = len(cuts) - 1
-    c = _CLASS[b]
-    k = (c[:-2] << 10) | (c[1:-1] << 5) | c[2:]
-    own = np.repeat(np.arange(n), np.diff(cuts))[: len(k)]
-    return np.minimum(np.bincount(own * N_GRAMS + _GRAM[k], minlength=n * N_GRAMS), 255).astype(np.uint8).reshape(n, N_GRAMS)
+    out = np.zeros((len(cuts) - 1, N_GRAMS), np.uint8)
+    for k in range(0, len(out), 256):  # passages at a time, as counts are large before they are cut to a byte
+        size = np.diff(cuts[k : k + 257])
+        c = _CLASS[b[cuts[k] : cuts[min(k + 256, len(out))] + 2]]  # and the two letters after them
+        gram = _GRAM[(c[:-2] << 10) | (c[1:-1] << 5) | c[2:]]
+        own = np.repeat(np.arange(len(size)), size)[: len(gram)]
+        out[k : k + 256] = np.minimum(np.bincount(own * N_GRAMS + gram[: len(own)], minlength=len(size) * N_GRAMS), 255).reshape(-1, N_GRAMS)
+    return out
 
 
 def dense(looks: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -193,7 +196,7 @@ class Model:
             own.append(k)
             bags.append(bag)
             held += len(bag)
-            if held >= 4000:
+            if held >= 1000:
                 add(own, bags)
                 own, bags, held = [], [], 0
         if own:

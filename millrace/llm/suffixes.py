@@ -34,7 +34,7 @@ from .common import keeps_nothing, numbered, saved, table, text_bytes
 LENGTH = 100
 ANCHOR = 32
 #: Window starts of a text that are looked at together, and text that is folded together.
-PIECE, FOLDED = 1 << 19, 1 << 24
+PIECE, FOLDED = 1 << 19, 12 << 20
 #: Contexts of an anchor beyond which its windows are dealt out.
 CAP = 2000
 _U = np.uint64
