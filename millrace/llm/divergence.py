@@ -112,10 +112,10 @@ def counted(docs: DataFrame, block: int = TEXT_BLOCK) -> DataFrame:
     return docs.select(text("lang"), text("source"), text("text")).mapInArrow(run, COUNTS)
 
 
-_ADD = "SELECT lang, term, source, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(docs) AS BIGINT) AS docs FROM block GROUP BY ALL"
-_KEEP = """
-SELECT lang, term, list(source ORDER BY source) AS sources, list(n ORDER BY source) AS counts FROM added
-WHERE ({}) GROUP BY lang, term HAVING term = '' OR SUM(docs) >= {}
+_ADD = "SELECT lang, term, source, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(docs) AS BIGINT) AS docs FROM {} GROUP BY ALL"
+_KEEP = f"""
+SELECT lang, term, list(source ORDER BY source) AS sources, list(n ORDER BY source) AS counts FROM ({_ADD.format("added")})
+GROUP BY lang, term HAVING term = '' OR SUM(docs) >= {{}}
 """
 
 
@@ -123,39 +123,38 @@ def kept(counts: DataFrame, shards: int, least: int = KEPT_FROM, block: int = RO
     """KEPT: a row for each kept term of a language, and one for the empty term, whose sources are all
     groups of the language.
 
-    A shard's rows come sorted by term and are added block by block; what is carried from one block
-    to the next is the last term's sums, a row for each source.
+    A shard's rows are added block by block, and what has been added is added up anew whenever it has
+    doubled, so that a shard holds about twice its different counts, however often a term was counted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = _engine()
-        schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+        con.execute("CREATE TABLE added (lang VARCHAR, term VARCHAR, source VARCHAR, n BIGINT, docs BIGINT)")
         out = pa.schema([("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-        held: list[pa.RecordBatch] = []
+        held, rows, most = [], 0, 4 * block
 
-        def add(last: bool) -> Iterator[pa.RecordBatch]:
-            con.register("block", pa.Table.from_batches(held, schema))
-            con.execute(f"CREATE OR REPLACE TABLE added AS {_ADD}")
+        def add() -> int:
+            con.register("block", pa.Table.from_batches(held))
+            con.execute(f"INSERT INTO added {_ADD.format('block')}")
             con.unregister("block")
-            end = "true"
             held.clear()
-            if not last:
-                con.execute("CREATE OR REPLACE TABLE ending AS SELECT lang, term FROM added ORDER BY lang DESC, term DESC LIMIT 1")
-                end = "(lang, term) <> (SELECT (lang, term) FROM ending)"
-                held.extend(_arrow(con, f"SELECT lang, term, source, n, docs FROM added WHERE NOT ({end})").cast(schema).to_batches())
-            yield from _arrow(con, _KEEP.format(end, least)).cast(out).to_batches()
+            return con.execute("SELECT COUNT(*) FROM added").fetchall()[0][0]
 
-        rows = 0
         for b in batches:
-            held.append(pa.RecordBatch.from_arrays([b.column(n) for n in schema.names], schema=schema))
+            held.append(b)
             rows += b.num_rows
             if rows >= block:
-                yield from add(False)
                 rows = 0
+                if add() > most:
+                    con.execute(f"CREATE TABLE anew AS {_ADD.format('added')}")
+                    con.execute("DROP TABLE added")
+                    con.execute("ALTER TABLE anew RENAME TO added")
+                    most = max(4 * block, 2 * con.execute("SELECT COUNT(*) FROM added").fetchall()[0][0])
         if held:
-            yield from add(True)
+            add()
+        yield from _arrow(con, _KEEP.format(least)).cast(out).to_batches()
 
-    return counts.repartition(shards, "lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, KEPT)
+    return counts.repartition(shards, "lang", "term").mapInArrow(run, KEPT)
 
 
 _P = f"CAST(1 + (CAST({SCALE} AS HUGEINT) * ({{n}} + 2)) // ({{total}} + 2 * CAST({{v}} AS HUGEINT)) AS BIGINT)"
@@ -208,7 +207,7 @@ def audit(docs: DataFrame, shards: int | None = None, shard_rows: int = SHARD) -
     summed 256 by 256, so a shard's memory does not grow with their number; the work, like the
     result, grows with its square.
     """
-    rows = saved(kept(counted(docs), shards or partitions_for(docs)), "kept")
+    rows = saved(kept(counted(docs), shards or 2 * partitions_for(docs)), "kept")
     words = rows.where("term <> ''")
     per_lang = words.groupBy("lang").agg(F.count("*").alias("v"))
     each = words.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.counts").alias("total"))

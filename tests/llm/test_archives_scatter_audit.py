@@ -207,7 +207,7 @@ def test_divergence(spark):
 
 
 def test_divergence_in_small_blocks(spark):
-    """Texts counted part by part, and sums of a term carried from block to block."""
+    """Texts counted part by part, and counts added block by block and anew."""
     d = spark.createDataFrame([(*r, "t", 1, 2) for r in odd_documents()], DOCS)
     plain, parts = divergence.counted(d), divergence.counted(d, block=50)
     add = lambda df: Counter({(r.lang, r.source, r.term): (r.n, r.docs) for r in df.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).collect()})
