@@ -13,7 +13,8 @@
    Of contexts with the same bytes only the first is sorted, the others repeat it.
    The windows of an anchor with more than ``cap`` contexts, which differ between map tasks or are
    very many, are not sorted: of each window's bytes the earliest place is found by an aggregate
-   that map tasks begin, and all its other places are repeats. No task gets them all.
+   that map tasks begin. These places go to their documents, whose other windows of such contexts
+   are repeats. No task gets all windows, and repeats are never rows of their own.
 3. The repeats of each document are merged and cut out.
 
 Work and data moved are linear in the text: about one row of four numbers for 35 bytes, and the
@@ -35,8 +36,9 @@ LENGTH = 100
 ANCHOR = 32
 #: Window starts of a text that are looked at together, and text that is folded together.
 PIECE, FOLDED = 1 << 19, 12 << 20
-#: Contexts of an anchor beyond which its windows are dealt out.
-CAP = 2000
+#: Contexts of an anchor beyond which its windows are dealt out, and windows of whole documents that
+#: are then held against the first ones together.
+CAP, WINDOWS = 2000, 1 << 20
 _U = np.uint64
 BASE, BASE2 = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95)
 
@@ -422,12 +424,35 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch(out)
 
 
+def _not_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document (rid, packed places of contexts, places of windows that no other comes before):
+    the spans of all other windows of these contexts."""
+    keeps_nothing("suffixes")
+    for b in batches:
+        rid, of = b.column(0).to_numpy(), np.arange(b.num_rows)
+        at, left, right = _unpack(b.column(1).flatten().to_numpy())
+        ctx, first = (np.repeat(of, b.column(k).value_lengths().to_numpy()) for k in (1, 2))
+        x, count = b.column(2).flatten().to_numpy(), left + right + 1
+        part = np.cumsum(np.bincount(ctx, count, len(of))) // WINDOWS  # documents that are looked at together
+        for k in np.unique(part):
+            own = np.flatnonzero(part[ctx] == k)
+            n = count[own]
+            place = np.arange(n.sum()) + np.repeat((at - left)[own] - np.cumsum(n) + n, n)
+            row, mine = np.repeat(ctx[own], n), part[first] == k
+            far = max(place.max(initial=0), x.max(initial=0)) + 1
+            again = ~np.isin(row * far + place, first[mine] * far + x[mine])
+            r, s, e = merged(row[again], place[again], place[again] + LENGTH)
+            yield pa.record_batch([pa.array(c) for c in (rid[r], s, e)], ["rid", "x", "y"])
+
+
 def _crowded_repeats(docs: DataFrame, places: DataFrame) -> DataFrame:
     """Spans of windows that occurred before, for anchors with many contexts: places (rid, c)."""
     asked = places.groupBy("rid").agg(F.collect_list("c").alias("asked"))  # a document's own
-    found = saved(docs.join(asked, "rid").select("text", "rid", "asked").mapInArrow(_windows, "rid long, x long, bytes binary"), "windows")
-    first = found.groupBy("bytes").agg(F.min(F.struct("rid", "x")).alias("f")).select("f.*")
-    return found.select("rid", "x").join(first, ["rid", "x"], "left_anti").select("rid", "x", (F.col("x") + LENGTH).alias("y"))
+    found = docs.join(asked, "rid").select("text", "rid", "asked").mapInArrow(_windows, "rid long, x long, bytes binary")
+    first = found.groupBy("bytes").agg(F.min(F.struct("rid", "x")).alias("f")).select("f.rid", F.lit(None).cast("long").alias("place"), F.col("f.x").alias("first"))
+    both = places.select("rid", F.col("c.x").alias("place"), F.lit(None).cast("long").alias("first")).unionByName(first)
+    own = both.groupBy("rid").agg(F.collect_list("place"), F.collect_list("first"))  # a document's own
+    return own.mapInArrow(_not_first, "rid long, x long, y long")
 
 
 def repeats(docs: DataFrame, cap: int = CAP) -> DataFrame:

@@ -105,6 +105,23 @@ def test_suffixes(spark, docs, none):
     assert [tuple(r) for r in suffixes.cut_texts(names).collect()] == [(1, "a", 1, 2, 3, 299)]
 
 
+def test_crowded_repeats_are_spans_of_documents(spark, monkeypatch):
+    """Windows of crowded anchors: their repeats are spans of a document, not a row and a join for each."""
+    r = random.Random(5)
+    line = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    shared, copy = line(400), line(300)
+    rows = [(i, line(60 + i) + shared + line(40)) for i in range(30)] + [(100 + i, copy) for i in range(30)] + [(200, (line(80) + shared) * 3), (201, None)]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string").repartition(16), brute_repeats(rows)
+    monkeypatch.setattr(suffixes, "WINDOWS", 700)
+    tables, saved = [], suffixes.saved
+    monkeypatch.setattr(suffixes, "saved", lambda df, name="data": tables.append((name, saved(df, name))) or tables[-1][1])
+    got = by_id(suffixes.deduplicate(docs, 1))
+    assert {i: (bytes(x.kept), x.n_bytes, x.n_removed, x.n_spans) for i, x in got.items()} == want
+    counts = [df.count() for name, df in tables if df.columns == ["rid", "x", "y"]]
+    assert 30 < sum(w[2] > 0 for w in want.values()) and counts[-1] <= 2 * len(rows)  # of 7740 windows
+    assert "windows" not in [name for name, _ in tables]
+
+
 def test_tokens(spark, docs, none, tmp_path):
     lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     out = str(tmp_path / "orc")
