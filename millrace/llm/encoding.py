@@ -4,15 +4,17 @@ Pre-tokenisation never lets a token span a space that follows a non-blank charac
 ids are those of its parts between such spaces. Before that the library cuts out the strings of
 added tokens (``<|endoftext|>``), which is done here alike. A part of ASCII and Latin-1 letters, which the
 normaliser leaves composed, is cut into the vocabulary's words, and the library's model encodes
-each word that is new; a part with any other character goes to the library whole. Parts and words
-are kept per worker in tables of bounded size, as little-endian unsigned 32-bit ids; a text is then
-a join of kept bytes.
+each word that is new; a part with any other character goes to the library whole. A new part of
+letters only is one word; letters before marks, and what a line break parts, are looked up as parts
+themselves. Parts and other words are kept per worker in tables of bounded size, as little-endian
+unsigned 32-bit ids; a text is then a join of kept bytes.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -31,10 +33,18 @@ _OTHER = re.compile(rf"[^\x00-\x7f{_LATIN}]")
 _HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
 _WRITTEN = "".join(chr(256 + _HIDDEN.index(b) if b in _HIDDEN else b) for b in range(256))
 _SPACE = _WRITTEN[0x20]
-KEPT = 500_000
+_LETTERS = {n: chr(n).encode().decode("latin-1").translate(_WRITTEN) for n in range(0xC0, 0x100) if chr(n).isalpha()}
+KEPT, KEPT_WORDS = 800_000, 200_000
 LONGEST_KEPT = 64
 
 
+def _after_blank(text: str) -> bool:
+    """Whether a space follows white space; of printable characters only the space is some."""
+    if "  " in text or "\n " in text:
+        return True
+    return not text.replace("\n", "").isprintable() and bool(_AFTER_BLANK.search(text))
+
+
 def portions(texts: Iterable[str | None], size: int = 2_000_000) -> Iterator[list[str]]:
     """Texts (null: empty) in lists of about ``size`` characters, so memory is bounded."""
     part, held = [], 0
@@ -52,14 +62,14 @@ class _Table(dict):
     """Ids by string, made by ``make`` when first asked for. A full table forgets its newest half:
     what is frequent is met early, so that stays."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, kept: int):
+        self.make, self.kept = make, kept
 
     def __missing__(self, key: str | tuple[str]) -> bytes:
         ids = self.make(key)
         if len(ids) <= 4 * LONGEST_KEPT and len(key) <= LONGEST_KEPT:  # a tuple's string is bounded by its ids
-            if len(self) >= KEPT:
-                for _ in range(KEPT // 2):
+            if len(self) >= self.kept:
+                for _ in range(self.kept // 2):
                     self.popitem()
             self[key] = ids
         return ids
@@ -79,7 +89,8 @@ class Encoder:
         self.added = {t.content: array("I", [n]).tobytes() for n, t in added.items()}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.split_added = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split if self.added else None
-        self.parts, self.words = _Table(self.part), _Table(self.word)
+        self.before = _SPACE if kind == "byte" else ""
+        self.parts, self.words = _Table(self.part, KEPT), _Table(self.word, KEPT_WORDS)
         self.look, self.find, self.tokenize = self.words.__getitem__, _WORDS[kind].findall, self.tokenizer.model.tokenize
 
     def word(self, word: str) -> bytes:
@@ -90,6 +101,17 @@ class Encoder:
         return array("I", [t.id for t in self.tokenize(written)]).tobytes()
 
     def part(self, key: str | tuple[str]) -> bytes:
+        if key.__class__ is str and (key.isascii() or not _OTHER.search(key)):
+            if key.isalpha():  # one word
+                key = key if self.kind == "byte" else key.lower()
+                written = key if key.isascii() else key.translate(_LETTERS)
+                return array("I", [t.id for t in self.tokenize(self.before + written)]).tobytes()
+            if (word := key.rstrip(string.punctuation)).isalpha():  # a word and marks
+                return self.parts[word] + self.words[key[len(word) :]]
+            if self.kind == "byte" and key.count("\n") == 1:  # the end of a line and the beginning of another, no other white space
+                line, after = key.split("\n")
+                if line and after and not line[-1].isspace() and not after[0].isspace():
+                    return self.parts[line] + self.words["\n"] + self.parts[after,]
         if self.kind == "byte":
             key = key[0] if isinstance(key, tuple) else " " + key
         if not key.isascii() and _OTHER.search(key):
@@ -100,7 +122,7 @@ class Encoder:
         """Keys of a text's parts; the first part has no space before it, which a tuple says."""
         if self.kind == "word":
             return text.replace("\n", " ").split(" ")
-        cut = _GLUED.split(text) if _AFTER_BLANK.search(text) else text.split(" ")
+        cut = _GLUED.split(text) if _after_blank(text) else text.split(" ")
         cut[0] = (cut[0],)
         return cut
 

@@ -14,6 +14,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,36 +43,37 @@ def plan(positions: list[int], penalties: list[float], limit: int = LIMIT) -> li
     Returns the cuts chosen, first and last position included, of least cost.
     """
     n = len(positions)
-    cost, back = [0.0] * n, [0] * n
     place = np.array(positions)
-    exact: list[list[int] | None] = [None] * n  # for a position, those a power of two before it
-    for p in (1 << k for k in range(limit.bit_length())):
-        k = np.searchsorted(place, place - p)
-        hits = np.flatnonzero(place[k] == place - p)
-        for j, i in zip(hits.tolist(), k[hits].tolist()):
-            if exact[j] is None:
-                exact[j] = [i]
-            else:
-                exact[j].append(i)
+    at = place - place[0]
+    known = np.full(int(at[-1]) + 1, -1, np.int32)
+    known[at] = np.arange(n)
+    powers = 1 << np.arange((limit - 1).bit_length())  # the limit itself is no better than any other length within it
+    before = at[:, None] - powers
+    start = np.where(before >= 0, known[np.maximum(before, 0)], -1)
+    j, p = np.nonzero(start >= 0)
+    exact = zip(start[j, p].tolist(), powers[p].tolist())  # positions a power of two before others, and these powers
+    near = np.bincount(j, minlength=n).tolist()  # how many of them each position has
     reach = np.searchsorted(place, place - limit).tolist()  # the first start within the limit
-    values, starts, head = [float(positions[0])], [0], 0  # cost + position, ascending from head on
+    sums, back = [float(positions[0])], [0]  # cost of a cut at each position, plus that position
+    values, starts, head = [sums[0]], [0], 0  # sums, ascending from head on
     for j in range(1, n):
-        here, first = positions[j], reach[j]
+        first = reach[j]
         while starts[head] < first:
             head += 1
         i = starts[head]
-        best = values[head] + limit - here
-        if near := exact[j]:  # lengths without padding
-            for k in near:
-                if cost[k] < best:
-                    best, i = cost[k], k
+        best = values[head] + limit
+        if near[j]:  # lengths without padding
+            for k, p in islice(exact, near[j]):
+                v = sums[k] + p
+                if v < best:
+                    best, i = v, k
         best += penalties[j]
-        cost[j], back[j] = best, i
-        v = best + here
-        while len(values) > head and values[-1] >= v:
+        sums.append(best)
+        back.append(i)
+        while len(values) > head and values[-1] >= best:
             values.pop()
             starts.pop()
-        values.append(v)
+        values.append(best)
         starts.append(j)
     cuts, j = [n - 1], n - 1
     while j:
@@ -106,9 +108,8 @@ class Packer:
         penalty[0] = 0
         known = np.flatnonzero(~np.isnan(penalty))
         # Longer stretches without a sentence's end are cut anywhere, on a grid and near the end.
-        for s, e in zip(known[:-1].tolist(), known[1:].tolist()):
-            if e - s > 64:
-                penalty[s + 32 : e : 32] = BREAK_PENALTY
+        for k in np.flatnonzero(np.diff(known) > 64).tolist():
+            penalty[known[k] + 32 : known[k + 1] : 32] = BREAK_PENALTY
         known = np.flatnonzero(~np.isnan(penalty))
         cuts = plan(known.tolist(), penalty[known].tolist(), self.limit)
         if not last and len(cuts) > 2:

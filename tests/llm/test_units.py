@@ -5,6 +5,7 @@ import math
 import os
 import random
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -442,6 +443,23 @@ def test_long_texts_are_taken_in_pieces(monkeypatch):
         assert starts == list(range(max(0, n - 99)))
 
 
+def test_new_words_go_to_the_model_once():
+    """Parts of letters only take no way through the word pattern and are kept once; ids are the library's."""
+    r = random.Random(9)
+    stems = ["".join(r.choices("abcdefgéßøXYZ", k=r.randint(1, 12))) for _ in range(300)]
+    odd = [".", ",''", "'s", "'S", "--x", "3", "3.", "\n", ".\n", "\n\n", "\n.", "\t", "\t\nq", "\nÉa", "ª", "µm", "ł", ".\nx\ny", "_", "\xa0", "\x85z", "\n'll", "%%%\nDans&&&"]
+    for name, kind in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
+        own = encoding.Encoder(P.path(name), kind)
+        calls, plain = [], own.tokenize
+        own.tokenize = lambda x: calls.append(x) or plain(x)
+        text = " ".join(stems * 2)
+        texts = [text] + [" ".join(x + r.choice(odd) for x in r.choices(stems, k=40)) for _ in range(200)] + [x + y for x in stems[:20] for y in odd]
+        want = [array("I", own.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+        got = list(own.encode(texts[:1]))
+        assert got == want[:1] and len(calls) <= len(set(stems)) + 1 and len(own.words) <= 1  # a text's first part has no space
+        assert list(own.encode(texts[1:])) == want[1:]
+
+
 def test_sketches_estimate_similarity():
     r = np.random.default_rng(7)
     for size in (5, 50, 500, 20_000):
