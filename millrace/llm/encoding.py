@@ -17,6 +17,7 @@ import re
 import string
 from array import array
 from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 from .common import for_worker
 
@@ -34,7 +35,7 @@ _HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC
 _WRITTEN = "".join(chr(256 + _HIDDEN.index(b) if b in _HIDDEN else b) for b in range(256))
 _SPACE = _WRITTEN[0x20]
 _LETTERS = {n: chr(n).encode().decode("latin-1").translate(_WRITTEN) for n in range(0xC0, 0x100) if chr(n).isalpha()}
-KEPT, KEPT_WORDS = 800_000, 200_000
+KEPT, KEPT_WORDS = 1_000_000, 200_000
 LONGEST_KEPT = 64
 
 
@@ -126,15 +127,19 @@ class Encoder:
         cut[0] = (cut[0],)
         return cut
 
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
+        keys = self.cut(text)
+        return b"".join(itemgetter(*keys)(self.parts)) if len(keys) > 1 else self.parts[keys[0]]
+
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each whole text (null: empty)."""
-        look = self.parts.__getitem__
         for t in texts:
             if t and any(x in t for x in self.added):
                 pieces = self.split_added(t)
-                yield b"".join(self.added[x] if n & 1 else b"".join(map(look, self.cut(x))) for n, x in enumerate(pieces))
+                yield b"".join(self.added[x] if n & 1 else self.plain(x) for n, x in enumerate(pieces))
             else:
-                yield b"".join(map(look, self.cut(t or "")))
+                yield self.plain(t or "")
 
 
 def encoder(path: str, kind: str) -> Encoder:

@@ -121,7 +121,7 @@ class Packer:
             while offset < e - s:
                 doc = self.docs[d]
                 n = min(starts[d] + sizes[d], e) - (s + offset)
-                yield doc[0], doc[2], n, zlib.crc32(doc[1][doc[2] : doc[2] + n].astype("<u4").tobytes()), len(doc[1]), self.sequence, offset
+                yield doc[0], doc[2], n, zlib.crc32(doc[1][doc[2] : doc[2] + n].astype("<u4", copy=False)), len(doc[1]), self.sequence, offset
                 doc[2] += n
                 offset += n
                 if doc[2] == len(doc[1]):
