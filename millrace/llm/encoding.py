@@ -17,6 +17,7 @@ import re
 import string
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from operator import itemgetter
 
 from .common import for_worker
@@ -36,6 +37,7 @@ _WRITTEN = "".join(chr(256 + _HIDDEN.index(b) if b in _HIDDEN else b) for b in r
 _SPACE = _WRITTEN[0x20]
 _LETTERS = {n: chr(n).encode().decode("latin-1").translate(_WRITTEN) for n in range(0xC0, 0x100) if chr(n).isalpha()}
 KEPT, KEPT_WORDS = 1_000_000, 200_000
+KEPT_BYTES, KEPT_WORDS_BYTES = 96 << 20, 24 << 20  # of strings and ids; objects and slots of full tables are about 85 and 18 MB more
 LONGEST_KEPT = 64
 
 
@@ -60,21 +62,29 @@ def portions(texts: Iterable[str | None], size: int = 2_000_000) -> Iterator[lis
 
 
 class _Table(dict):
-    """Ids by string, made by ``make`` when first asked for. A full table forgets its newest half:
-    what is frequent is met early, so that stays."""
+    """Ids by string, made by ``make`` when first asked for; at most ``kept``, and ``room`` bytes of strings
+    and ids. A full table forgets its newest half: what is frequent is met early, so that stays."""
 
-    def __init__(self, make, kept: int):
-        self.make, self.kept = make, kept
+    def __init__(self, make, kept: int, room: int):
+        self.make, self.kept, self.room, self.held = make, kept, room, 0
 
     def __missing__(self, key: str | tuple[str]) -> bytes:
         ids = self.make(key)
         if len(ids) <= 4 * LONGEST_KEPT and len(key) <= LONGEST_KEPT:  # a tuple's string is bounded by its ids
-            if len(self) >= self.kept:
-                for _ in range(self.kept // 2):
-                    self.popitem()
+            size = len(ids) + (key if key.__class__ is str else key[0]).__sizeof__()
+            if len(self) >= self.kept or self.held + size > self.room:
+                self.forget()
             self[key] = ids
+            self.held += size
         return ids
 
+    def forget(self) -> None:
+        """Built anew, as slots of items that are popped aren't used again and the table would double."""
+        first = dict(islice(self.items(), len(self) // 2))
+        self.clear()
+        self.update(first)
+        self.held = sum(map(len, first.values())) + sum((k if k.__class__ is str else k[0]).__sizeof__() for k in first)
+
 
 class Encoder:
     """kind "byte": byte-level BPE, a part keeps the space before it; "word": white space is dropped."""
@@ -91,7 +101,7 @@ class Encoder:
         longest_first = sorted(self.added, key=len, reverse=True)
         self.split_added = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split if self.added else None
         self.before = _SPACE if kind == "byte" else ""
-        self.parts, self.words = _Table(self.part, KEPT), _Table(self.word, KEPT_WORDS)
+        self.parts, self.words = _Table(self.part, KEPT, KEPT_BYTES), _Table(self.word, KEPT_WORDS, KEPT_WORDS_BYTES)
         self.look, self.find, self.tokenize = self.words.__getitem__, _WORDS[kind].findall, self.tokenizer.model.tokenize
 
     def word(self, word: str) -> bytes:

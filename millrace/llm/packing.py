@@ -166,10 +166,12 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end: int = EN
             return pa.record_batch([pa.array(c, pa.int64()) for c in columns], _COLUMNS)
 
         for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), own.encode(b.column(1).to_pylist())):
-                rows.extend(packer.add(doc_id, np.frombuffer(ids + tail, "<u4")))
-                if len(rows) > 10_000:
-                    yield out()
+            for at in range(0, b.num_rows, 250):  # not a batch's texts at once
+                part = b.slice(at, 250)
+                for doc_id, ids in zip(part.column(0).to_pylist(), own.encode(part.column(1).to_pylist())):
+                    rows.extend(packer.add(doc_id, np.frombuffer(ids + tail, "<u4")))
+                    if len(rows) > 10_000:
+                        yield out()
         rows.extend(packer.flush(True))
         yield out()
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import sys
 import zlib
 from array import array
 from collections import Counter
@@ -460,6 +461,28 @@ def test_new_words_go_to_the_model_once():
         assert list(own.encode(texts[1:])) == want[1:]
 
 
+def test_tables_of_parts_are_bounded_in_bytes():
+    """Long parts in a script of several bytes a character, which a bound on their number alone lets grow
+    to several times its usual size; also when a table forgets, and with ids as the library's."""
+    r = random.Random(4)
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    own = encoding.Encoder(P.path("byte_bpe_50k.json"), "byte")
+    own.parts.kept, own.parts.room, most = 3000, 200_000, 0
+    for _ in range(300):
+        text = " ".join("".join(r.choices("ждщ日本", k=r.randint(1, 12))) for _ in range(40)) + r.choice(["", "\nжж x", "  日"])
+        assert np.frombuffer(b"".join(own.encode([text])), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+        most = max(most, sum(len(v) + sys.getsizeof(k[0] if isinstance(k, tuple) else k) for k, v in own.parts.items()))
+    assert 50_000 < most <= 200_000
+
+
+def test_a_full_table_does_not_double_its_slots():
+    table, most = encoding._Table(lambda key: b"", 10_000, 1 << 30), 0
+    for n in range(50_000):
+        assert table[str(n)] == b"" and len(table) <= 10_000
+        most = max(most, sys.getsizeof(table))
+    assert "0" in table and most <= 1.5 * sys.getsizeof(dict.fromkeys(map(str, range(10_000))))
+
+
 def test_sketches_estimate_similarity():
     r = np.random.default_rng(7)
     for size in (5, 50, 500, 20_000):
