@@ -19,6 +19,17 @@ LANGUAGE_SCORE = 0.5
 #: Texts are near copies from this Jaccard similarity of their five-word shingles on.
 SIMILARITY = 0.8
 
+#: Rows of a Parquet table that a stage's tasks read at once. Spark's 4096 are meant for short values: of
+#: texts they make arrays of many MB, by which an executor's heap grows far beyond what it holds.
+READ_ROWS = 512
+
+
+def _reads_texts(spark: SparkSession) -> None:
+    """Lets the session read at most READ_ROWS at once, also the rows that a stage hands on unsaved."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(key)) > READ_ROWS:
+        spark.conf.set(key, str(READ_ROWS))
+
 
 def _columns(df: DataFrame) -> DataFrame:
     return df.select(*DOCUMENT_COLUMNS)
@@ -30,6 +41,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null text is scored as empty, a text of any length by all its passages; repeated rows and rows
     without an id are decided on each, and of an empty table nothing is left.
     """
+    _reads_texts(spark)
     docs = _columns(docs)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return _columns(quality.score(docs, model).where(F.col("quality_score") >= quality.THRESHOLD))
@@ -44,6 +56,7 @@ def filter_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     import public_tokenizers
 
+    _reads_texts(spark)
     docs = _columns(docs)
     model = langid.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
     got = langid.identify(docs, model)
@@ -57,6 +70,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     decided on one by one: of repeated rows one stays, of rows that share an id and differ each is a
     document of its own, and rows without an id take part and give way to any other.
     """
+    _reads_texts(spark)
     docs = numbered(_columns(docs), nulls_first=False)
     gone = simhash.groups(docs.select(F.col("__row").alias("doc_id"), "text"), SIMILARITY).select(F.col("node").alias("__row"))
     return _columns(docs.join(gone, "__row", "left_anti"))
@@ -69,6 +83,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     nothing to cut stays, null and empty ones too; of repeated rows the first keeps its text and the
     others, from 100 bytes on, go; rows without an id come before all others. An empty table stays empty.
     """
+    _reads_texts(spark)
     docs = _columns(docs)
     return suffixes.cut_texts(docs).where((F.col("text") != "") | (F.col("n_removed") == 0)).select(
         "doc_id", "text", "lang", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars")
@@ -77,6 +92,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 1024 ids."""
+    _reads_texts(spark)
     return packing.pack(docs, packing.default_tokenizer())
 
 

@@ -171,14 +171,15 @@ def edges(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     prints = saved(docs.mapInArrow(_sketch, "doc_id long, node binary, n int, bands array<long>"), "sketches")
     classes = prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
     classes = saved(classes, "classes")
-    keys = classes.select("node", "n", F.explode("bands").alias("key")).distinct()
+    keys = classes.select("node", "n", F.explode(F.array_distinct("bands")).alias("key"))  # nodes are unique
     turn = F.xxhash64("node", F.pmod("key", F.lit(LEADERS)))
     leaders = keys.groupBy("key").agg(F.min(F.struct(turn.alias("t"), "node")).alias("first"), F.count("*").alias("m")).where("m > 1")
     leaders = saved(leaders.select("key", F.col("first.node").alias("leader")), "leaders")
     held = saved(keys.join(leaders, "key"), "buckets")
     pair = (F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
     stars = held.where("node <> leader").select(*pair).distinct()
-    reps = held.select("node").distinct().join(classes, "node").select(F.col("rep").alias("doc_id"))
+    # A plain table: texts are not shuffled if these ids are few enough to be broadcast.
+    reps = saved(held.select("node").distinct().join(classes, "node").select(F.col("rep").alias("doc_id")), "reps")
     sets = saved(docs.join(reps, "doc_id", "left_semi").mapInArrow(_sets, "node binary, hashes array<long>, sketch binary"), "sets")
     first = _measured(stars, sets)
     near = first.where(F.col("j") >= similarity)

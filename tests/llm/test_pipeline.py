@@ -105,3 +105,16 @@ def test_stages_take_odd_rows(spark):
     cut = corpus_pipeline.drop_repeated_passages(spark, docs, SF).collect()
     assert Counter((d.doc_id, d.text, d.n_chars) for d in cut) == Counter([(None, None, 0), (1, "", 0), (1, "", 0), (2, rows[3][1], 25), (2, "a", 1), (None, rows[3][1], 25)])
     assert {d.text for d in corpus_pipeline.filter_language(spark, docs, SF).collect()} <= {t for _, t, *_ in rows if t and re.search("[a-z]", t)}
+
+
+def test_stages_read_few_texts_at_once(spark):
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    docs, before = spark.createDataFrame([], SCHEMA), spark.conf.get(key)
+    try:
+        for set_to, want in (("4096", 512), ("100", 100)):
+            for _, stage in corpus_pipeline.STAGES:
+                spark.conf.set(key, set_to)
+                stage(spark, docs, SF)
+                assert int(spark.conf.get(key)) == want
+    finally:
+        spark.conf.set(key, before)

@@ -73,3 +73,17 @@ def test_edges_link_what_all_pairs_link(spark):
     got = {r.node: r.component for r in components(similar.edges(docs)).collect()}
     assert {i: got.get(i, i) for i in want} == want
     assert similar.edges(docs.limit(0)).count() == 0
+
+
+def test_texts_and_keys_are_not_shuffled_without_need(spark, monkeypatch):
+    """Few texts share a key: the others stay where they are, and keys meet once."""
+    plans, save = {}, similar.saved
+
+    def saved(df, name="data", path=None):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return save(df, name, path)
+
+    monkeypatch.setattr(similar, "saved", saved)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    assert similar.edges(docs).count() > 0
+    assert {n: plans[n].count("Exchange hashpartitioning") for n in ("sets", "leaders")} == {"sets": 0, "leaders": 1}
