@@ -7,6 +7,8 @@ columns of documents; others that a table may have are not carried on.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +25,29 @@ SIMILARITY = 0.8
 #: texts they make arrays of many MB, by which an executor's heap grows far beyond what it holds.
 READ_ROWS = 512
 
+#: Bytes of rows that tasks hand to Python at once. Spark's 64 MB are there several times: in the executor's
+#: JVM, in the Python process and, as that takes it apart, in strings.
+SENT_BYTES = 8 << 20
+
+#: Of the encoder's tables, what packing fills here, where executors have had four other stages before it.
+TABLES = 0.25
+
+
+def _size(value: str) -> int:
+    """Bytes, from a setting as Spark takes it: 67108864b, 16m, 1gb."""
+    number, unit = re.fullmatch(r"(\d+)([bkmgtp]?)b?", value.strip().lower()).groups()
+    return int(number) << 10 * "bkmgtp".index(unit or "b")
+
 
 def _reads_texts(spark: SparkSession) -> None:
-    """Lets the session read at most READ_ROWS at once, also the rows that a stage hands on unsaved."""
+    """Lets the session read at most READ_ROWS and send at most SENT_BYTES at once, also the rows that a
+    stage hands on unsaved."""
     key = "spark.sql.parquet.columnarReaderBatchSize"
     if int(spark.conf.get(key)) > READ_ROWS:
         spark.conf.set(key, str(READ_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _size(spark.conf.get(key)) > SENT_BYTES:
+        spark.conf.set(key, str(SENT_BYTES))
 
 
 def _columns(df: DataFrame) -> DataFrame:
@@ -93,7 +112,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 1024 ids."""
     _reads_texts(spark)
-    return packing.pack(docs, packing.default_tokenizer())
+    return packing.pack(docs, packing.default_tokenizer(), share=TABLES)
 
 
 STAGES = [

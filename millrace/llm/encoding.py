@@ -87,9 +87,10 @@ class _Table(dict):
 
 
 class Encoder:
-    """kind "byte": byte-level BPE, a part keeps the space before it; "word": white space is dropped."""
+    """kind "byte": byte-level BPE, a part keeps the space before it; "word": white space is dropped.
+    share: of the tables' bounds, as smaller tables cost time and no more."""
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, share: float = 1.0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -101,7 +102,8 @@ class Encoder:
         longest_first = sorted(self.added, key=len, reverse=True)
         self.split_added = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split if self.added else None
         self.before = _SPACE if kind == "byte" else ""
-        self.parts, self.words = _Table(self.part, KEPT, KEPT_BYTES), _Table(self.word, KEPT_WORDS, KEPT_WORDS_BYTES)
+        self.parts = _Table(self.part, int(KEPT * share), int(KEPT_BYTES * share))
+        self.words = _Table(self.word, int(KEPT_WORDS * share), int(KEPT_WORDS_BYTES * share))
         self.look, self.find, self.tokenize = self.words.__getitem__, _WORDS[kind].findall, self.tokenizer.model.tokenize
 
     def word(self, word: str) -> bytes:
@@ -152,6 +154,6 @@ class Encoder:
                 yield self.plain(t or "")
 
 
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str, kind: str, share: float = 1.0) -> Encoder:
     """One for each worker process."""
-    return for_worker(("encoder", path, kind), lambda: Encoder(path, kind))
+    return for_worker(("encoder", path, kind, share), lambda: Encoder(path, kind, share))

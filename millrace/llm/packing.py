@@ -134,10 +134,10 @@ class Packer:
 _ends: dict[str, np.ndarray] = {}
 
 
-def sentence_ends(tokenizer_path: str) -> np.ndarray:
+def sentence_ends(tokenizer_path: str, share: float = 1.0) -> np.ndarray:
     """For each id whether the text of it ends a sentence."""
     if tokenizer_path not in _ends:
-        t = encoder(tokenizer_path, "byte").tokenizer
+        t = encoder(tokenizer_path, "byte", share).tokenizer
         size = t.get_vocab_size()
         _ends[tokenizer_path] = np.array([bool(_SENTENCE.search(t.decode([i], skip_special_tokens=False))) for i in range(size)])
     return _ends[tokenizer_path]
@@ -146,18 +146,19 @@ def sentence_ends(tokenizer_path: str) -> np.ndarray:
 _COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence", "offset"]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end: int = END, partitions: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end: int = END, partitions: int | None = None, share: float = 1.0) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Documents (null text: empty) are dealt by range of doc_id and each range is packed as a stream
     of its own, in blocks, so memory is bounded by a block and the longest document. Sequence ids
     are gapless over all ranges. Null ids come first, equal ids follow each other in the order of
     their texts' hashes, repeated rows are packed as often as they occur, an empty table has no
-    pieces. Other columns are ignored.
+    pieces. Other columns are ignored. ``share`` is the part of the encoder's tables that a worker
+    may fill, which changes no ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, packer, rows = encoder(tokenizer_path, "byte"), Packer(sentence_ends(tokenizer_path), limit), []
+        own, packer, rows = encoder(tokenizer_path, "byte", share), Packer(sentence_ends(tokenizer_path, share), limit), []
         tail = np.array([end], "<u4").tobytes()
 
         def out():

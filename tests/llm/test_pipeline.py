@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 
 import corpus_pipeline
 from millrace.llm import langid, packing, quality
@@ -118,3 +119,20 @@ def test_stages_read_few_texts_at_once(spark):
                 assert int(spark.conf.get(key)) == want
     finally:
         spark.conf.set(key, before)
+
+
+def test_stages_send_few_bytes_at_once(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs, before = spark.createDataFrame([], SCHEMA), spark.conf.get(key)
+    long = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('x', 1000000) AS text")
+    sizes = lambda batches: (pa.record_batch([[b.num_rows], [b.nbytes]], ["rows", "bytes"]) for b in batches)
+    try:
+        for set_to, want in (("67108864b", 8 << 20), ("1g", 8 << 20), ("1m", 1 << 20)):
+            for _, stage in corpus_pipeline.STAGES:
+                spark.conf.set(key, set_to)
+                stage(spark, docs, SF)
+                assert corpus_pipeline._size(spark.conf.get(key)) == want
+            got = long.mapInArrow(sizes, "rows long, bytes long").collect()
+            assert sum(r.rows for r in got) == 40 and max(r.bytes for r in got) <= want + 1_000_100
+    finally:
+        spark.conf.set(key, before)

@@ -483,6 +483,14 @@ def test_a_full_table_does_not_double_its_slots():
     assert "0" in table and most <= 1.5 * sys.getsizeof(dict.fromkeys(map(str, range(10_000))))
 
 
+def test_encoder_fills_its_share_of_the_tables():
+    few, all_ = (encoding.Encoder(P.path("byte_bpe_50k.json"), "byte", share) for share in (0.001, 1.0))
+    texts = [" ".join(f"w{n * 7 + k}x, {k}" for k in range(50)) + "\n end" for n in range(400)]
+    assert list(few.encode(texts)) == list(all_.encode(texts))
+    assert len(few.parts) <= encoding.KEPT / 1000 < len(all_.parts) and len(few.words) <= encoding.KEPT_WORDS / 1000 < len(all_.words)
+    assert few.parts.held <= encoding.KEPT_BYTES / 1000 and few.words.held <= encoding.KEPT_WORDS_BYTES / 1000
+
+
 def test_sketches_estimate_similarity():
     r = np.random.default_rng(7)
     for size in (5, 50, 500, 20_000):
